@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -32,6 +32,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sieve(keys: DataFrame, key: Column, bits: int = 21) -> Callable[[Column], Column]:
+    """A test that is true for every key in keys and for few others, from a bit map of fixed size (2^bits bits).
+
+    key is the 64-bit hash of a row of keys; the test takes the same hash of another table's rows.
+    """
+    bit = lambda h: F.shiftrightunsigned(h, 64 - bits)
+    at = lambda h: F.shiftright(bit(h), 6).cast("int")
+    words = 1 << (bits - 6)
+    marks = {r[0]: r[1] for r in keys.select(bit(key).alias("bit"), at(key).alias("at")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).collect()}  # `words` rows at most
+    table = F.split(F.lit(",".join(str(marks.get(i, 0)) for i in range(words))), ",").cast("array<long>")
+    return lambda h: F.call_function("shiftrightunsigned", table[at(h)], bit(h).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import written
+from scriptorium.llm.common import sieve, written
 
 #: Similarity 4/5, in whole numbers: 9 x overlap >= 4 x (n + m).
 SIMILARITY = 0.8
@@ -24,7 +24,6 @@ SPACE = r"[ \t\x0B\f\r]+"
 #: Cells of the table of word counts from which rarity is read; a word's rarity is its cell's.
 CELLS = 1 << 16
 RARITY_BITS = 57
-MAP_WORDS = 1 << 15
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -87,10 +86,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, text: str, doc_id: str) -> DataFr
     """Of pairs (x_doc, x_pack, y_doc, y_pack), the y whose words match x's."""
     pairs = written(pairs.distinct(), "line-pairs")
     ends = pairs.select(F.col("x_doc").alias("doc"), F.col("x_pack").alias("pack")).unionByName(pairs.select(F.col("y_doc").alias("doc"), F.col("y_pack").alias("pack")))
-    bit = F.shiftrightunsigned(F.xxhash64("doc", "pack"), 64 - 21)
-    marks = {r[0]: r[1] for r in ends.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).collect()}  # MAP_WORDS rows at most
-    table = F.split(F.lit(",".join(str(marks.get(i, 0)) for i in range(MAP_WORDS))), ",").cast("array<long>")
-    some = _lines(docs, text, doc_id).where(F.call_function("shiftrightunsigned", table[F.shiftright(bit, 6).cast("int")], bit.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    near = sieve(ends, F.xxhash64("doc", "pack"))
+    some = _lines(docs, text, doc_id).where(near(F.xxhash64("doc", "pack")))
     found = written(some.select("doc", "pack", _words(F.col("line")).alias("words")), "line-words")
     x = found.select(F.struct("doc", "pack").alias("x"), F.col("words").alias("x_words"))
     y = found.select(F.struct("doc", "pack").alias("y"), F.col("words").alias("y_words"))

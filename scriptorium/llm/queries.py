@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.jaccard import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_text_links")
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.pii import KINDS, find_personal_data, spelled
 
@@ -51,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_personal_data": op3_personal_data,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
