@@ -18,6 +18,21 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "n_text_links")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.pieces import decode, encode
+
+    encoded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
+        F.round("score", 6).alias("score"),
+        F.transform("others", lambda o: F.round(o["score"], 6)).alias("other_scores"),
+        F.transform("others", lambda o: o["edits"]).alias("other_edits"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
+    )
+
+
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.pii import KINDS, find_personal_data, spelled
 
@@ -49,6 +64,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.pieces import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_pretokens", "n_tokens")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scriptorium.llm.quality import quality_rules
 
@@ -58,10 +79,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_personal_data": op3_personal_data,
     "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op10_quality_rules": op10_quality_rules,
 }
 
