@@ -8,6 +8,8 @@ counts, exchanged, and permuted again within the shard.  DataFrame functions onl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,31 +20,31 @@ from scriptorium.llm.common import written
 BUCKET_ROWS = 50_000
 
 
-def hypergeometric(total: Column, good: Column, n: Column, u: Column) -> tuple[Column, Column]:
-    """Draw how many of `good` among `total` rows are in a sample of n, by inverting the distribution at u in (0, 1).
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
-    Returns the goal (put it in column __goal first) and the draw that walks up to it.
+
+def hypergeometric(total: Column, good: Column, n: Column, u: Column) -> Column:
+    """Draw how many of `good` among `total` rows are in a sample of n, by inverting the distribution at u in (0, 1).
 
     The support is cut ten standard deviations from the mean, which leaves out less than double precision can hold.
     """
     p = good / F.greatest(total, F.lit(1))
-    sd = F.sqrt(n * p * (1 - p) * (total - n) / F.greatest(total - 1, F.lit(1)))
+    sd = F.sqrt(n * p * (1 - p) * F.greatest(total - n, F.lit(0)) / F.greatest(total - 1, F.lit(1)))
     low = F.greatest(F.lit(0), n + good - total, F.floor(n * p - 10 * sd - 10)).cast("long")
     high = F.least(n, good, F.ceil(n * p + 10 * sd + 10)).cast("long")
-    # weight(k + 1) / weight(k), from weight(low) = 1
-    ratio = lambda k: (good - k).cast("double") * (n - k) / ((k + 1).cast("double") * (total - good - n + k + 1))
-    steps = F.when(high > low, F.sequence(low, high - 1)).otherwise(F.expr("cast(array() as array<long>)"))
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"))
-    mass = F.aggregate(steps, start, lambda s, k: F.struct((s["w"] * ratio(k)).alias("w"), (s["sum"] + s["w"] * ratio(k)).alias("sum")), lambda s: s["sum"])
-    walk = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), low.alias("k"))
-    goal = F.col("__goal")
-    found = F.aggregate(
-        steps,
-        walk,
-        lambda s, k: F.when(s["sum"] >= goal, s).otherwise(F.struct((s["w"] * ratio(k)).alias("w"), (s["sum"] + s["w"] * ratio(k)).alias("sum"), (k + 1).alias("k"))),
-        lambda s: s["k"],
-    )
-    return mass * u, found
+
+    def walk(x: Column) -> Column:
+        # weight(k + 1) / weight(k), from weight(low) = 1
+        ratio = lambda k: (x["good"] - k).cast("double") * (x["n"] - k) / ((k + 1).cast("double") * (x["total"] - x["good"] - x["n"] + k + 1))
+        steps = F.when(x["high"] > x["low"], F.sequence(x["low"], x["high"] - 1)).otherwise(F.expr("cast(array() as array<long>)"))
+        next_ = lambda s, k: _let(s["w"] * ratio(k), lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum"), (k + 1).alias("k")))
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), x["low"].alias("k"))
+        mass = F.aggregate(steps, start, next_, lambda s: s["sum"])
+        return _let(mass * x["u"], lambda goal: F.aggregate(steps, start, lambda s, k: F.when(s["sum"] >= goal, s).otherwise(next_(s, k)), lambda s: s["k"]))
+
+    return _let(F.struct(total.alias("total"), good.alias("good"), n.alias("n"), u.alias("u"), low.alias("low"), high.alias("high")), walk)
 
 
 def _uniform(*parts: Column) -> Column:
@@ -62,17 +64,22 @@ def communication_matrix(sizes: DataFrame, n_shards: int, seed: int) -> DataFram
     for level in range(1, levels + 1):
         below = sizes.groupBy(F.shiftright("part", levels - level).alias("child")).agg(F.sum("n").alias("child_n"))
         left = below.where(F.col("child") % 2 == 0).select(F.shiftright("child", 1).alias("node"), F.col("child_n").alias("left_n"))
-        node = node.join(left, "node", "left").withColumns({"left_n": F.coalesce("left_n", F.lit(0).cast("long")), "__left": F.lit(0).cast("long"), "__pool": F.col("n")}).withColumns({"__left": F.col("left_n"), "__out": F.expr("cast(array() as array<long>)")})
-        for j in range(n_shards):
+        node = node.join(left, "node", "left").withColumn("left_n", F.coalesce("left_n", F.lit(0).cast("long")))
+        start = F.struct(F.col("left_n").alias("left"), F.col("n").alias("pool"), F.expr("cast(array() as array<long>)").alias("out"))
+
+        def draw(s: Column, j: Column, level: int = level) -> Column:
             good = F.col("counts")[j]
-            goal, drawn = hypergeometric(F.col("__pool"), good, F.col("__left"), _uniform(F.lit(seed), F.lit(level), F.col("node"), F.lit(j)))
-            node = node.withColumn("__goal", goal).withColumn("__drawn", drawn)
-            node = node.withColumns({"__out": F.concat("__out", F.array("__drawn")), "__left": F.col("__left") - F.col("__drawn"), "__pool": F.col("__pool") - good})
+            drawn = hypergeometric(s["pool"], good, s["left"], _uniform(F.lit(seed), F.lit(level), F.col("node"), j))
+            return _let(drawn, lambda d: F.struct((s["left"] - d).alias("left"), (s["pool"] - good).alias("pool"), F.concat(s["out"], F.array(d)).alias("out")))
+
+        node = node.withColumn("__out", F.aggregate(F.sequence(F.lit(0), F.lit(n_shards - 1)), start, lambda s, j: draw(s, j), lambda s: s["out"]))
         halves = F.array(
             F.struct((F.col("node") * 2).alias("node"), F.col("left_n").alias("n"), F.col("__out").alias("counts")),
             F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("n") - F.col("left_n")).alias("n"), F.zip_with("counts", "__out", lambda a, b: a - b).alias("counts")),
         )
-        node = written(node.select(F.inline(halves)).where("n > 0"), "matrix")
+        node = node.select(F.inline(halves)).where("n > 0")
+        if level % 4 == 0 or level == levels:
+            node = written(node, "matrix")
     return node.select(F.col("node").alias("part"), "counts")
 
 
