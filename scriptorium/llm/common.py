@@ -68,6 +68,24 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         at, done = to, int(sizes[to - 1])
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """Groups of rows from a stream that is sorted by a long key, each whole even where it runs over batches."""
+    held, at = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if held and keys[i] != at:
+                yield at, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            at = keys[i]
+    if held:
+        yield at, pa.Table.from_batches(held)
+
+
 def offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a column of texts and where each begins, one more for the end; null counts as empty."""
     if texts.null_count:

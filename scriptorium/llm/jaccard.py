@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import mix, offsets, owner, per_owner, runs, sieve, slices, span_hashes, text_key, written
+from scriptorium.llm.common import grouped, mix, offsets, owner, per_owner, runs, sieve, slices, span_hashes, text_key, written
 from scriptorium.llm.components import components
 from scriptorium.llm.quality import SPACE
 
@@ -87,18 +87,14 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that hold each bucket's similar texts together, at most one a text."""
-    for batch in batches:
-        a, b = [], []
-        for members in batch.column("members"):
-            items = members.values
-            ids = items.field("tid").to_numpy()
-            marks = items.field("sig").flatten().to_numpy().reshape(-1, HASHES)
-            same = np.stack([(marks == m).sum(axis=1) for m in marks])
-            root = _roots(same >= COARSE * HASHES)
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            a.append(ids[root[moved]])
-            b.append(ids[moved])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], names=["a", "b"])
+    for _, members in grouped(batches, "bucket"):
+        ids = members.column("tid").to_numpy()
+        marks = members.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, HASHES)
+        same = np.stack([(marks == m).sum(axis=1) for m in marks])
+        root = _roots(same >= COARSE * HASHES)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], names=["a", "b"])
 
 
 def coarse_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -124,37 +120,37 @@ def coarse_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float
         more = at[taken + SPLITS * depth : taken + SPLITS * (depth + 1)]
         rows = large.join(texts, "tid").select("tid", F.explode(F.array(*[F.xxhash64("key", F.lit(c), F.col("sig")[c]) for c in more])).alias("key"))
     small = small.distinct().select(F.xxhash64("members", F.size("members")).alias("bucket"), F.explode("members").alias("tid"))
-    full = small.join(texts.select("tid", "sig"), "tid").groupBy("bucket").agg(F.collect_list(F.struct("tid", "sig")).alias("members")).select("members")
+    full = small.join(texts.select("tid", "sig"), "tid").select("bucket", "tid", "sig").repartition("bucket").sortWithinPartitions("bucket")
     return full.mapInArrow(_bucket_links, "a long, b long").unionByName(links)
 
 
 def _exact(similarity: float):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for within, members in zip(batch.column("within").to_pylist(), batch.column("members"), strict=True):
-                items = members.values
-                ids, copies, side = (items.field(k).to_numpy() for k in ("tid", "copies", "block"))
-                sets = items.field("grams")
-                size = np.diff(sets.offsets.to_numpy())
-                _, word = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-                text = np.repeat(np.arange(len(ids)), size)
-                order = np.argsort(word, kind="stable")
-                word, text = word[order], text[order]
-                common = np.zeros((len(ids), len(ids)), np.float32)
-                for k in range(0, int(word[-1]) + 1 if len(word) else 0, CHUNK):
-                    i, j = np.searchsorted(word, (k, k + CHUNK))
-                    part = np.zeros((len(ids), CHUNK), np.float32)
-                    part[text[i:j], word[i:j] - k] = 1
-                    common += part @ part.T
-                linked = common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-3  # |x & y| >= s |x | y|
-                np.fill_diagonal(linked, False)
-                if not within:
-                    linked &= side[:, None] != side[None, :]
-                root = _roots(linked)
-                some = np.flatnonzero(linked.any(axis=1))
-                out.append((ids[some], ids[root[some]], linked[some].sum(axis=1), (linked[some] * copies[None, :]).sum(axis=1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out]).astype(np.int64) if out else np.zeros(0, np.int64)) for i in range(4)], names=["tid", "root", "texts", "docs"])
+        for _, members in grouped(batches, "group"):
+            # the join with the texts may repeat a row whose id and text repeat
+            ids, keep = np.unique(members.column("tid").to_numpy(), return_index=True)
+            members = members.take(pa.array(keep))
+            copies, side = (members.column(k).to_numpy() for k in ("copies", "block"))
+            sets = members.column("grams").combine_chunks()
+            size = np.asarray(sets.value_lengths())
+            _, word = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+            text = np.repeat(np.arange(len(ids)), size)
+            order = np.argsort(word, kind="stable")
+            word, text = word[order], text[order]
+            common = np.zeros((len(ids), len(ids)), np.float32)
+            for k in range(0, int(word[-1]) + 1 if len(word) else 0, CHUNK):
+                i, j = np.searchsorted(word, (k, k + CHUNK))
+                part = np.zeros((len(ids), min(CHUNK, int(word[-1]) + 1 - k)), np.float32)
+                part[text[i:j], word[i:j] - k] = 1
+                common += part @ part.T
+            linked = common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-3  # |x & y| >= s |x | y|
+            np.fill_diagonal(linked, False)
+            if not members.column("within")[0].as_py():
+                linked &= side[:, None] != side[None, :]
+            root = _roots(linked)
+            some = np.flatnonzero(linked.any(axis=1))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids[some], ids[root[some]], linked[some].sum(axis=1), (linked[some] * copies[None, :]).sum(axis=1))], names=["tid", "root", "texts", "docs"])
 
     return join
 
@@ -201,9 +197,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grams = heads.join(some, "at").select("tid", "comp", "copies", "m", "text").mapInArrow(_grams, "tid long, comp long, copies long, m long, grams array<long>")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     placed = grams.withColumn("block", F.pmod(F.xxhash64("tid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.struct("tid", "copies", "block", "grams").alias("x"))
-    groups = placed.groupBy("comp", "lo", "hi").agg(F.array_distinct(F.collect_list("x")).alias("members")).where(F.size("members") > 1)
-    found = written(groups.select((F.col("lo") == F.col("hi")).alias("within"), "members").mapInArrow(_exact(similarity), "tid long, root long, texts long, docs long"), "found")
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    placed = placed.select(F.xxhash64("comp", lo, hi).alias("group"), (lo == hi).alias("within"), "tid", "copies", "block", "grams")
+    found = written(placed.repartition("group").sortWithinPartitions("group").mapInArrow(_exact(similarity), "tid long, root long, texts long, docs long"), "found")
     classes = components(found.select(F.col("root").alias("a"), F.col("tid").alias("b"))).select(F.col("node").alias("tid"), "root")
     counts = found.groupBy("tid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     known = texts.select("k1", "k2", "tid", "copies", "head", F.col("sig").isNotNull().alias("worded")).join(classes, "tid", "left").join(counts, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
