@@ -45,6 +45,23 @@ def sieve(keys: DataFrame, key: Column, bits: int = 21) -> Callable[[Column], Co
     return lambda h: F.call_function("shiftrightunsigned", table[at(h)], bit(h).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
+def merged(spans: Column) -> Column:
+    """An array of spans as maximal runs: sorted, and joined where they touch."""
+    empty = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
+    last = lambda done: F.element_at(done, -1)
+    longer = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["begin"].alias("begin"), F.greatest(last(done)["end"], x["end"]).alias("end"))))
+    return F.aggregate(F.array_sort(spans), empty, lambda done, x: F.when((F.size(done) > 0) & (x["begin"] <= last(done)["end"]), longer(done, x)).otherwise(F.concat(done, F.array(x))))
+
+
+def slide(x: np.ndarray, w: int, least: np.ufunc) -> np.ndarray:
+    """Least (or greatest) of each window of w values."""
+    size = 1
+    while size * 2 <= w:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     while name in df.columns:
@@ -121,18 +138,19 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
-def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span, from one running sum."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix_table()[data] * _power("up", len(data)), out=total[1:])
+    np.cumsum(mix_table(salt)[data] * _power("up", len(data)), out=total[1:])
     h = (total[end] - total[begin]) * _power("down", len(data) + 1)[begin]
     return mix(h + (end - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def mix_table() -> np.ndarray:
-    if "bytes" not in _powers:
-        _powers["bytes"] = mix(np.arange(1, 257, dtype=np.uint64))
-    return _powers["bytes"]
+def mix_table(salt: int = 0) -> np.ndarray:
+    """A number for each byte."""
+    if f"bytes{salt}" not in _powers:
+        _powers[f"bytes{salt}"] = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(salt << 8))
+    return _powers[f"bytes{salt}"]
 
 
 def runs(mask: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

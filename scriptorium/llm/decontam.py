@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import ascii_set, mix, offsets, owner, per_owner, runs, slices, span_hashes, text_key, written
+from scriptorium.llm.common import ascii_set, merged, mix, offsets, owner, per_owner, runs, slices, slide, span_hashes, text_key, written
 
 WORD = ascii_set("0123456789abcdefghijklmnopqrstuvwxyz") | (np.arange(256) >= 0x80)
 FOLD = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint8)
@@ -33,15 +33,6 @@ def word_hashes(t: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return span_hashes(data, begin, end) | np.uint64(1), owner(t[1], begin)
 
 
-def _slide(x: np.ndarray, w: int, least) -> np.ndarray:
-    """Least (or greatest) of each window of w values."""
-    size = 1
-    while size * 2 <= w:
-        x = least(x[:-size], x[size:])
-        size *= 2
-    return least(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
-
-
 def winnow(h: np.ndarray, of: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Positions and hashes of the fingerprints for spans of `length` words, and how far to extend a hit."""
     k = min(GRAM, length)
@@ -53,10 +44,10 @@ def winnow(h: np.ndarray, of: np.ndarray, length: int) -> tuple[np.ndarray, np.n
     for j in range(k):
         gram = gram * np.uint64(0x2545F4914F6CDD1D) + h[j : j + m]
     gram = mix(gram) | np.uint64(1)
-    least = _slide(gram, w, np.minimum)
+    least = slide(gram, w, np.minimum)
     least[of[: len(least)] != of[length - 1 : length - 1 + len(least)]] = 0  # spans two texts
     padded = np.concatenate((np.zeros(w - 1, np.uint64), least, np.zeros(w - 1, np.uint64)))
-    at = np.flatnonzero(_slide(padded, w, np.maximum) == gram)
+    at = np.flatnonzero(slide(padded, w, np.maximum) == gram)
     return at, gram[at], w - 1
 
 
@@ -160,12 +151,7 @@ def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
         .select("rid", "item", "class", "pos", "near", "item_near")
         .mapInArrow(extend, "rid long, item string, begin int, end int")
     )
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("begin", "end"))),
-        F.expr("cast(array() as array<struct<begin:int,end:int>>)"),
-        lambda done, x: F.when((F.size(done) > 0) & (x["begin"] <= F.element_at(done, -1)["end"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x))),
-    )
-    spans = hits.groupBy("rid").agg(merged.alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    spans = hits.groupBy("rid").agg(merged(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     return seen.drop("prints").join(spans, "rid", "left")
 
 
