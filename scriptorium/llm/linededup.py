@@ -23,7 +23,8 @@ SIMILARITY = 0.8
 SPACE = r"[ \t\x0B\f\r]+"
 #: Cells of the table of word counts from which rarity is read; a word's rarity is its cell's.
 CELLS = 1 << 16
-RARITY_BITS = 57
+#: Bits of a word's hash under its grade.  Words that share them only bring in candidates, which are compared in full.
+WORD_BITS = 34
 
 
 def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -38,7 +39,7 @@ def _text_bits(text: str) -> Column:
 
 
 def _words(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.filter(F.split(line, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w)))
 
 
 def _rarity(docs: DataFrame, text: str) -> Column:
@@ -53,13 +54,16 @@ def _rarity(docs: DataFrame, text: str) -> Column:
 
 def _ranked(line: Column, rarity: Column) -> Column:
     """Words as numbers, rarest first: the grade above the hash's low bits."""
-    low = F.lit((1 << RARITY_BITS) - 1)
-    code = lambda h: F.shiftleft(rarity[F.pmod(h, F.lit(CELLS)).cast("int")].cast("long"), RARITY_BITS).bitwiseOR(h.bitwiseAND(low))
+    low = F.lit((1 << WORD_BITS) - 1)
+    code = lambda h: F.shiftleft(rarity[F.pmod(h, F.lit(CELLS)).cast("int")].cast("long"), WORD_BITS).bitwiseOR(h.bitwiseAND(low))
     return F.sort_array(F.transform(_words(line), code))
 
 
 def _signature(half: int) -> Column:
-    return F.expr(f"aggregate(words, 0L, (a, w) -> if((w & 64) = {64 * half}, a | shiftleft(1L, cast(w & 63 as int)), a))")
+    """A bit for each word, in one 64-bit half for lines of up to 64 words and in two for longer ones."""
+    put = "a | shiftleft(1L, cast(w & 63 as int))"
+    some = f"aggregate(words, 0L, (a, w) -> if((w & 64) = {64 * half}, {put}, a))"
+    return F.expr(f"if(size(words) > 64, {some}, {f'aggregate(words, 0L, (a, w) -> {put})' if half == 0 else '0L'})")
 
 
 def _postings(docs: DataFrame, text: str, doc_id: str, rarity: Column) -> DataFrame:
@@ -78,7 +82,7 @@ def _may_match(x: str, y: str) -> Column:
         f"({x}.doc < {y}.doc or {x}.doc <=> {y}.doc and {x}.pack < {y}.pack or {x}.doc is null and {y}.doc is not null)"
         f" and 5 * {x}.n >= 4 * {y}.n and 5 * {y}.n >= 4 * {x}.n"
         f" and least({x}.n - {x}.pos, {y}.n - {y}.pos) >= {least}"
-        f" and bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1) <= {x}.n + {y}.n - 2 * {least}"
+        f" and if({x}.n > 64 and {y}.n > 64, bit_count({x}.s0 ^ {y}.s0) + bit_count({x}.s1 ^ {y}.s1), bit_count(({x}.s0 | {x}.s1) ^ ({y}.s0 | {y}.s1))) <= {x}.n + {y}.n - 2 * {least}"
     )
 
 
@@ -129,11 +133,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     gone = repeated_lines(docs, text, doc_id)
     lines = _lines(docs, text, doc_id).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).agg(F.min(F.struct("doc", "pack")).alias("at")).select("at.*")
     kept = _without(lines, gone).groupBy("doc", F.shiftright("pack", 32).alias("bits")).agg(F.collect_list(F.col("pack").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("__kept"))
-    kept = kept.select(F.struct("doc", "bits").alias("__key"), "__kept")
-    out = docs.join(kept, F.struct(F.col(doc_id).alias("doc"), _text_bits(text).alias("bits")) == F.col("__key"), "left")
+    every = _lines(docs, text, doc_id).select("doc", F.shiftright("pack", 32).alias("bits"), F.col("pack").alias("p")).groupBy("doc", "bits").agg(F.count_distinct("p").alias("n"))
+    at = F.struct("doc", "bits")
+    cut = every.select(at.alias("__key"), "n").join(kept.select(at.alias("k"), "__kept"), F.col("__key") == F.col("k"), "left").where("__kept is null or size(__kept) < n").select("__key", F.coalesce("__kept", F.expr("cast(array() as array<int>)")).alias("__kept"))
+    cut = written(cut, "lines-kept")
+    # only documents that lose a line meet their list
+    own = F.struct(F.col(doc_id).alias("doc"), _text_bits(text).alias("bits"))
+    near = sieve(cut, F.xxhash64("__key"))
+    some = docs.where(near(F.xxhash64(own))).join(cut, own == F.col("__key"), "left")
+    rest = docs.where(~near(F.xxhash64(own))).withColumn("__kept", F.lit(None).cast("array<int>"))
+    out = some.drop("__key").unionByName(rest)
     parts = F.split(F.col(text), "\n")
-    stay = F.filter(parts, lambda line, i: ~line.rlike(r"[^ \t\x0B\f\r]") | F.array_contains(F.coalesce("__kept", F.expr("cast(array() as array<int>)")), i))
+    stay = F.when(F.col("__kept").isNull(), parts).otherwise(F.filter(parts, lambda line, i: ~line.rlike(r"[^ \t\x0B\f\r]") | F.array_contains("__kept", i)))
     out = out.withColumn("__stay", stay).withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long"))
     out = out.withColumn("n_removed", F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines") - F.size("__stay")).cast("long"))
     out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long")).withColumn(text, F.array_join("__stay", "\n"))
-    return out.drop("__stay", "__key", "__kept")
+    return out.drop("__stay", "__kept")
