@@ -1,0 +1,6 @@
+"""Registered queries over the given tables."""
+
+from scriptorium.plans import lifecycle, search  # noqa: F401
+from scriptorium.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
