@@ -129,7 +129,7 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def powers(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
         steps = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
@@ -141,8 +141,8 @@ def _power(kind: str, n: int) -> np.ndarray:
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit hash of each byte span, from one running sum."""
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix_table(salt)[data] * _power("up", len(data)), out=total[1:])
-    h = (total[end] - total[begin]) * _power("down", len(data) + 1)[begin]
+    np.cumsum(mix_table(salt)[data] * powers("up", len(data)), out=total[1:])
+    h = (total[end] - total[begin]) * powers("down", len(data) + 1)[begin]
     return mix(h + (end - begin).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 

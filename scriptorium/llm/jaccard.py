@@ -171,7 +171,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row per row of docs: doc_id, k1, k2 (the text's key), class_id, leads, n_links, n_text_links.
 
-    class_id is the least doc_id of the connected component of texts whose shingle sets have the Jaccard similarity;
+    class_id is the least doc_id (null only if all are) of the connected component of texts whose shingle sets have the Jaccard similarity;
     n_links counts other rows with an equal or linked text, n_text_links the different texts linked; leads is
     true for the class's first row by doc_id and key, and null for a text without words.  A text without words
     (null too) links to nothing: its row is its own class.  Repeated ids and rows are separate rows.
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = components(found.select(F.col("root").alias("a"), F.col("tid").alias("b"))).select(F.col("node").alias("tid"), "root")
     counts = found.groupBy("tid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     known = texts.select("k1", "k2", "tid", "copies", "head", F.col("sig").isNotNull().alias("worded")).join(classes, "tid", "left").join(counts, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    least = known.groupBy("root").agg(F.min(F.struct("head", "k1", "k2")).alias("least"))
+    least = known.groupBy("root").agg(F.min(F.struct(F.col("head").isNull().alias("none"), "head", "k1", "k2")).alias("least"))
     known = known.join(least, "root").select(F.struct("k1", "k2").alias("at"), "copies", "worded", "texts", "docs", "least")
     rows = read.select("doc_id", "k1", "k2", F.struct("k1", "k2").alias("at")).join(known, "at")
     zero = F.lit(0).cast("long")
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         "k1",
         "k2",
         F.when(F.col("worded"), F.col("least.head")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(F.col("worded"), F.struct("doc_id", "k1", "k2").eqNullSafe(F.col("least"))).alias("leads"),
+        F.when(F.col("worded"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2").eqNullSafe(F.col("least"))).alias("leads"),
         F.when(F.col("worded"), F.col("copies") - 1 + F.coalesce("docs", zero)).otherwise(zero).alias("n_links"),
         F.coalesce("texts", zero).alias("n_text_links"),
     )

@@ -6,8 +6,10 @@ piece covers becomes its bytes, at the lowest score less ten.  A space is a spac
 before the text, and U+2581 itself is spelt in bytes, so decoding gives back every text.
 
 No piece holds a space after another character, so every path of the lattice passes through the start of each run of
-spaces: a text splits there into pre-tokens, whose segmentations are independent and are computed once a worker for
-each distinct one it sees (up to `CACHE`, then afresh).
+spaces: a text splits there into pre-tokens, whose segmentations are independent.  Forward and backward Viterbi scores
+are taken for all distinct pre-tokens of a slice of texts at once, in arrays; they give each one's best segmentation and
+what its second best loses.  Only the pre-tokens whose second best costs a text least can differ in its next best
+segmentations, and those are searched by A-star.
 """
 
 from __future__ import annotations
@@ -24,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from scriptorium.llm.common import slices
+from scriptorium.llm.common import mix, powers, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 PRETOKEN = re.compile(r" +[^ ]*|[^ ]+")
 UNKNOWN_PENALTY = 10.0
+#: Pre-tokens that a task remembers the counts of, and bytes of text that are segmented at once.
 CACHE = 200_000
+SLICE = 2 << 20
 N_BEST = 3
 
 
@@ -97,28 +101,152 @@ def n_best(word: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
     return out
 
 
-def combine(words: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tuple[float, dict[int, int]]]:
-    """The n best ways to choose a segmentation for every pre-token: loss against the best, and the choices that differ.
-
-    Only the n - 1 pre-tokens whose second choice costs least can differ in them.
-    """
-    loss = np.fromiter((w[0][0] - w[1][0] if len(w) > 1 else math.inf for w in words), float, len(words))
-    near = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]) if 1 < n <= len(loss) else np.arange(len(loss))
-    near = near[np.argsort(loss[near], kind="stable")][: n - 1]
-    near = [int(i) for i in near if loss[i] < math.inf]
-    heap, seen, out = [(0.0, (0,) * len(near))], {(0,) * len(near)}, []
+class Lattice(NamedTuple):
+    """Best segmentations of many pre-tokens: flat ids with offsets, scores, and the loss of each one's second best."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    score: np.ndarray
+    loss: np.ndarray
+
+
+class Table(NamedTuple):
+    """Hashes of pieces and of their prefixes, sorted, with the piece's id (-1 for a mere prefix) and score."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    scores: np.ndarray
+
+
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words on end, and where each begins."""
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return codes, np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))))
+
+
+def _code_hashes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * powers("up", len(codes)), out=total[1:])
+    return total, powers("down", len(codes) + 1)
+
+
+def table_of(pieces: Pieces) -> Table:
+    names = list(pieces.scores)
+    codes, at = _codes(names)
+    total, down = _code_hashes(codes)
+    h = mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(np.uint64))
+    order = np.argsort(h)
+    found = [pieces.scores[n] for n in names]
+    return Table(h[order], np.array([-1 if f is None else f[0] for f in found])[order], np.array([0.0 if f is None else f[1] for f in found])[order])
+
+
+def lattice(words: list[str], pieces: Pieces, table: Table) -> Lattice:
+    """Viterbi forwards and backwards over all words together, one place in the word and one piece length at a time."""
+    codes, at = _codes(words)
+    n, sizes = len(words), np.diff(at)
+    total, down = _code_hashes(codes)
+    place = np.arange(len(codes)) - np.repeat(at[:-1], sizes)
+    room = np.repeat(sizes, sizes) - place
+    edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    live, length = np.arange(len(codes)), 0
+    while len(live):
+        length += 1
+        h = mix((total[live + length] - total[live]) * down[live] + np.uint64(length))
+        k = np.minimum(np.searchsorted(table.hashes, h), len(table.hashes) - 1)
+        there = table.hashes[k] == h
+        ids, scores = np.where(there, table.ids[k], -1), table.scores[k]
+        if length == 1:  # a character that is no piece is its bytes
+            scores = np.where(ids < 0, pieces.unknown, scores)
+            some = np.arange(len(live))
+        else:
+            some = np.flatnonzero(ids >= 0)
+        starts = live[some]
+        by = np.argsort(place[starts], kind="stable")
+        starts, some = starts[by], some[by]
+        cuts = np.flatnonzero(np.diff(place[starts], prepend=-1, append=-2))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            edges[int(place[starts[i]]), length] = starts[i:j], ids[some[i:j]], scores[some[i:j]]
+        live = live[there & (room[live] > length)]
+    word = np.repeat(np.arange(n), sizes)
+    # node of a place: one more a word, for its end
+    best = np.full(len(codes) + n, -np.inf)
+    best[at[:-1] + np.arange(n)] = 0.0
+    step, piece = np.zeros(len(best), np.int64), np.zeros(len(best), np.int64)
+    order = sorted(edges)
+    for key in order:
+        starts, ids, scores = edges[key]
+        a = starts + word[starts]
+        b = a + key[1]
+        new = best[a] + scores
+        up = new > best[b]
+        best[b[up]], step[b[up]], piece[b[up]] = new[up], key[1], ids[up]
+    back = np.full(len(best), -np.inf)
+    back[at[1:] + np.arange(n)] = 0.0
+    for key in reversed(order):
+        starts, ids, scores = edges[key]
+        a = starts + word[starts]
+        back[a] = np.maximum(back[a], back[a + key[1]] + scores)
+    # the best path, from the ends
+    taken = np.zeros(len(best), np.int64)
+    node, who, parts = at[1:] + np.arange(n), np.arange(n), []
+    while len(node):
+        prior = node - step[node]
+        taken[prior] = step[node]
+        parts.append((who, prior, piece[node]))
+        more = prior > at[who] + who
+        node, who = prior[more], who[more]
+    second = np.full(n, -np.inf)
+    for key in order:
+        starts, ids, scores = edges[key]
+        a = starts + word[starts]
+        off = taken[a] != key[1]
+        np.maximum.at(second, word[starts[off]], (best[a] + scores + back[a + key[1]])[off])
+    who, prior, ids = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+    by = np.argsort(prior, kind="stable")
+    who, prior, ids = who[by], prior[by], ids[by]
+    spelt = np.flatnonzero(ids < 0)
+    counts = np.ones(len(ids), np.int64)
+    raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes[prior[spelt] - who[spelt]]]
+    counts[spelt] = [len(b) for b in raw]
+    flat = np.repeat(ids, counts)
+    flat[np.repeat(ids < 0, counts)] = pieces.bytes_at + np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(np.bincount(who, counts, n)))).astype(np.int64)
+    score = best[at[1:] + np.arange(n)]
+    return Lattice(flat.astype(np.int32), ends, score, score - second)
+
+
+def spread(offsets: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the chosen lists' elements in a flat array of lists, and how many each has."""
+    sizes = offsets[chosen + 1] - offsets[chosen]
+    begin = np.cumsum(sizes) - sizes
+    return np.repeat(offsets[chosen] - begin, sizes) + np.arange(int(sizes.sum())), sizes
+
+
+def combine(words: list[list[tuple[float, tuple[int, ...]]]], n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best ways to choose a segmentation for each of some pre-tokens: loss against the best, and the choices."""
+    start = (0,) * len(words)
+    heap, seen, out = [(0.0, start)], {start}, []
     while heap and len(out) < n:
         cost, choice = heapq.heappop(heap)
-        out.append((cost, {w: c for w, c in zip(near, choice, strict=True) if c}))
-        for k, w in enumerate(near):
-            if choice[k] + 1 < len(words[w]):
+        out.append((cost, choice))
+        for k, w in enumerate(words):
+            if choice[k] + 1 < len(w):
                 more = (*choice[:k], choice[k] + 1, *choice[k + 1 :])
                 if more not in seen:
                     seen.add(more)
-                    heapq.heappush(heap, (sum(words[near[m]][0][0] - words[near[m]][c][0] for m, c in enumerate(more)), more))
+                    heapq.heappush(heap, (sum(words[m][0][0] - words[m][c][0] for m, c in enumerate(more)), more))
     return out
 
 
+def cheapest(loss: np.ndarray, n: int) -> np.ndarray:
+    """The n places of least finite loss, ties to the left, in text order."""
+    if n < 1:
+        return np.zeros(0, np.int64)
+    near = np.flatnonzero(loss <= np.partition(loss, n - 1)[n - 1]) if n <= len(loss) else np.arange(len(loss))
+    near = near[np.argsort(loss[near], kind="stable")][:n]
+    return np.sort(near[np.isfinite(loss[near])])
+
+
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
     """docs with `ids` array<int> (the best segmentation), `score` double, and `others`, the next n - 1 best.
 
@@ -133,35 +261,38 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_B
     kinds = [pa.list_(pa.int32()), pa.float64(), pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = pieces.value, {}
+        known = pieces.value
+        table = table_of(known)
         for batch in batches:
-            for part in slices(batch, text):
-                values, sizes, scores, others = [], [], [], []
-                for t in part.column(text).to_pylist():
-                    if t is None:
+            for part in slices(batch, text, SLICE):
+                words = [PRETOKEN.findall(" " + t) if t is not None else [] for t in part.column(text).to_pylist()]
+                distinct = list(dict.fromkeys(chain.from_iterable(words)))
+                index = dict(zip(distinct, range(len(distinct)), strict=True))
+                found = lattice(distinct, known, table)
+                place, sizes, scores, others = [], [], [], []
+                for row in words:
+                    if not row:
                         sizes.append(None)
                         scores.append(None)
                         others.append([])
                         continue
-                    words = PRETOKEN.findall(" " + t)
-                    new = set(words).difference(known)
-                    if len(known) + len(new) > CACHE:
-                        known, new = {}, set(words)
-                    known.update((w, n_best(w, table, n)) for w in new)
-                    found = list(map(known.__getitem__, words))
-                    ids = np.fromiter(chain.from_iterable(w[0][1] for w in found), np.int32)
-                    best = math.fsum(w[0][0] for w in found)
-                    begins = None
+                    chosen = np.fromiter(map(index.__getitem__, row), np.int64, len(row))
+                    spots, counts = spread(found.offsets, chosen)
+                    best = float(found.score[chosen].sum())
+                    near = cheapest(found.loss[chosen], n - 1)
+                    lists = [n_best(row[w], known, n) for w in near]
+                    begin = np.cumsum(counts) - counts
                     rest = []
-                    for loss, changes in combine(found, n)[1:]:
-                        begins = np.concatenate(([0], np.cumsum([len(w[0][1]) for w in found]))) if begins is None else begins
-                        rest.append({"score": best - loss, "edits": [{"begin": int(begins[w]), "end": int(begins[w + 1]), "ids": list(found[w][c][1])} for w, c in sorted(changes.items())]})
-                    values.append(ids)
-                    sizes.append(len(ids))
+                    for loss, choice in combine(lists, n)[1:]:
+                        edits = [{"begin": int(begin[w]), "end": int(begin[w] + counts[w]), "ids": list(x[c][1])} for w, x, c in zip(near, lists, choice, strict=True) if c]
+                        rest.append({"score": best - loss, "edits": edits})
+                    place.append(spots)
+                    sizes.append(len(spots))
                     scores.append(best)
                     others.append(rest)
                 ends = np.concatenate(([0], np.cumsum([s or 0 for s in sizes]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)), mask=pa.array([s is None for s in sizes]))
+                ids = found.ids[np.concatenate(place)] if place else np.zeros(0, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array([s is None for s in sizes]))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(scores, kinds[1]), pa.array(others, kinds[2])], names=schema.names)
 
     return held.mapInArrow(work, schema)
@@ -174,11 +305,16 @@ def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", model: s
     schema = T.StructType([*held.schema.fields, T.StructField(text, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spell = surface.value.__getitem__
+        spelt = np.frombuffer(b"".join(surface.value), np.uint8)
+        at = np.concatenate(([0], np.cumsum([len(x) for x in surface.value])))
         for batch in batches:
-            lists = batch.column(ids)
-            flat, ends = lists.flatten().to_pylist(), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))))
-            texts = [b"".join(map(spell, flat[i:j])).decode("utf-8", "replace")[1:] if ok else None for i, j, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+            texts = []
+            for row in batch.column(ids):
+                if not row.is_valid:
+                    texts.append(None)
+                    continue
+                places, _ = spread(at, row.values.to_numpy(zero_copy_only=False).astype(np.int64))
+                texts.append(spelt[places].tobytes().decode("utf-8", "replace")[1:])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return held.mapInArrow(work, schema)
