@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Patterns and word lists that decide the same as the rules they stand for.
 WORDS = r"[a-z0-9]+"
@@ -86,7 +87,7 @@ def is_placeholder_hash(value: Column) -> Column:
     return F.coalesce(value.rlike(PLACEHOLDER_HASH), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
