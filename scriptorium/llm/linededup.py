@@ -135,9 +135,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     docs = docs.drop("n_lines", "n_removed")
     gone = repeated_lines(docs, text, doc_id)
-    lines = _lines(docs, text, doc_id).groupBy(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")).agg(F.min(F.struct("doc", "pack")).alias("at")).select("at.*")
-    kept = _without(lines, gone).groupBy("doc", F.shiftright("pack", 32).alias("bits")).agg(F.collect_list(F.col("pack").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("__kept"))
-    every = _lines(docs, text, doc_id).select("doc", F.shiftright("pack", 32).alias("bits"), F.col("pack").alias("p")).groupBy("doc", "bits").agg(F.count_distinct("p").alias("n"))
+    every = written(_lines(docs, text, doc_id).select("doc", "pack", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2")), "lines")
+    bits = F.shiftright("pack", 32).alias("bits")
+    lines = every.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pack")).alias("at")).select("at.*")
+    kept = _without(lines, gone).groupBy("doc", bits).agg(F.collect_list(F.col("pack").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("__kept"))
+    every = every.select("doc", bits, "pack").groupBy("doc", "bits").agg(F.count_distinct("pack").alias("n"))
     at = F.struct("doc", "bits")
     cut = every.select(at.alias("__key"), "n").join(kept.select(at.alias("k"), "__kept"), F.col("__key") == F.col("k"), "left").where("__kept is null or size(__kept) < n").select("__key", F.coalesce("__kept", F.expr("cast(array() as array<int>)")).alias("__kept"))
     cut = written(cut, "lines-kept")
