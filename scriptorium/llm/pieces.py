@@ -33,7 +33,7 @@ PRETOKEN = re.compile(r" +[^ ]*|[^ ]+")
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens that a task remembers the counts of, and bytes of text that are segmented at once.
 CACHE = 200_000
-SLICE = 2 << 20
+SLICE = 1 << 20
 N_BEST = 3
 
 
