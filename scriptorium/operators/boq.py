@@ -34,9 +34,10 @@ def map_header(cells: DataFrame) -> DataFrame:
     """(file_id, row_no, field, col_no): each cell takes the field of the longest label that it equals or begins with;
     the first column wins a field; a label of a sum is never a unit price."""
     label = F.lower(F.trim("text"))
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("name")) for f, names in HEADERS.items() for n in names])
-    hits = F.filter(pairs, lambda p: F.startswith(label, p["name"]) & ~((p["field"] == "unit_price") & label.rlike(TOTAL_WORDS)))
-    best = cells.where(label != "").select("file_id", "row_no", "col_no", F.inline(hits)).withColumn("size", F.length("name"))
+    # a fixed table of about ninety names, so it goes to every task
+    names = cells.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("name")) for f, names in HEADERS.items() for n in names])))
+    fits = F.startswith(F.col("label"), F.col("name")) & ~((F.col("field") == "unit_price") & F.col("label").rlike(TOTAL_WORDS))
+    best = cells.withColumn("label", label).where("label <> ''").join(F.broadcast(names), fits).select("file_id", "row_no", "col_no", "field", F.length("name").alias("size"))
     # the longest label; of equals the field named first
     rank = F.row_number().over(Window.partitionBy("file_id", "row_no", "col_no").orderBy(F.desc("size"), "field"))
     best = best.withColumn("rank", rank).where("rank = 1")
