@@ -84,6 +84,22 @@ def diagnose(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     return rows.select("quote_id", verdict.alias("verdict"), F.size("__g").cast("long").alias("n_grams"), shared.cast("long").alias("in_cited"), "elsewhere")
 
 
+def exists_in(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
+    """phrases (phrase, and any other columns) with `found`: whether a text of corpus (content) holds the phrase, in any case.
+
+    A phrase is a run of four or more ASCII letters and may stand inside a longer word; null has found null.  The distinct
+    runs of letters of the whole corpus meet the phrases by the phrase's first four letters, wherever in a run those
+    stand, and contains decides.
+    """
+    p = F.lower("phrase")
+    asked = phrases.select(p.alias("__p")).where(F.col("__p").isNotNull()).distinct().withColumn("__g", F.substring("__p", 1, GRAM))
+    runs = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("run")).distinct()
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - (GRAM - 1)), lambda i: F.substring(F.col("run"), i, F.lit(GRAM))))
+    there = runs.select("run", F.explode(keys).alias("__g")).join(asked, "__g").where(F.contains("run", "__p")).select("__p").distinct()
+    out = phrases.withColumn("__q", p).join(there, F.col("__q") == F.col("__p"), "left")
+    return out.withColumn("found", F.when(F.col("phrase").isNotNull(), F.col("__p").isNotNull())).drop("__q", "__p")
+
+
 def ground_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """questions (id, terms, pages) with how many live and retired chunks on those pages hold one of the terms."""
     q = questions.select("id", F.explode("pages").alias("page"), "terms")

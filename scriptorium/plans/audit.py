@@ -258,6 +258,20 @@ def h5_exists_in_corpus(c: Corpus) -> DataFrame:
     return q.join(c.chunks(), "version_id").groupBy("query_id").agg(F.bool_or(F.contains(F.lower("content"), F.col("terms")[0])).alias("found"))
 
 
+_PHRASES = """phrases AS (SELECT conv_id * 1000 + turn AS query_id, nullif(regexp_extract(lower(text), '[a-z]{4,}'), '') AS phrase FROM conversations WHERE role = 'user')"""
+
+
+@query(
+    "h5_exists_in_searchable",
+    f"{with_views('docs', 'versions', 'chunks')}, {PS.SEARCHABLE}, {_PHRASES}, low AS (SELECT lower(content) AS content FROM searchable), held AS (SELECT DISTINCT phrase FROM (SELECT DISTINCT phrase FROM phrases) JOIN low ON contains(content, phrase)) SELECT query_id, CASE WHEN p.phrase IS NOT NULL THEN h.phrase IS NOT NULL END AS found FROM phrases p LEFT JOIN held h ON h.phrase = p.phrase",
+)
+def h5_exists_in_searchable(c: Corpus) -> DataFrame:
+    """The first word of four letters or more of every user's turn, looked up in all that search can return."""
+    word = F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0)
+    q = c.table("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.nullif(word, F.lit("")).alias("phrase"))
+    return C.exists_in(q, S.searchable(c.chunks(), c.versions(), c.documents(), None)).select("query_id", "found")
+
+
 _LIVE = """live AS (SELECT version_id, page, superseded_by IS NULL AND (version_id + page) % 4 <> 0 AS live FROM chunks)"""
 
 

@@ -178,3 +178,20 @@ def test_reports(spark, tmp_path):
     assert files.read_report(spark, str(tmp_path / "run")).first()["id"] == "q1"
     (tmp_path / "q.jsonl").write_text('{"id": "a", "text": "t", "expect": "answerable", "expect_pages": [1, 2]}\n')
     assert files.read_questions(spark, str(tmp_path / "q.jsonl")).first()["expect_pages"] == [1, 2]
+
+
+def test_phrases_are_asked_of_the_whole_corpus(spark):
+    """Found in any text whatever the question's id, inside longer words too; no question is lost."""
+    corpus = spark.createDataFrame([(8, "Plain words"), (9999, "ANTICOAGULANT therapy"), (5, None)], "version_id long, content string")
+    asked = spark.createDataFrame([(1000, "coagul"), (2001, "Plain"), (2001, "Plain"), (3000, "absent"), (4000, None)], "query_id long, phrase string")
+    got = sorted((r["query_id"], r["found"]) for r in C.exists_in(asked, corpus).collect())
+    assert got == [(1000, True), (2001, True), (2001, True), (3000, False), (4000, None)]
+
+
+def test_phrases_of_every_turn_have_a_row(spark):
+    from scriptorium import plans
+
+    sf = "/root/testdata/sf0.001"
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").count()
+    rows = plans.QUERIES["h5_exists_in_searchable"](spark, sf).collect()
+    assert len(rows) == turns and sum(bool(r["found"]) for r in rows) > 0
