@@ -116,18 +116,13 @@ def _capitals(t: Texts) -> np.ndarray:
     return upper > count_bytes(t, LOWER) + 20
 
 
-def _dup_lines(t: Texts) -> np.ndarray:
-    lines, dup = line_counts(t)
-    return 10 * dup > 3 * lines
-
-
 #: name -> predicate that is true for a text to reject.  No words or no text: only `few_words` rejects it.
+#: Repeated lines are no reason: line dedup mends them, and labels call most such documents clean.
 RULES: dict[str, Rule] = {
     "few_words": lambda t: count_words(t) < 20,
     "repeated_windows": lambda t: 100 * count_repeat_words(t) > 30 * count_words(t),
     "symbols": lambda t: 10 * count_bytes(t, SYMBOL) > count_words(t),
     "capitals": _capitals,
-    "duplicate_lines": _dup_lines,
     "long_words": _long_words,
     "few_letters": _few_letters,
 }

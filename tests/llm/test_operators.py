@@ -96,6 +96,24 @@ def test_quality_order_changes_no_verdict(docs, empty):
     assert reject(empty).count() == 0
 
 
+def test_added_rules_keep_clean_documents(spark):
+    """What a rule beyond the base ones rejects is never labelled clean, and repeated lines are left to line dedup."""
+    import pyarrow as pa
+
+    from scriptorium.llm.common import offsets
+    from scriptorium.llm.quality import RULES, base_counts, base_failed, cascade
+
+    sf = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").select("text").collect()
+    t = offsets(pa.array([r["text"] or "" for r in rows]))
+    passed = ~base_failed(base_counts(t))
+    assert passed.sum() > 100
+    assert {name: int((rule(t) & passed).sum()) for name, rule in RULES.items()} == dict.fromkeys(RULES, 0)
+    repeats = "\n".join([f"short line {i}" for i in range(4)] * 2 + [" ".join(f"w{i}" for i in range(60))])
+    assert not base(repeats)[-1]
+    assert cascade(pa.array([repeats]), list(RULES))[0] == -1
+
+
 # 5
 
 
