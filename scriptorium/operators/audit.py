@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
@@ -22,21 +27,30 @@ def payload(df: DataFrame, fields: list[str]) -> Column:
 def append_chain(new: DataFrame, tails: DataFrame, fields: list[str], key: str = "clinic_id", order: str = "seq") -> DataFrame:
     """new with prev_hash and row_hash, chained within each key from the stored tail (key, row_hash) or the genesis.
 
-    row_hash = sha256(prev_hash and payload).  A chain is sequential: each key's new rows are folded in one place, keys
-    in parallel.
+    row_hash = sha256(prev_hash and payload).  A chain is sequential, so a key's new rows pass one task in order, but
+    as a sorted stream of which only the last hash is held; payloads are made before, in parallel.  Rows without a key
+    have no chain and are left out.
     """
-    body = new.withColumn("__p", payload(new, fields))
     t = tails.select(F.col(key).alias("__k"), F.col("row_hash").alias("__tail"))
-    batch = body.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__p").alias("h")))).alias("rows"))
-    batch = batch.join(t, batch[key] == t["__k"], "left").withColumn("__tail", F.coalesce("__tail", F.lit(GENESIS)))
-    start = F.struct(F.col("__tail").alias("prev"), F.expr("cast(array() as array<struct<o:bigint,prev:string,hash:string>>)").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(s["prev"], x["h"]), 256)
-        return F.struct(h.alias("prev"), F.concat(s["out"], F.array(F.struct(x["o"].cast("long").alias("o"), s["prev"].alias("prev"), h.alias("hash")))).alias("out"))
-
-    links = batch.select(key, F.inline(F.aggregate("rows", start, step, lambda s: s["out"]))).select(F.col(key).alias("__k"), F.col("o"), F.col("prev").alias("prev_hash"), F.col("hash").alias("row_hash"))
-    return body.join(links, (body[key] == links["__k"]) & (body[order] == links["o"])).drop("__p", "__k", "o")
+    body = new.where(F.col(key).isNotNull()).withColumn("__p", payload(new, fields))
+    body = body.join(t, body[key] == t["__k"], "left").withColumn("__tail", F.coalesce("__tail", F.lit(GENESIS))).drop("__k")
+    body = body.repartition(key).sortWithinPartitions(key, order, "__p")
+    schema = T.StructType([f for f in body.schema.fields if f.name not in ("__p", "__tail")] + [T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, ""
+        for batch in batches:
+            before, after = [], []
+            for k, tail, text in zip(batch.column(key).to_pylist(), batch.column("__tail").to_pylist(), batch.column("__p").to_pylist(), strict=True):
+                if k != at:
+                    at, last = k, tail
+                before.append(last)
+                last = hashlib.sha256((last + text).encode()).hexdigest()
+                after.append(last)
+            kept = [n for n in batch.schema.names if n not in ("__p", "__tail")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+
+    return body.mapInArrow(fold, schema)
 
 
 def verify_chain(log: DataFrame, fields: list[str], key: str = "clinic_id", order: str = "seq") -> DataFrame:

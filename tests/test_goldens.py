@@ -195,3 +195,23 @@ def test_phrases_of_every_turn_have_a_row(spark):
     turns = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").count()
     rows = plans.QUERIES["h5_exists_in_searchable"](spark, sf).collect()
     assert len(rows) == turns and sum(bool(r["found"]) for r in rows) > 0
+
+
+def test_chain_is_a_stream_of_rows(spark):
+    """No group becomes one row: a key with most of the rows is chained in order, from its stored tail, without collecting."""
+    import hashlib
+
+    n = 30_000
+    log = spark.range(n).select(F.col("id").alias("seq"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("c"), F.col("id") % 70)).otherwise("big").alias("clinic_id"), F.concat(F.lit("é"), F.col("id")).alias("response"))
+    tails = spark.createDataFrame([("big", "f" * 64)], "clinic_id string, row_hash string")
+    out = A.append_chain(log.repartition(7), tails, ["clinic_id", "response"])
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r["seq"]: r for r in out.collect()}
+    assert len(rows) == n
+    last = {"big": "f" * 64}
+    for i in range(n):
+        k = rows[i]["clinic_id"]
+        assert rows[i]["prev_hash"] == last.get(k, A.GENESIS)
+        text = f'{{"clinic_id":"{k}","response":"é{i}"}}'
+        last[k] = hashlib.sha256((rows[i]["prev_hash"] + text).encode()).hexdigest()
+        assert rows[i]["row_hash"] == last[k]
