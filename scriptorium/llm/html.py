@@ -19,9 +19,9 @@ from scriptorium.llm.common import slices
 
 # Fixed values of the HTML standard: elements by their parsing and default display.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist object iframe audio video canvas svg math noembed noframes area param source track".split())
+HIDDEN = frozenset("head script style template noscript title datalist object iframe audio video canvas noembed noframes area param source track annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset menu dir hr".split())
-LINES = frozenset("html body div section article aside nav header footer main address form li dt dd tr caption figcaption legend details summary center hgroup search optgroup option thead tbody tfoot".split())
+LINES = frozenset("html body div section article aside nav header footer main address form li dt dd tr caption figcaption legend details summary center hgroup search optgroup option thead tbody tfoot mtable mtr".split())
 CLOSES_P = SPACED | frozenset("address article aside center details dialog div fieldset figcaption figure footer form header hgroup main nav section summary".split())
 #: A start tag closes these, if open, up to a boundary.
 IMPLIED = {
@@ -42,6 +42,12 @@ HEAD_CONTENT = frozenset("base link meta script style title template noscript".s
 CELLS = frozenset(("td", "th"))
 SCOPES = frozenset("table td th caption button object template".split())
 GAP = "  "
+#: In svg only text elements and embedded HTML show text, and these show none; in math these set their parts apart.
+SVG_HIDDEN = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mmultiscripts mtr".split())
+#: Where HTML may stand inside svg and math, and the tags that elsewhere end them.
+EMBEDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 
 _none = re.compile(r"display\s*:\s*none", re.I)
 _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -62,6 +68,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
+        self.n_foreign = 0
 
     def close_to(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """Close what is open of tags, down to the innermost element of stop."""
@@ -73,13 +80,27 @@ class Builder(HTMLParser):
                 low = i
         del self.open[low:]
 
+    def foreign(self) -> int:
+        """Where the svg or math begins that the next tag is in, 0 for none."""
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag in EMBEDS or self.open[i].tag in SCOPES:
+                return 0
+            if self.open[i].tag in ("svg", "math"):
+                return i
+        return 0
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
             return
+        if self.n_foreign and tag in BREAKS_OUT and (i := self.foreign()):
+            while i:
+                del self.open[i:]
+                i = self.foreign()
+        self.n_foreign += tag in ("svg", "math")
         if self.open[-1].tag == "head" and tag not in HEAD_CONTENT and tag != "head":
             self.open.pop()
         if tag in CLOSES_P:
-            self.close_to({"p"}, SCOPES)
+            self.close_to({"p"}, SCOPES | EMBEDS)
         if tag in IMPLIED:
             self.close_to(*IMPLIED[tag])
         if tag in CELLS and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -90,7 +111,11 @@ class Builder(HTMLParser):
             self.open.append(e)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        """A slash closes only in svg and math."""
+        closes = tag in ("svg", "math") or (self.n_foreign > 0 and self.foreign() > 0)
         self.handle_starttag(tag, attrs)
+        if closes and self.open[-1].tag == tag:
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -163,48 +188,96 @@ def _hidden(e: Element) -> bool:
     return bool(_none.search(e.attrs.get("style") or ""))
 
 
-def _table(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (text, columns spanned) as lines, each column as wide as its widest cell of one column."""
-    width: list[int] = []
+Cell = tuple[str, int, int]
+
+
+def _span(e: Element, name: str, most: int) -> int:
+    n = e.attrs.get(name) or ""
+    n = int(n) if re.fullmatch(r"[0-9]{1,9}", n) else 1
+    return most if n == 0 and name == "rowspan" else max(1, min(most, n))
+
+
+def _placed(rows: list[list[Cell] | None]) -> list[list[tuple[int, str, int]]]:
+    """Rows of (column, text, columns spanned); columns that a cell from above still fills are passed over, to the end of its group."""
+    out, left = [], {}
     for row in rows:
-        at = 0
-        for text, span in row:
-            width += [0] * (at + span - len(width))
-            if span == 1:
-                width[at] = max(width[at], len(text))
+        if row is None:
+            left = {}
+            continue
+        at, cells, held = 0, [], {c: n - 1 for c, n in left.items() if n > 1}
+        for text, span, down in row:
+            while at in left:
+                at += 1
+            cells.append((at, text, span))
+            if down > 1:
+                held |= dict.fromkeys(range(at, at + span), down - 1)
             at += span
+        out.append(cells)
+        left = held
+    return out
+
+
+def _table(rows: list[list[Cell] | None]) -> list[str]:
+    """Rows of cells as lines, each column as wide as the widest line of its cells of one column.
+
+    A row's cells stand beside each other line by line; where one has a blank line, as around paragraphs, they follow
+    each other as blocks.
+    """
+    placed = [(row, any("\n\n" in text for _, text, _ in row)) for row in _placed(rows)]
+    width: dict[int, int] = {}
+    for row, blocks in placed:
+        for at, text, span in row:
+            if span == 1 and not blocks:
+                width[at] = max(width.get(at, 0), *map(len, text.split("\n")))
     lines = []
-    for row in rows:
-        at, parts = 0, []
-        for text, span in row:
-            parts.append(text.ljust(sum(width[at : at + span]) + len(GAP) * (span - 1)))
-            at += span
-        lines.append(GAP.join(parts).rstrip())
-    return [x for x in lines if x]
+    for row, blocks in placed:
+        if blocks:
+            for _, text, _ in row:
+                if text:
+                    lines += [*([""] if lines else []), *text.split("\n")]
+            lines.append("")
+            continue
+        cells = [(at, text.split("\n"), span) for at, text, span in row]
+        for k in range(max((len(x) for _, x, _ in cells), default=0)):
+            to, parts = 0, []
+            for at, x, span in cells:
+                parts += ["".ljust(width.get(c, 0)) for c in range(to, at)]
+                parts.append((x[k] if k < len(x) else "").ljust(sum(width.get(c, 0) for c in range(at, at + span)) + len(GAP) * (span - 1)))
+                to = at + span
+            if line := GAP.join(parts).rstrip():
+                lines.append(line)
+    while lines and not lines[-1]:
+        lines.pop()
+    return lines
 
 
 def render(root: Element) -> str:
     """All visible text of a tree; no recursion, so depth is no limit."""
     page = Page()
     pages: list[Page] = []
-    tables: list[list[list[tuple[str, int]]]] = []
+    tables: list[list[list[Cell] | None]] = []
     lists: list[list] = []  # of [ordered, next number, indent]
     pre, shown = 0, [True]
+    modes = ["html"]  # "svg": where text isn't drawn; "label": svg's text elements
     todo: list[tuple[Element | str, bool]] = [(root, False)]
     while todo:
         e, leaving = todo.pop()
         if isinstance(e, str):
-            if shown[-1]:
+            if shown[-1] and modes[-1] != "svg":
                 page.text(e, pre > 0)
             continue
         tag = e.tag
         if not leaving:
-            if _hidden(e):
+            if _hidden(e) or modes[-1] == "svg" and tag in SVG_HIDDEN:
                 continue
             v = _visibility.search(e.attrs.get("style") or "")
             shown.append(v[1].lower() == "visible" if v else shown[-1])
+            label = modes[-1] == "svg" and tag in ("text", "foreignobject")
+            modes.append("svg" if tag == "svg" else ("label" if tag == "text" else "html") if label else modes[-1])
             todo.append((e, True))
-            todo += [(c, False) for c in reversed(e.children)]
+            todo += [(x, False) for c in reversed(e.children) for x in ((" ", c) if tag in APART else (c,))]
+            if label:
+                page.block(1)
             if tag == "br":
                 page.breaks, page.space = page.breaks + 1, False
             elif tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists):
@@ -238,6 +311,9 @@ def render(root: Element) -> str:
                 page = Page()
             continue
         shown.pop()
+        modes.pop()
+        if modes[-1] == "svg" and tag in ("text", "foreignobject"):
+            page.block(1)
         if tag == "pre":
             pre -= 1
         elif tag in ("ul", "ol", "menu", "dir"):
@@ -247,15 +323,18 @@ def render(root: Element) -> str:
         elif tag in ("dd", "blockquote"):
             page.indent = page.indent[:-2]
         elif tag in CELLS and tables:
-            text, page = _space.sub(" ", page.done()), pages.pop()
-            span = e.attrs.get("colspan") or ""
-            if not tables[-1]:
+            text, page = page.done(), pages.pop()
+            if not tables[-1] or tables[-1][-1] is None:
                 tables[-1].append([])
-            tables[-1][-1].append((text, max(1, min(1000, int(span))) if re.fullmatch(r"[0-9]{1,9}", span) else 1))
+            tables[-1][-1].append((text, _span(e, "colspan", 1000), _span(e, "rowspan", 65534)))
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].append(None)
         elif tag == "table":
-            for line in _table(tables.pop()):
-                page.block(1)
-                page.put(line)
+            page.block(1)
+            for i, line in enumerate(_table(tables.pop())):
+                page.breaks += i > 0
+                if line:
+                    page.put(line)
         if tag in SPACED and not (tag in ("ul", "ol", "menu", "dir") and lists):
             page.block(2)
         elif tag in LINES or tag in ("ul", "ol", "menu", "dir"):

@@ -465,6 +465,22 @@ def test_html(spark):
     assert extract(d.limit(0)).count() == 0
 
 
+def test_html_math_svg_and_cells():
+    """Visible text of math and svg; a cell's lines, lists and nested tables; columns under cells that span rows."""
+    from scriptorium.llm.html import build, render
+
+    show = lambda x: render(build(x))
+    assert show("Area <math><mi>A</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> end") == "Area A=1 2 end"
+    assert show("<p>a<svg><title>no</title><defs><text>no</text></defs>no<path/><g><text>La<tspan>bel</tspan></text><text>two</text></g></svg>b") == "a\nLabel\ntwo\nb"
+    assert show("x<svg/>y") == "xy" and show("<svg><g><p>out</svg>") == "out"
+    assert show("<svg><foreignObject><p>one<p>two</foreignObject></svg>") == "one\n\ntwo"
+    assert show("<table><tr><td>nav<td><p>One<p>Two<ul><li>a<li>b</ul></table>after") == "nav\n\nOne\n\nTwo\n\n- a\n- b\n\nafter"
+    assert show("<table><tr><td>a<br>bb<td>c<tr><td>d<td>e<br>f</table>") == "a   c\nbb\nd   e\n    f"
+    assert show("<table><tr><td><table><tr><td>x<td>y<tr><td>long<td>z</table></table>") == "x     y\nlong  z"
+    assert show("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>") == "ab  c\n    d\ne   f"
+    assert show("<table><tbody><tr><td rowspan=0>a<td>b</tbody><tbody><tr><td>c<td>d</tbody></table>") == "a  b\nc  d"
+
+
 # pipeline
 
 
