@@ -183,9 +183,14 @@ def test_hypergeometric_law(spark):
 # 4
 
 
-def test_line_dedup(docs, empty):
+@pytest.mark.parametrize("limits", [{}, {"HOT_GRADE": 8, "MANY": 6}, {"CLOSE": 0, "BUCKET": 50, "PAIRS": 3}])
+def test_line_dedup(docs, empty, monkeypatch, limits):
+    """Small limits send words to the join of tables, by their count, their lines or their matches."""
+    from scriptorium.llm import linededup
     from scriptorium.llm.linededup import dedup_lines
 
+    for k, v in limits.items():
+        monkeypatch.setattr(linededup, k, v)
     sets, seen, want = [], set(), defaultdict(list)
     unique = list(dict.fromkeys(corpus()))
     order = sorted(unique, key=lambda x: (x[0] is not None, x[0] or 0))
