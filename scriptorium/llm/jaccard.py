@@ -23,12 +23,14 @@ from scriptorium.llm.components import components
 from scriptorium.llm.quality import SPACE
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
-HASHES = 64
+#: Minhashes of a sketch, of 16 bits each.
+HASHES = 128
 #: Sketches within a bucket link two texts from this estimate on: five standard deviations under the threshold.
-COARSE = 0.55
+COARSE = 0.62
 #: A bucket of at most so many texts is compared in full.
 BUCKET = 200
-#: A larger one is split on so many further samples, so many times; what is still large then is similar throughout.
+#: A larger one is split on so many further samples, so many times.  What is then still large agrees on all of them: most
+#: of it is close to one text, and the rest is compared in full in blocks.
 SPLITS, DEPTH = 2, 2
 #: Texts a block of the exact join.
 BLOCK = 256
@@ -57,20 +59,23 @@ def shingles(t: tuple[np.ndarray, np.ndarray], size: int = SHINGLE) -> tuple[np.
     return mix(h[order]), of[order]
 
 
-def sketch(t: tuple[np.ndarray, np.ndarray]) -> pa.Array:
-    """Minhashes of each text, null without words."""
+def sketch(t: tuple[np.ndarray, np.ndarray], keys: list[int]) -> list[pa.Array]:
+    """Of each text its minhashes (16 bits each) and those numbered in keys whole, null without words."""
     h, of = shingles(t)
     n = len(t[1]) - 1
     some = np.flatnonzero(per_owner(of, n))
-    out = np.zeros((len(some), HASHES), np.int32)
+    out, whole = np.zeros((len(some), HASHES), np.int16), np.zeros((len(some), len(keys)), np.int64)
     if len(some):
         starts = np.searchsorted(of, some)
         for j in range(HASHES):
-            out[:, j] = (np.minimum.reduceat((h ^ _seeds[j]) * (_seeds[HASHES + j] | np.uint64(1)), starts) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    mask = np.ones(n + 1, bool)
+            least = np.minimum.reduceat((h ^ _seeds[j]) * (_seeds[HASHES + j] | np.uint64(1)), starts)
+            out[:, j] = (least >> np.uint64(48)).astype(np.uint16).view(np.int16)
+            for i in np.flatnonzero(np.array(keys) == j):
+                whole[:, i] = least.view(np.int64)
+    mask = np.ones(n, bool)
     mask[some] = False
-    ends = np.concatenate(([0], np.cumsum(~mask[:-1]) * HASHES)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(mask[:-1]))
+    ends = lambda width: pa.array(np.concatenate(([0], np.cumsum(~mask) * width)).astype(np.int32))
+    return [pa.ListArray.from_arrays(ends(x.shape[1]), pa.array(x.ravel()), mask=pa.array(mask)) for x in (out, whole)]
 
 
 def _roots(linked: np.ndarray) -> np.ndarray:
@@ -97,30 +102,49 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(ids[root[moved]]), pa.array(ids[moved])], names=["a", "b"])
 
 
-def coarse_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """texts (tid, sig) -> links (a, b) whose components hold every pair of the similarity, at the recall."""
+def draws(similarity: float, recall: float) -> list[list[int]]:
+    """The samples of each run, first those that split all texts, then those of each further split: every run has its own order."""
     n_runs = max(1, math.ceil(math.log(1 - recall) / math.log(1 - similarity)))
-    draws = [1 + (r % 4 == 3) for r in range(n_runs)]  # 1 / similarity samples a node on average
-    taken = sum(draws)
-    order = np.argsort(mix(np.arange(HASHES, dtype=np.uint64) + np.uint64(11)))
-    at = [int(order[i % HASHES]) for i in range(taken + SPLITS * DEPTH)]
-    keys = [F.xxhash64(F.lit(r), F.lit(c), F.col("sig")[c]) for r, c in zip((r for r, k in enumerate(draws) for _ in range(k)), at[:taken], strict=True)]
-    rows = texts.where("sig is not null").select("tid", F.explode(F.array(*keys)).alias("key"))
-    links, small = None, None
+    first = [1 + (r % 4 == 3) for r in range(n_runs)]  # 1 / similarity samples a node on average
+    every = np.argsort(mix(np.arange(HASHES, dtype=np.uint64) + np.uint64(11))).tolist()
+    out = []
+    for k in first:
+        out.append(every[: k + SPLITS * DEPTH])
+        every = every[k + SPLITS * DEPTH :] + every[: k + SPLITS * DEPTH]
+    return out
+
+
+def coarse_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """texts (tid, sig, keys) -> links (a, b) whose components hold every pair of the similarity, at the recall."""
+    plan = draws(similarity, recall)
+    firsts = [(r, i) for r, run in enumerate(plan) for i in range(len(run) - SPLITS * DEPTH)]
+    at = F.array(*[F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), F.lit(i), F.col("keys")[j]).alias("key")) for j, (r, i) in enumerate(firsts)])
+    rows = texts.where("sig is not null").select("tid", F.inline(at))
+    small, left = None, None
     for depth in range(DEPTH + 1):
         rows = written(rows, "splits")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("head")).where("n > 1")
-        sized = written(rows.join(sizes, "key"), "buckets")
-        here = sized.where(F.col("n") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_set("tid")).alias("members")).select("members").where(F.size("members") > 1).distinct()
+        sizes = rows.groupBy("run", "key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("head")).where("n > 1")
+        sized = written(rows.join(sizes, ["run", "key"]), "buckets")
+        here = sized.where(F.col("n") <= BUCKET).groupBy("run", "key").agg(F.sort_array(F.collect_set("tid")).alias("members")).select("members").where(F.size("members") > 1).distinct()
         small = here if small is None else small.unionByName(here)
-        large = sized.where(F.col("n") > BUCKET)
-        if depth == DEPTH:
-            links = large.where("tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
-            break
-        more = at[taken + SPLITS * depth : taken + SPLITS * (depth + 1)]
-        rows = large.join(texts, "tid").select("tid", F.explode(F.array(*[F.xxhash64("key", F.lit(c), F.col("sig")[c]) for c in more])).alias("key"))
+        left = sized.where(F.col("n") > BUCKET).select("run", "key", "tid", "head", "n")
+        if depth < DEPTH:
+            more = F.element_at(F.array(*[F.array(*[F.lit(c) for c in run[len(run) - SPLITS * DEPTH :][SPLITS * depth : SPLITS * (depth + 1)]]) for run in plan]), F.col("run") + 1)
+            rows = left.join(texts.select("tid", "sig"), "tid").select("tid", "run", F.explode(F.transform(more, lambda c: F.xxhash64("key", c, F.get("sig", c)))).alias("key"))
     small = small.distinct().select(F.xxhash64("members", F.size("members")).alias("bucket"), F.explode("members").alias("tid"))
-    full = small.join(texts.select("tid", "sig"), "tid").select("bucket", "tid", "sig").repartition("bucket").sortWithinPartitions("bucket")
+    # what is still large: close to its first text, or compared in blocks with the others that aren't
+    sig = texts.select("tid", "sig")
+    led = left.join(sig, "tid").join(sig.select(F.col("tid").alias("head"), F.col("sig").alias("head_sig")), "head")
+    agree = F.aggregate(F.zip_with("sig", "head_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
+    led = written(led.select("run", "key", "tid", "head", (agree >= F.lit(COARSE * HASHES)).alias("close")), "led")
+    links = led.where("close and tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct()
+    apart = led.where("not close")
+    if apart.limit(1).count():
+        blocks = apart.groupBy("run", "key").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("blocks"))
+        apart = written(apart.join(blocks, ["run", "key"]).withColumn("block", F.pmod(F.xxhash64("tid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "apart")
+        pairs = apart.select(F.xxhash64("run", "key", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "tid")
+        small = small.unionByName(pairs)
+    full = small.join(sig, "tid").select("bucket", "tid", "sig").repartition("bucket").sortWithinPartitions("bucket")
     return full.mapInArrow(_bucket_links, "a long, b long").unionByName(links)
 
 
@@ -177,19 +201,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     (null too) links to nothing: its row is its own class.  Repeated ids and rows are separate rows.
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), *text_key(text), F.col(text).alias("text"))
+    keys = [c for run in draws(similarity, recall) for c in run[: len(run) - SPLITS * DEPTH]]
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), sketch(offsets(part.column("text")))], names=["doc_id", "k1", "k2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("k1"), part.column("k2"), *sketch(offsets(part.column("text")), keys)], names=["doc_id", "k1", "k2", "sig", "keys"])
 
-    seen = read.mapInArrow(sketches, f"doc_id {kind}, k1 long, k2 long, sig array<int>")
-    texts = seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("head"), F.first("sig").alias("sig"))
+    seen = read.mapInArrow(sketches, f"doc_id {kind}, k1 long, k2 long, sig array<short>, keys array<long>")
+    texts = seen.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("head"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
-    coarse = components(coarse_links(texts.select("tid", "sig"), similarity, recall))
+    coarse = components(coarse_links(texts.select("tid", "sig", "keys"), similarity, recall))
     sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    some = written(coarse.join(sizes, "root").select(F.col("node").alias("tid"), F.col("root").alias("comp"), "m").join(texts.drop("sig"), "tid"), "coarse")
+    some = written(coarse.join(sizes, "root").select(F.col("node").alias("tid"), F.col("root").alias("comp"), "m").join(texts.drop("sig", "keys"), "tid"), "coarse")
     hashed = F.xxhash64("k1", "k2", "head")
     near = sieve(some, hashed)
     heads = read.where(near(F.xxhash64("k1", "k2", "doc_id"))).select(F.struct("k1", "k2", "doc_id").alias("at"), "text")
