@@ -90,18 +90,21 @@ def shard(df: DataFrame, n_shards: int = 16, seed: int = 17) -> DataFrame:
     shard or slot are replaced.  df is written to the shared folder once, so that rows keep their place on recovery.
     """
     own = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = written(df.select(*own).withColumn("__rid", F.monotonically_increasing_id()), "to-shard")
-    part = F.shiftrightunsigned("__rid", 33)
+    # the caller's columns travel in one of ours, so that no name clashes
+    whole = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
+    rows = written(df.select(whole.alias("row"), F.monotonically_increasing_id().alias("rid")), "to-shard")
+    part = F.shiftrightunsigned("rid", 33)
     sizes = written(rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")), "sizes")
     n = int(sizes.agg(F.sum("n")).first()[0] or 0)
     matrix = communication_matrix(sizes, n_shards, seed)
-    ends = matrix.select("part", F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda i: F.aggregate(F.slice("counts", 1, i), F.lit(0).cast("long"), lambda a, b: a + b)).alias("__ends"))
-    local = rows.withColumn("part", part).withColumn("__at", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), F.col("__rid")), "__rid")))
-    sent = local.join(ends, "part").withColumn("shard", F.size(F.filter("__ends", lambda e: e < F.col("__at"))).cast("int"))
-    order = F.xxhash64(F.lit(seed), F.lit("again"), F.col("__rid"))
+    ends = matrix.select("part", F.transform(F.sequence(F.lit(1), F.lit(n_shards)), lambda i: F.aggregate(F.slice("counts", 1, i), F.lit(0).cast("long"), lambda a, b: a + b)).alias("ends"))
+    local = rows.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), F.col("rid")), "rid")))
+    sent = local.join(ends, "part").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("at"))).cast("int"))
+    order = F.xxhash64(F.lit(seed), F.lit("again"), F.col("rid"))
     buckets = max(1, -(-n // n_shards // BUCKET_ROWS))
-    sent = sent.withColumn("__order", order).withColumn("__bucket", F.floor((F.shiftright("__order", 1) + F.lit(1 << 62)) / F.lit(float(1 << 63)) * buckets).cast("long"))
-    within = sent.withColumn("__slot", F.row_number().over(Window.partitionBy("shard", "__bucket").orderBy("__order", "__rid")) - 1)
-    before = sent.groupBy("shard", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    return within.join(before.drop("__n"), ["shard", "__bucket"]).select(*own, "shard", (F.col("__slot") + F.col("__before")).cast("long").alias("slot"))
+    sent = sent.withColumn("order", order).withColumn("bucket", F.floor((F.shiftright("order", 1) + F.lit(1 << 62)) / F.lit(float(1 << 63)) * buckets).cast("long"))
+    within = sent.withColumn("slot", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("order", "rid")) - 1)
+    before = sent.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
+    placed = within.join(before.drop("n"), ["shard", "bucket"])
+    return placed.select(*[F.col("row")[c].alias(c) for c in own], "shard", (F.col("slot") + F.col("before")).cast("long").alias("slot"))
