@@ -10,16 +10,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the cluster names none (tests, one machine)."""
+    """The folder all executors share; a temporary one only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -45,12 +48,18 @@ def sieve(keys: DataFrame, key: Column, bits: int = 21) -> Callable[[Column], Co
     return lambda h: F.call_function("shiftrightunsigned", table[at(h)], bit(h).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
-def merged(spans: Column) -> Column:
-    """An array of spans as maximal runs: sorted, and joined where they touch."""
-    empty = F.expr("cast(array() as array<struct<begin:int,end:int>>)")
-    last = lambda done: F.element_at(done, -1)
-    longer = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["begin"].alias("begin"), F.greatest(last(done)["end"], x["end"]).alias("end"))))
-    return F.aggregate(F.array_sort(spans), empty, lambda done, x: F.when((F.size(done) > 0) & (x["begin"] <= last(done)["end"]), longer(done, x)).otherwise(F.concat(done, F.array(x))))
+def merged(rows: DataFrame, keys: list[str], spans: str) -> DataFrame:
+    """rows (keys, an array of spans) with the array as maximal runs: sorted, and joined where they touch.
+
+    Spans become rows and runs are numbered in order, within the keys' partition, so no array grows step by step.
+    """
+    each = rows.select(*keys, F.inline(spans))
+    w = Window.partitionBy(*keys).orderBy("begin", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = each.withColumn("new", (before.isNull() | (F.col("begin") > before)).cast("int"))
+    run = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.groupBy(*keys, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return run.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(spans))
 
 
 def slide(x: np.ndarray, w: int, least: np.ufunc) -> np.ndarray:

@@ -108,6 +108,8 @@ def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
 
     given = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
     prints = written(given.mapInArrow(item_rows, f"item string, prints {FINGERPRINTS}").select("item", F.inline("prints")), "item-prints")
+    # items that share a fingerprint and what stands around it are one row until a hit is extended
+    kinds = written(prints.select("class", "h", F.col("near").alias("item_near")).distinct().withColumn("kind", F.monotonically_increasing_id()), "print-kinds")
     classes = sorted(r[0] for r in prints.select("class").distinct().collect())  # 13 at most
     marked = np.zeros(1 << MAP_BITS >> 3, np.uint8)
     bits = prints.select(F.shiftrightunsigned("h", 64 - MAP_BITS).alias("bit")).distinct()
@@ -142,17 +144,20 @@ def find_spans(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: st
                 out.append((rows[good], begin, (pos_all[rows] + k + right)[good]))
             rows, begin, end = (np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
             take = pa.array(rows.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("item").take(take), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["rid", "item", "begin", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), batch.column("kind").take(take), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], names=["rid", "kind", "begin", "end"])
 
     hits = (
         seen.where(F.size("prints") > 0)
         .select("rid", F.inline("prints"))
-        .join(prints.select("item", "class", "h", F.col("near").alias("item_near")).distinct(), ["class", "h"])
-        .select("rid", "item", "class", "pos", "near", "item_near")
-        .mapInArrow(extend, "rid long, item string, begin int, end int")
+        .join(kinds, ["class", "h"])
+        .select("rid", "kind", "class", "pos", "near", "item_near")
+        .mapInArrow(extend, "rid long, kind long, begin int, end int")
     )
-    spans = hits.groupBy("rid").agg(merged(F.collect_set(F.struct("begin", "end"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
-    return seen.drop("prints").join(spans, "rid", "left")
+    hits = written(hits, "hits")
+    spans = merged(hits.groupBy("rid").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), ["rid"], "spans")
+    owners = prints.join(kinds, (prints["class"] == kinds["class"]) & (prints["h"] == kinds["h"]) & (prints["near"] == kinds["item_near"])).select("kind", "item").distinct()
+    named = hits.select("rid", "kind").distinct().join(owners, "kind").groupBy("rid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return seen.drop("prints").join(spans, "rid", "left").join(named, "rid", "left")
 
 
 def contamination(spans: DataFrame) -> DataFrame:

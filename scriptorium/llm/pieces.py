@@ -54,6 +54,9 @@ def load(model: str = MODEL) -> Pieces:
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
     surface = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
+    inner = [p for p in names if "▁" in p.lstrip("▁")]
+    if inner:
+        raise ValueError(f"pieces with a space after another character would join pre-tokens: {inner[:3]}")
     plain = [i for i in range(len(names)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
     total = math.log(sum(1 / (r + 1) for r in range(len(plain))))
     scores: dict[str, tuple[int, float] | None] = {}

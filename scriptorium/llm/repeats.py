@@ -125,7 +125,7 @@ def find_repeats(docs: DataFrame, text: str = "text", hot: int = HOT, shard_byte
         spans = spans.unionByName(hits.select("k1", "k2", "begin", (F.col("begin") + SIZE).alias("end")))
     equal = kinds.where("n > 1").select("h", "c1", "c2")
     spans = spans.unionByName(seen.join(equal, ["h", "c1", "c2"]).select("k1", "k2", "begin", "end"))
-    return spans.groupBy("k1", "k2").agg(merged(F.collect_set(F.struct("begin", "end"))).alias("removed"))
+    return merged(spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("removed")), ["k1", "k2"], "removed")
 
 
 def cut_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
