@@ -5,6 +5,9 @@ Every view is arithmetic on a row's own columns, or a window over a handful of r
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +20,24 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def scratch(self, label: str) -> str:
+        """A new folder where all executors can write; a temporary one only where none is named and all runs on one machine."""
+        root = self.spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not self.spark.sparkContext.master.startswith("local"):
+                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+            root = tempfile.mkdtemp(prefix="spark-")
+        return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        """df written to the scratch folder and read again, for what is used more than once."""
+        path = self.scratch(label)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def n_vectors(self) -> int:
+        return self.table("embeddings").count()
+
     def documents(self) -> DataFrame:
         """A work across editions: three consecutive rows of the table are editions of one."""
         d = F.floor(F.col("doc_id") / 3)
@@ -63,7 +84,7 @@ class Corpus:
             "content",
             ((v * 13 + o * 5) % 37 == 0).alias("is_reference"),
             F.when((v * 7 + o) % 29 == 0, v * 100000 + o + 1).alias("superseded_by"),
-            ((v * 31 + o) % 500).alias("vec_id"),
+            ((v * 31 + o) % F.lit(self.n_vectors())).alias("vec_id"),
         )
 
     def embedded_chunks(self) -> DataFrame:
@@ -75,10 +96,11 @@ class Corpus:
         return q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.when(F.col("vec_id") % 100 == 0, "legal").otherwise("medical").alias("sector"))
 
     def questions(self) -> DataFrame:
-        """Every user's turn asks; its first two words of four letters or more are what the text search is given."""
+        """Every user's turn asks.  The text search is given its first one, two or three words of four letters or more, as the
+        id has it (all words of a turn stand in no chunk); a turn without such a word has no terms."""
         q = self.table("conversations").where("role = 'user'")
         words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) >= 4))
-        return q.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.slice(words, 1, 2).alias("terms")).where(F.size("terms") == 2)
+        return q.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.slice(words, F.lit(1), (F.col("conv_id") * 1000 + F.col("turn")).cast("int") % 3 + 1).alias("terms"))
 
     def audit_log(self) -> DataFrame:
         """Events as audit entries: users are clinics, error events carry an error."""
@@ -107,11 +129,11 @@ SQL = {
   SELECT doc_id AS version_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents))""",
     "chunks": """chunks AS (SELECT version_id * 100000 + ordinal AS chunk_id, version_id, ordinal, page, content,
   (version_id * 13 + ordinal * 5) % 37 = 0 AS is_reference,
-  CASE WHEN (version_id * 7 + ordinal) % 29 = 0 THEN version_id * 100000 + ordinal + 1 END AS superseded_by, (version_id * 31 + ordinal) % 500 AS vec_id
+  CASE WHEN (version_id * 7 + ordinal) % 29 = 0 THEN version_id * 100000 + ordinal + 1 END AS superseded_by, (version_id * 31 + ordinal) % (SELECT count(*) FROM embeddings) AS vec_id
   FROM (SELECT version_id, row_number() OVER (PARTITION BY version_id ORDER BY line_no) - 1 AS ordinal, page, text AS content FROM lines WHERE trim(text) <> ''))""",
-    "questions": """questions AS (SELECT query_id, text, terms[1:2] AS terms FROM (SELECT conv_id * 1000 + turn AS query_id, text,
+    "questions": """questions AS (SELECT query_id, text, terms[1:query_id % 3 + 1] AS terms FROM (SELECT conv_id * 1000 + turn AS query_id, text,
   list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'i': list_position(w, x), 'x': x})), lambda s: s.x) AS terms
-  FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 4) AS w FROM conversations WHERE role = 'user')) WHERE len(terms) >= 2)""",
+  FROM (SELECT *, list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) >= 4) AS w FROM conversations WHERE role = 'user')))""",
     "qv": """qv AS (SELECT vec_id AS query_id, embedding AS query_vector, CASE WHEN vec_id % 100 = 0 THEN 'legal' ELSE 'medical' END AS sector FROM embeddings WHERE vec_id % 50 = 0)""",
     "audit": """audit AS (SELECT event_id AS seq, 'clinic' || user_id AS clinic_id, 'actor' || (event_id % 5) AS actor_id, ts AS created_at, props AS response,
   CASE WHEN event_type = 'error' THEN event_type END AS error, [(event_id * 7 % 1000) * 100000, (event_id * 11 % 1000) * 100000 + 1] AS chunk_ids FROM events)""",

@@ -111,10 +111,15 @@ def salted_hash(salt: Column, text: Column) -> Column:
     return F.sha2(F.concat(salt, text), 256)
 
 
+def refused(requests: DataFrame) -> DataFrame:
+    """Requests whose legal basis is none of LEGAL_BASES (null too), with the reason."""
+    return requests.where(~F.coalesce(F.col("legal_basis").isin(LEGAL_BASES), F.lit(False))).withColumn("reason", F.lit("legal_basis"))
+
+
 def erase(queries: DataFrame, requests: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
     """(queries after, new erasure records to chain): text and salt go, the hash stays; a second request does nothing.
 
-    requests has query_id, clinic_id, erased_by, legal_basis (of LEGAL_BASES; others are refused).
+    requests has query_id, clinic_id, erased_by, legal_basis (of LEGAL_BASES; see refused for others).
     """
     valid = requests.where(F.col("legal_basis").isin(LEGAL_BASES)).dropDuplicates(["query_id"])
     fresh = valid.join(queries.where(F.col("redacted_at").isNull()).select("query_id"), "query_id", "left_semi")

@@ -30,24 +30,31 @@ def separators(cells: DataFrame) -> DataFrame:
     return cells.groupBy("file_id").agg(thousands_vote(F.col("text")).alias("thousands"))
 
 
+def header_field(text: Column) -> Column:
+    """The field of the longest label that a cell equals or begins with, of equals the one named first; null for none.
+
+    A label of a sum is never a unit price.  The names are a fixed list, so they are cases of one expression, longest first.
+    """
+    label = F.lower(F.trim(text))
+    names = sorted(((n, i, f) for i, (f, ns) in enumerate(HEADERS.items()) for n in ns), key=lambda x: (-len(x[0]), x[1]))
+    price = ~label.rlike(TOTAL_WORDS)
+    out = F.when(F.coalesce(label, F.lit("")) == "", F.lit(None).cast("string"))
+    for name, _, field in names:
+        fits = F.startswith(label, F.lit(name))
+        out = out.when(fits & price if field == "unit_price" else fits, field)
+    return out
+
+
 def map_header(cells: DataFrame) -> DataFrame:
-    """(file_id, row_no, field, col_no): each cell takes the field of the longest label that it equals or begins with;
-    the first column wins a field; a label of a sum is never a unit price."""
-    label = F.lower(F.trim("text"))
-    # a fixed table of about ninety names, so it goes to every task
-    names = cells.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("name")) for f, names in HEADERS.items() for n in names])))
-    fits = F.startswith(F.col("label"), F.col("name")) & ~((F.col("field") == "unit_price") & F.col("label").rlike(TOTAL_WORDS))
-    best = cells.withColumn("label", label).where("label <> ''").join(F.broadcast(names), fits).select("file_id", "row_no", "col_no", "field", F.length("name").alias("size"))
-    # the longest label; of equals the field named first
-    rank = F.row_number().over(Window.partitionBy("file_id", "row_no", "col_no").orderBy(F.desc("size"), "field"))
-    best = best.withColumn("rank", rank).where("rank = 1")
-    first = F.row_number().over(Window.partitionBy("file_id", "row_no", "field").orderBy("col_no"))
-    return best.withColumn("n", first).where("n = 1").select("file_id", "row_no", "field", "col_no")
+    """(file_id, row_no, field, col_no): the field each cell names; the first column wins a field."""
+    named = cells.select("file_id", "row_no", "col_no", header_field(F.col("text")).alias("field")).where(F.col("field").isNotNull())
+    return named.groupBy("file_id", "row_no", "field").agg(F.min("col_no").alias("col_no"))
 
 
 def header_rows(cells: DataFrame) -> DataFrame:
     """(file_id, row_no): the first row that names a text and a quantity column."""
-    m = map_header(cells).where(F.col("field").isin("short_text", "quantity")).groupBy("file_id", "row_no").agg(F.count_distinct("field").alias("n")).where("n = 2")
+    field = header_field(F.col("text"))
+    m = cells.groupBy("file_id", "row_no").agg(F.bool_or(field == "short_text").alias("t"), F.bool_or(field == "quantity").alias("q")).where("t and q")
     return m.groupBy("file_id").agg(F.min("row_no").alias("row_no"))
 
 

@@ -101,9 +101,19 @@ def exists_in(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def ground_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """questions (id, terms, pages) with how many live and retired chunks on those pages hold one of the terms."""
-    q = questions.select("id", F.explode("pages").alias("page"), "terms")
-    hit = q.join(chunks.select("page", "content", "live"), "page").where(F.exists("terms", lambda t: F.contains(F.lower("content"), F.lower(t))))
+    """questions (id, terms, pages) with how many live and retired chunks (chunk_id, page, content, live) on those pages
+    hold one of the terms, in any case, inside longer words too.
+
+    A term of four or more ASCII letters meets the runs of letters on its page by its first four, wherever in a run those
+    stand, so a page that every document has is no common key.  Other terms meet their page's chunks.
+    """
+    t = questions.select("id", F.explode(F.array_distinct("pages")).alias("page"), "terms").select("id", "page", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(x)))).alias("term"))
+    plain = F.col("term").rlike("^[a-z]{4,}$")
+    runs = chunks.select("chunk_id", "page", "live", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("run"))
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - (GRAM - 1)), lambda i: F.substring(F.col("run"), i, F.lit(GRAM))))
+    met = t.where(plain).withColumn("gram", F.substring("term", 1, GRAM)).join(runs.select("chunk_id", "page", "live", "run", F.explode(keys).alias("gram")), ["page", "gram"]).where(F.contains("run", "term"))
+    rest = t.where(~plain).join(chunks.select("chunk_id", "page", "live", F.lower("content").alias("content")), "page").where(F.contains("content", "term"))
+    hit = met.select("id", "chunk_id", "live").unionByName(rest.select("id", "chunk_id", "live")).distinct()
     n = hit.groupBy("id").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("retired"))
     out = questions.select("id").join(n, "id", "left")
     return out.select("id", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("retired", F.lit(0)).alias("retired"), (F.coalesce("live", F.lit(0)) > 0).alias("answerable"))

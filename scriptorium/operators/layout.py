@@ -38,15 +38,14 @@ def page_spans(lines: DataFrame) -> DataFrame:
 def pages_for_spans(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """spans (version_id, span_id, begin, end) with page_start and page_end: the page in force at the first and at the last
     character.  What lies between two pages belongs to the earlier one."""
-    w = Window.partitionBy("version_id").orderBy("char_start", "page")
-    reach = pages.select("version_id", "page", "char_start", F.lead("char_start").over(w).alias("until"))
-
-    def at(point: str) -> DataFrame:
-        p = spans.select("version_id", "span_id", F.col(point).alias("x")) if point == "begin" else spans.select("version_id", "span_id", (F.col("end") - 1).alias("x"))
-        hit = (F.col("x") >= F.col("char_start")) & (F.col("until").isNull() | (F.col("x") < F.col("until")))
-        return p.join(reach, "version_id").where(hit).groupBy("version_id", "span_id").agg(F.max("page").alias(f"page_{'start' if point == 'begin' else 'end'}"))
-
-    return spans.join(at("begin"), ["version_id", "span_id"], "left").join(at("end"), ["version_id", "span_id"], "left")
+    starts = pages.select("version_id", F.lit(None).cast(spans.schema["span_id"].dataType).alias("span_id"), F.col("char_start").alias("x"), F.lit(0).alias("kind"), "page")
+    point = F.inline(F.array(F.struct(F.col("begin").cast("long").alias("x"), F.lit(1).alias("kind")), F.struct((F.col("end") - 1).cast("long").alias("x"), F.lit(2).alias("kind"))))
+    points = spans.select("version_id", "span_id", point).withColumn("page", F.lit(None).cast(pages.schema["page"].dataType))
+    # a version's starts and points in order: the page in force is the last one begun (of equal starts the later page)
+    w = Window.partitionBy("version_id").orderBy("x", "kind", "page").rowsBetween(Window.unboundedPreceding, 0)
+    at = starts.unionByName(points).withColumn("page", F.last("page", ignorenulls=True).over(w)).where("kind > 0")
+    found = at.groupBy("version_id", "span_id").agg(F.max(F.when(F.col("kind") == 1, F.col("page"))).alias("page_start"), F.max(F.when(F.col("kind") == 2, F.col("page"))).alias("page_end"))
+    return spans.join(found, ["version_id", "span_id"], "left")
 
 
 def body_size(lines: DataFrame) -> DataFrame:
@@ -75,7 +74,7 @@ def sections(lines: DataFrame) -> DataFrame:
     return lines.withColumn("section", F.last("heading", ignorenulls=True).over(w))
 
 
-CHUNK = "version_id long, ordinal long, char_start long, char_end long, content string, section string, n_lines long"
+CHUNK = "ordinal long, char_start long, char_end long, content string, section string, n_lines long"
 
 
 def _pack(lines: pd.DataFrame) -> pd.DataFrame:
@@ -106,12 +105,12 @@ def _pack(lines: pd.DataFrame) -> pd.DataFrame:
         open_ = [*open_, line]
     if open_:
         close()
-    return pd.DataFrame([(v, o, a, b, "\n".join(x["text"] for x in part), s, len(part)) for v, o, a, b, part, s in out], columns=[c.split()[0] for c in CHUNK.split(", ")])
+    return pd.DataFrame([(v, o, a, b, "\n".join(x["text"] for x in part), s, len(part)) for v, o, a, b, part, s in out], columns=["version_id", *(c.split()[0] for c in CHUNK.split(", "))])
 
 
 def pack_chunks(lines: DataFrame) -> DataFrame:
     """Chunks of each version's lines (with offsets, `heading`).  The fold is sequential within a version, parallel across."""
-    return lines.select("version_id", "line_no", "text", "char_start", "char_end", "heading").groupBy("version_id").applyInPandas(_pack, CHUNK)
+    return lines.select("version_id", "line_no", "text", "char_start", "char_end", "heading").groupBy("version_id").applyInPandas(_pack, f"version_id {lines.schema['version_id'].dataType.simpleString()}, {CHUNK}")
 
 
 def parts(documents: DataFrame, pages: str = "n_pages", limit: int = PART_PAGES) -> DataFrame:
@@ -207,7 +206,7 @@ def index_versions(lines: DataFrame, versions: DataFrame, bad, reference, encode
     its chunks are written.
     """
     todo = versions.where("status = 'pending'").select("version_id")
-    packed = pack_chunks(offsets(lines.join(todo, "version_id", "left_semi")))
+    packed = pack_chunks(offsets(lines.join(todo, "version_id", "left_semi"))).where(F.col("content").rlike(r"\S"))
     counted = packed.groupBy("version_id").agg(F.count_if(~bad(F.col("content"))).alias("n_chunks"), F.count_if(bad(F.col("content"))).alias("n_rejected"))
     outcome = versions.select("version_id", "status").join(counted, "version_id", "left")
     error = F.when(F.col("status") != "pending", "not_pending").when(F.coalesce("n_chunks", F.lit(0)) + F.coalesce("n_rejected", F.lit(0)) == 0, "no_text").when(F.col("n_chunks") == 0, "all_damaged")

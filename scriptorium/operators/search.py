@@ -45,18 +45,20 @@ def cosine_distance(a: str | Column, b: str | Column) -> Column:
     return F.lit(1.0) - dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_top_k(candidates: DataFrame, queries: DataFrame, k: int = DEPTH, on: str = "sector", max_broadcast: int = 10_000) -> DataFrame:
+def vector_top_k(candidates: DataFrame, queries: DataFrame, k: int = DEPTH, on: str = "sector", max_broadcast: int = 10_000, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank): nearest k chunks of each query within its sector, ties by chunk_id.
 
     candidates has chunk_id, embedding and the join column; queries query_id, query_vector and the join column.
-    Distances are taken once per distinct pair of a vector id and a query when candidates has a vec_id.  Queries go to
-    every task while there are at most max_broadcast of them; beyond, the join shuffles.
+    Distances are taken once per distinct pair of a vector id and a query when candidates has a vec_id, and chunks join
+    the nearest ids alone; vectors (vec_id, embedding) spares candidates the vectors.  Queries go to every task while there are at most max_broadcast of them; beyond, the join shuffles.
     """
     few = queries.limit(max_broadcast + 1).count() <= max_broadcast
     q = F.broadcast(queries) if few else queries
     if "vec_id" in candidates.columns:
-        vectors = candidates.select("vec_id", "embedding", on).dropDuplicates(["vec_id", on])
+        # every vector here has a chunk, so the k nearest vectors (and their ties) have the k nearest chunks
+        vectors = candidates.groupBy("vec_id", on).agg(F.first("embedding").alias("embedding")) if vectors is None else candidates.select("vec_id", on).distinct().join(vectors.select("vec_id", "embedding"), "vec_id")
         near = vectors.join(q, on).select("query_id", on, "vec_id", (F.round(cosine_distance("embedding", "query_vector"), 6) + 0.0).alias("distance"))
+        near = near.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy("distance"))).where(F.col("place") <= k).drop("place")
         hits = candidates.select("chunk_id", "vec_id", on).join(near, ["vec_id", on])
     else:
         hits = candidates.join(q, on).select("query_id", "chunk_id", (F.round(cosine_distance("embedding", "query_vector"), 6) + 0.0).alias("distance"))
@@ -117,19 +119,21 @@ def _phrase(found: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def cover_density(rows: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, cover): over minimal covers of two terms, the sum of 1 / (words from first to last).
+    """(query_id, chunk_id, cover): over minimal covers of all terms, the sum of 1 / (words from first to last).
 
-    rows is match_all of two-term queries.  A cover ends at each occurrence; it begins at the latest place of the other
-    term, and counts unless the next cover begins at the same place.
+    rows is match_all.  At each occurrence ends a cover, if every term has occurred; it begins at the earliest of the
+    terms' latest places, and counts if no cover before began there.  A group is the occurrences in one chunk.
     """
-    w = Window.partitionBy("query_id", "chunk_id").orderBy("pos")
-    other = F.max(F.when(F.col("term") == F.col("first"), F.col("pos"))).over(w), F.max(F.when(F.col("term") != F.col("first"), F.col("pos"))).over(w)
-    begin = F.least(*other)
-    rows = rows.withColumn("first", F.min("term").over(Window.partitionBy("query_id", "chunk_id")))
-    rows = rows.withColumn("begin", F.when(other[0].isNotNull() & other[1].isNotNull(), begin))
-    before = F.lag("begin").over(w)
-    covers = rows.withColumn("before", before).where(F.col("begin").isNotNull() & (F.col("before").isNull() | (F.col("before") != F.col("begin"))))
-    return covers.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (F.col("pos") - F.col("begin") + 1)), 6).alias("cover"))
+    g = rows.groupBy("query_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term"))).alias("at"), F.count_distinct("term").alias("n"))
+    start = F.expr("named_struct('last', cast(map() as map<string,int>), 'begin', -1, 'sum', 0.0D)")
+
+    def step(s: Column, x: Column) -> Column:
+        last = F.map_concat(F.map_filter(s["last"], lambda k, v: k != x["term"]), F.create_map(x["term"], x["pos"]))
+        begin = F.when(F.size(last) == F.col("n"), F.array_min(F.map_values(last))).otherwise(F.lit(-1))
+        new = (begin >= 0) & (begin != s["begin"])
+        return F.struct(last.alias("last"), begin.alias("begin"), (s["sum"] + F.when(new, F.lit(1.0) / (x["pos"] - begin + 1)).otherwise(F.lit(0.0))).alias("sum"))
+
+    return g.select("query_id", "chunk_id", F.round(F.aggregate("at", start, step, lambda s: s["sum"]), 6).alias("cover"))
 
 
 def lexical_top_k(covers: DataFrame, k: int = DEPTH) -> DataFrame:
@@ -148,9 +152,9 @@ def fuse(vector: DataFrame, lexical: DataFrame, limit: int = 10, k: int = RRF_K)
     return both.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def enrich(hits: DataFrame, chunks: DataFrame, versions: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """Provenance of each hit, and its distance even where only the text half found it."""
-    wide = hits.join(chunks.select("chunk_id", "version_id", "page", "vec_id", "embedding"), "chunk_id")
+def enrich(hits: DataFrame, chunks: DataFrame, vectors: DataFrame, versions: DataFrame, documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """Provenance of each hit, and its distance even where only the text half found it.  Vectors join the hits alone."""
+    wide = hits.join(chunks.select("chunk_id", "version_id", "page", "vec_id"), "chunk_id").join(vectors.select("vec_id", "embedding"), "vec_id")
     wide = wide.join(versions.select("version_id", "document_id", "version_label", "superseded_by", "unreadable_pages"), "version_id").join(documents.select("document_id", "title", "issuing_org"), "document_id")
     wide = wide.join(queries.select("query_id", "query_vector"), "query_id")
     return wide.withColumn("distance", (F.round(cosine_distance("embedding", "query_vector"), 6) + 0.0)).withColumn("is_superseded", F.col("superseded_by").isNotNull()).drop("embedding", "query_vector")
@@ -178,19 +182,23 @@ def incomplete_sources(hits: DataFrame) -> DataFrame:
     return sums.where("pages > 0")
 
 
-def expand_queries(queries: DataFrame, aliases: DataFrame, max_words: int = 3) -> DataFrame:
+def expand_queries(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """queries (query_id, text) with `expanded` and `applied`: generic names of the aliases in the text are appended.
 
     An alias matches whole words, in any case; a generic name that the text has already isn't added.  Texts are cut
-    into runs of up to max_words words and joined by equality, so a large alias table is no nested loop.
+    into runs of as many words as some alias has and joined by equality, so a large alias table is no nested loop.
     """
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\w'-]+"), F.lit(0))
-    q = queries.withColumn("__w", words)
-    runs = [_runs(n) for n in range(1, max_words + 1)]
-    grams = q.select("query_id", F.explode(F.array_distinct(F.concat(*runs))).alias("alias"))
-    hit = grams.join(aliases.select("alias", "generic_name"), "alias")
-    there = grams.select("query_id", F.col("alias").alias("__g"))
-    new = hit.join(there, (hit["query_id"] == there["query_id"]) & (F.lower("generic_name") == F.col("__g")), "left_anti")
+    pattern = F.lit(r"(?U)[\w'-]+")
+    names = aliases.select(F.array_join(F.regexp_extract_all(F.lower("alias"), pattern, F.lit(0)), " ").alias("__a"), "alias", "generic_name")
+    generic = F.array_join(F.regexp_extract_all(F.lower("generic_name"), pattern, F.lit(0)), " ")
+    size = lambda c: F.size(F.split(c, " "))
+    sizes = sorted(r[0] for r in names.select(F.explode(F.array(size(F.col("__a")), size(generic))).alias("n")).distinct().collect())  # an alias has 128 characters at most
+    q = queries.withColumn("__w", F.regexp_extract_all(F.lower("text"), pattern, F.lit(0)))
+    none = F.expr("cast(array() as array<string>)")
+    grams = q.select("query_id", F.explode(F.array_distinct(F.concat(none, *[_runs(n) for n in sizes]))).alias("__a"))
+    hit = grams.join(names.withColumn("__g2", generic), "__a")
+    there = grams.select("query_id", F.col("__a").alias("__g"))
+    new = hit.join(there, (hit["query_id"] == there["query_id"]) & (F.col("__g2") == F.col("__g")), "left_anti")
     added = new.groupBy("query_id").agg(F.array_sort(F.collect_set("generic_name")).alias("__names"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("alias", "generic_name")))).alias("applied"))
     out = queries.join(added, "query_id", "left")
     return out.withColumn("expanded", F.when(F.col("__names").isNull(), F.col("text")).otherwise(F.concat_ws(" ", "text", "__names"))).drop("__names")

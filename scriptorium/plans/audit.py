@@ -139,7 +139,7 @@ _REASONS = """reasons AS (SELECT t.query_id, t.chunk_id, CASE WHEN c.content IS
 
 
 def cited(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    hits = PS.hybrid(c).join(c.chunks().select("chunk_id", "content"), "chunk_id")
+    hits = c.kept(PS.hybrid(c).join(c.chunks().select("chunk_id", "content"), "chunk_id"), "hits")
     k = F.col("rank") % 5
     head = lambda n: F.substring("content", 1, n)
     quote = F.when(k == 0, head(30)).when(k == 1, F.concat(F.lit("  "), F.replace(head(40), F.lit(" "), F.lit("  ")), F.lit("\n"))).when(k == 2, F.concat(F.lit("fabricated "), head(10))).when(k == 3, F.lit("  ")).otherwise(head(30))
@@ -167,11 +167,11 @@ def j2_guarded_answers(c: Corpus) -> DataFrame:
 
 @query(
     "j3_answer_assembly",
-    f"""{PS.HYBRID}, sel AS (SELECT query_id, (query_id // 7) % 14 + 1 AS source FROM questions) SELECT s.query_id, h.chunk_id, CAST(s.source AS BIGINT) AS source, h.chunk_id IS NULL AS dropped FROM sel s LEFT JOIN hits h ON h.query_id = s.query_id AND h.rank = s.source""",
+    f"""{PS.HYBRID_20}, sel AS (SELECT query_id, (query_id // 7) % 14 + 1 AS source FROM questions) SELECT s.query_id, h.chunk_id, CAST(s.source AS BIGINT) AS source, h.chunk_id IS NULL AS dropped FROM sel s LEFT JOIN hits h ON h.query_id = s.query_id AND h.rank = s.source AND h.rank <= 12""",
 )
 def j3_answer_assembly(c: Corpus) -> DataFrame:
     sel = c.questions().select("query_id", (F.floor(F.col("query_id") / 7) % 14 + 1).alias("source"))
-    kept, dropped = C.assemble(sel, PS.hybrid(c))
+    kept, dropped = C.assemble(sel, PS.hybrid(c, 20))
     out = sel.join(kept.select("query_id", "chunk_id"), "query_id", "left").join(dropped, "query_id", "left")
     return out.select("query_id", "chunk_id", F.col("source").cast("long").alias("source"), (F.col("out_of_range") > 0).alias("dropped"))
 
@@ -199,7 +199,7 @@ def i5_quote_diagnosis(c: Corpus) -> DataFrame:
     "c12_ground_truth",
     f"""{with_views('versions', 'chunks', 'questions')}, live AS (SELECT c.page, lower(c.content) AS content, v.status = 'active' AND c.superseded_by IS NULL AS live FROM chunks c JOIN versions v USING (version_id)),
 q AS (SELECT query_id AS id, terms, query_id % 20 + 1 AS page FROM questions), p AS (SELECT DISTINCT id, terms, page FROM q),
-hit AS (SELECT id, count(*) FILTER (live) AS live, count(*) FILTER (NOT live) AS retired FROM p JOIN live USING (page) WHERE contains(content, terms[1]) OR contains(content, terms[2]) GROUP BY ALL)
+hit AS (SELECT id, count(*) FILTER (live) AS live, count(*) FILTER (NOT live) AS retired FROM p JOIN live USING (page) WHERE len(list_filter(terms, lambda t: contains(content, t))) > 0 GROUP BY ALL)
 SELECT id, coalesce(live, 0) AS live, coalesce(retired, 0) AS retired, coalesce(live, 0) > 0 AS answerable FROM q LEFT JOIN hit USING (id)""",
 )
 def c12_ground_truth(c: Corpus) -> DataFrame:
@@ -252,10 +252,15 @@ def h4_live_and_retired(c: Corpus) -> DataFrame:
     return j.groupBy("document_id").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") != "active").alias("retired"))
 
 
-@query("h5_exists_in_corpus", f"{with_views('chunks')} SELECT query_id, bool_or(contains(lower(content), terms[1])) AS found FROM (SELECT query_id, terms, query_id % 1000 AS version_id FROM questions_) JOIN chunks USING (version_id) GROUP BY ALL".replace("questions_", "questions").replace("WITH ", f"WITH {with_views('questions')[5:]},\n", 1))
+@query(
+    "h5_exists_in_corpus",
+    f"""{with_views('chunks', 'questions')}, low AS (SELECT DISTINCT lower(content) AS content FROM chunks), held AS (SELECT DISTINCT phrase FROM (SELECT DISTINCT terms[1] AS phrase FROM questions) JOIN low ON contains(content, phrase))
+SELECT query_id, CASE WHEN terms[1] IS NOT NULL THEN h.phrase IS NOT NULL END AS found FROM questions q LEFT JOIN held h ON h.phrase = q.terms[1]""",
+)
 def h5_exists_in_corpus(c: Corpus) -> DataFrame:
-    q = c.questions().select("query_id", "terms", (F.col("query_id") % 1000).alias("version_id"))
-    return q.join(c.chunks(), "version_id").groupBy("query_id").agg(F.bool_or(F.contains(F.lower("content"), F.col("terms")[0])).alias("found"))
+    """The first term of every question, looked up in all chunks, retired ones too."""
+    q = c.questions().select("query_id", F.get("terms", F.lit(0)).alias("phrase"))
+    return C.exists_in(q, c.chunks()).select("query_id", "found")
 
 
 _PHRASES = """phrases AS (SELECT conv_id * 1000 + turn AS query_id, nullif(regexp_extract(lower(text), '[a-z]{4,}'), '') AS phrase FROM conversations WHERE role = 'user')"""

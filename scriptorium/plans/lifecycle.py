@@ -136,14 +136,15 @@ def a9_corpus_listing(c: Corpus) -> DataFrame:
     f"""{with_views('lines')}, pages AS (SELECT version_id, page, sum(length(text) + 1) - 1 AS size FROM lines GROUP BY ALL),
 starts AS (SELECT version_id, page, coalesce(sum(size + 2) OVER (PARTITION BY version_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM pages),
 reach AS (SELECT *, lead(char_start) OVER (PARTITION BY version_id ORDER BY char_start, page) AS until FROM starts),
-spans AS (SELECT doc_id AS version_id, k AS span_id, k * 150 AS b, k * 150 + 400 AS e FROM documents, range(0, 5) r(k))
+spans AS (SELECT doc_id AS version_id, k AS span_id, k * 350 AS b, k * 350 + 400 AS e FROM documents, LATERAL (SELECT unnest(range(0, CAST(length(text) // 350 + 1 AS BIGINT))) AS k))
 SELECT s.version_id, s.span_id, max(r.page) FILTER (s.b >= r.char_start AND (r.until IS NULL OR s.b < r.until)) AS page_start, max(r.page) FILTER (s.e - 1 >= r.char_start AND (r.until IS NULL OR s.e - 1 < r.until)) AS page_end
 FROM spans s JOIN reach r USING (version_id) GROUP BY ALL""",
 )
 def c8_pages_for_spans(c: Corpus) -> DataFrame:
     pages = Y.page_spans(Y.offsets(c.lines()))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))
-    spans = c.table("documents").select(F.col("doc_id").alias("version_id"), k.alias("span_id")).select("version_id", "span_id", (F.col("span_id") * 150).alias("begin"), (F.col("span_id") * 150 + 400).alias("end"))
+    # a span every 350 characters to the end of each document, each reaching into the next
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / 350)))
+    spans = c.table("documents").select(F.col("doc_id").alias("version_id"), k.alias("span_id")).select("version_id", "span_id", (F.col("span_id") * 350).alias("begin"), (F.col("span_id") * 350 + 400).alias("end"))
     return Y.pages_for_spans(spans, pages).select("version_id", "span_id", "page_start", "page_end")
 
 

@@ -16,18 +16,22 @@ _NEAR = f"""near AS (SELECT q.query_id, q.sector, e.vec_id, round({_COS.format(a
 _VECTOR = """vector_hits AS (SELECT * FROM (SELECT n.query_id, s.chunk_id, n.distance, row_number() OVER (PARTITION BY n.query_id ORDER BY n.distance, s.chunk_id) AS rank
   FROM searchable s JOIN near n ON n.vec_id = s.vec_id AND n.sector = s.sector) WHERE rank <= 50)"""
 _POSTINGS = """postings AS (SELECT chunk_id, sector, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT chunk_id, sector, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM searchable)),
-asked AS (SELECT query_id, unnest(terms) AS term FROM questions),
-matched AS (SELECT a.query_id, p.chunk_id, p.pos, p.term FROM postings p JOIN asked a USING (term)),
-both_terms AS (SELECT m.*, min(term) OVER (PARTITION BY query_id, chunk_id) AS first FROM matched m JOIN (SELECT query_id, chunk_id FROM matched GROUP BY ALL HAVING count(DISTINCT term) = 2) USING (query_id, chunk_id)),
-marked AS (SELECT *, max(CASE WHEN term = first THEN pos END) OVER w AS a, max(CASE WHEN term <> first THEN pos END) OVER w AS b FROM both_terms WINDOW w AS (PARTITION BY query_id, chunk_id ORDER BY pos)),
-begins AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN least(a, b) END AS begin_at FROM marked),
+asked AS (SELECT query_id, unnest(terms) AS term, len(terms) AS n_terms FROM questions),
+matched AS (SELECT a.query_id, a.n_terms, p.chunk_id, p.pos, p.term FROM postings p JOIN asked a USING (term)),
+all_terms AS (SELECT m.* FROM matched m JOIN (SELECT query_id, chunk_id FROM matched GROUP BY query_id, chunk_id, n_terms HAVING count(DISTINCT term) = n_terms) USING (query_id, chunk_id)),
+latest AS (SELECT m.query_id, m.chunk_id, m.n_terms, m.pos, o.term, max(o.pos) AS last FROM all_terms m JOIN all_terms o ON o.query_id = m.query_id AND o.chunk_id = m.chunk_id AND o.pos <= m.pos GROUP BY ALL),
+begins AS (SELECT query_id, chunk_id, pos, min(last) AS begin_at FROM latest GROUP BY query_id, chunk_id, pos, n_terms HAVING count(*) = n_terms),
 covers AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (pos - begin_at + 1)), 6) AS cover FROM (
   SELECT *, lag(begin_at) OVER (PARTITION BY query_id, chunk_id ORDER BY pos) AS before FROM begins) WHERE begin_at IS NOT NULL AND (before IS NULL OR before <> begin_at) GROUP BY ALL)"""
 _LEXICAL = """lexical_hits AS (SELECT * FROM (SELECT query_id, chunk_id, cover, row_number() OVER (PARTITION BY query_id ORDER BY cover DESC, chunk_id) AS rank FROM covers) WHERE rank <= 50)"""
 
 
 def _searchable(c: Corpus) -> DataFrame:
-    return S.searchable(c.embedded_chunks(), c.versions(), c.documents(), None)
+    return S.searchable(c.chunks(), c.versions(), c.documents(), None)
+
+
+def _vectors(c: Corpus) -> DataFrame:
+    return c.table("embeddings").select("vec_id", "embedding")
 
 
 @query(
@@ -60,10 +64,10 @@ def b2_tenant_visibility(c: Corpus) -> DataFrame:
 
 @query("e1_vector_top_k", f"{with_views('docs', 'versions', 'chunks', 'qv')}, {SEARCHABLE}, {_NEAR}, {_VECTOR} SELECT query_id, chunk_id, distance, rank FROM vector_hits")
 def e1_vector_top_k(c: Corpus) -> DataFrame:
-    return S.vector_top_k(_searchable(c), c.query_vectors())
+    return S.vector_top_k(_searchable(c), c.query_vectors(), vectors=_vectors(c))
 
 
-@query("e3_lexical_match", f"{with_views('docs', 'versions', 'chunks', 'questions')}, {SEARCHABLE}, {_POSTINGS} SELECT DISTINCT query_id, chunk_id FROM both_terms")
+@query("e3_lexical_match", f"{with_views('docs', 'versions', 'chunks', 'questions')}, {SEARCHABLE}, {_POSTINGS} SELECT DISTINCT query_id, chunk_id FROM all_terms")
 def e3_lexical_match(c: Corpus) -> DataFrame:
     q = c.questions()
     found = S.postings(S.searchable(c.chunks(), c.versions(), c.documents(), None), q.select(F.explode("terms").alias("term")))
@@ -81,7 +85,7 @@ def e4_lexical_rank(c: Corpus) -> DataFrame:
     return S.lexical_top_k(_covers(c))
 
 
-_QUESTION_VECTOR = """qq AS (SELECT query_id, (query_id % 10) * 50 AS vec_id, CASE WHEN query_id % 2 = 0 THEN 'legal' ELSE 'medical' END AS sector FROM questions),
+_QUESTION_VECTOR = """qq AS (SELECT query_id, (query_id * 31 + 7) % (SELECT count(*) FROM embeddings) AS vec_id, CASE WHEN query_id % 2 = 0 THEN 'legal' ELSE 'medical' END AS sector FROM questions),
 qv AS (SELECT q.query_id, e.embedding AS query_vector, q.sector, e.vec_id AS asked FROM qq q JOIN embeddings e USING (vec_id))"""
 _FUSED_NEAR = f"""pairs AS (SELECT a.vec_id AS asked, e.vec_id, round({_COS.format(a="e.embedding", b="a.embedding")}, 6) + 0.0 AS distance FROM embeddings e, embeddings a WHERE a.vec_id IN (SELECT DISTINCT vec_id FROM qq)),
 near AS (SELECT q.query_id, q.sector, p.vec_id, p.distance FROM qv q JOIN pairs p USING (asked))"""
@@ -95,19 +99,19 @@ HYBRID = f"{with_views('docs', 'versions', 'chunks', 'questions')}, {SEARCHABLE}
 
 def question_vectors(c: Corpus) -> DataFrame:
     """Every question with a vector and a sector by its id."""
-    q = c.questions().select("query_id", "terms", (F.col("query_id") % 10 * 50).alias("vec_id"), F.when(F.col("query_id") % 2 == 0, "legal").otherwise("medical").alias("sector"))
+    q = c.questions().select("query_id", "terms", ((F.col("query_id") * 31 + 7) % F.lit(c.n_vectors())).alias("vec_id"), F.when(F.col("query_id") % 2 == 0, "legal").otherwise("medical").alias("sector"))
     return q.join(c.table("embeddings").select("vec_id", F.col("embedding").alias("query_vector")), "vec_id")
 
 
-def hybrid(c: Corpus) -> DataFrame:
+def hybrid(c: Corpus, limit: int = 10) -> DataFrame:
     q = question_vectors(c)
     s = _searchable(c)
     # questions share vectors: distances are taken once for each vector and sector that is asked
     asked = q.select("sector", F.col("vec_id").alias("query_id"), "query_vector").dropDuplicates(["sector", "query_id"]).withColumn("query_id", F.concat_ws("|", "sector", "query_id"))
-    near = S.vector_top_k(s, asked)
+    near = S.vector_top_k(s, asked, vectors=_vectors(c))
     vector = q.select("query_id", F.concat_ws("|", "sector", "vec_id").alias("k")).join(near.withColumnRenamed("query_id", "k"), "k").drop("k")
     covers = _covers(c).join(q.select("query_id", "sector"), "query_id").join(s.select("chunk_id", "sector"), ["chunk_id", "sector"], "left_semi")
-    return S.fuse(vector, S.lexical_top_k(covers))
+    return S.fuse(vector, S.lexical_top_k(covers), limit)
 
 
 @query("e6_hybrid_search", f"{HYBRID} SELECT query_id, chunk_id, rrf_score, found_by_vector, found_by_lexical, rank FROM hits")
@@ -120,7 +124,7 @@ _ENRICHED = f"""enriched AS (SELECT h.*, s.version_id, s.page, v.version_label,
 
 
 def enriched(c: Corpus) -> DataFrame:
-    return S.enrich(hybrid(c), c.embedded_chunks(), c.versions(), c.documents(), question_vectors(c))
+    return S.enrich(hybrid(c), c.chunks(), _vectors(c), c.versions(), c.documents(), question_vectors(c))
 
 
 @query("e7_hit_enrichment", f"{HYBRID}, {_ENRICHED} SELECT query_id, chunk_id, rank, version_id, page, version_label, is_superseded, title, issuing_org, distance FROM enriched")
@@ -150,9 +154,13 @@ def e11_incomplete_sources(c: Corpus) -> DataFrame:
     return S.incomplete_sources(enriched(c))
 
 
-@query("e12_passage_cut", f"{HYBRID} SELECT query_id, chunk_id, rank FROM hits WHERE rank <= 3")
+#: The same with up to twenty hits a question, for what cuts at twelve.
+HYBRID_20 = HYBRID.replace("WHERE rank <= 10)", "WHERE rank <= 20)")
+
+
+@query("e12_passage_cut", f"{HYBRID_20} SELECT query_id, chunk_id, rank FROM hits WHERE rank <= 12")
 def e12_passage_cut(c: Corpus) -> DataFrame:
-    return S.shown(hybrid(c), 3).select("query_id", "chunk_id", "rank")
+    return S.shown(hybrid(c, 20)).select("query_id", "chunk_id", "rank")
 
 
 def aliases(c: Corpus) -> DataFrame:

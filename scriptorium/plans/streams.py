@@ -2,75 +2,118 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.corpus import Corpus, with_views
+from scriptorium.functions import text as X
 from scriptorium.operators import audit as A
-from scriptorium.operators import search as S
-from scriptorium.plans.audit import _CHAIN, _PAYLOAD
+from scriptorium.operators import layout as Y
+from scriptorium.plans.audit import _PAYLOAD
 from scriptorium.plans.registry import query
 from scriptorium.sources import gaeb
 from scriptorium.streaming import jobs
 
 
-def _scratch(c: Corpus, label: str) -> str:
-    """A new folder where all executors can write."""
-    root = c.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+def _in_batches(c: Corpus, table: str, late: str, label: str, run) -> str:
+    """Feeds a table to a stream in two runs of one checkpoint: first the rows that aren't `late`, then those that are.
+
+    run(stream, folder) starts and ends a run.  Returns the folder.
+    """
+    out = c.scratch(label)
+    rows = c.table(table)
+    for mode, part in (("overwrite", rows.where(f"not coalesce({late}, false)")), ("append", rows.where(late))):
+        part.write.mode(mode).parquet(f"{out}/source")
+        run(c.spark.readStream.schema(rows.schema).parquet(f"{out}/source"), out)
+    return out
 
 
-def _event_stream(c: Corpus) -> DataFrame:
-    schema = c.table("events").schema
-    return c.spark.readStream.schema(schema).parquet(f"{c.dir}/events.parquet*")
+_LATE_CHAIN = """folded AS (SELECT clinic_id, list(seq ORDER BY late, seq) AS seqs, list_reduce(list_prepend([repeat('0', 64)], list(CAST([payload] AS VARCHAR[]) ORDER BY late, seq)), lambda acc, p: list_append(acc, sha256(acc[-1] || p[1]))) AS hashes FROM (SELECT *, seq % 3 = 0 AS late FROM paid) GROUP BY clinic_id)
+SELECT clinic_id, unnest(seqs) AS seq, unnest(hashes[:-2]) AS prev_hash, unnest(hashes[2:]) AS row_hash, unnest(range(1, len(seqs) + 1)) AS chain_no FROM folded"""
 
 
-@query("k2_streaming_chain", f"{with_views('audit')}, {_PAYLOAD}, {_CHAIN} SELECT clinic_id, seq, prev_hash, row_hash FROM chained")
+@query("k2_streaming_chain", f"{with_views('audit')}, {_PAYLOAD}, {_LATE_CHAIN}")
 def k2_streaming_chain(c: Corpus) -> DataFrame:
-    out = _scratch(c, "chain")
+    """Every third entry comes in a later batch than its successors."""
     log = Corpus(c.spark, c.dir)
-    log.table = lambda name: _event_stream(c)
-    jobs.run_to_table(jobs.append_chain_stream(log.audit_log(), A.ENTRY), f"{out}/table", f"{out}/state")
+
+    def run(stream: DataFrame, out: str) -> None:
+        log.table = lambda name: stream
+        jobs.run_to_table(jobs.append_chain_stream(log.audit_log(), A.ENTRY), f"{out}/table", f"{out}/state")
+
+    out = _in_batches(c, "events", "event_id % 3 = 0", "chain", run)
     return c.spark.read.parquet(f"{out}/table")
 
 
 @query("k3_job_progress", "WITH e AS (SELECT o_orderkey % 300 AS job_id, CASE WHEN o_orderstatus = 'O' THEN 'planned' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'done' END AS kind FROM orders), g AS (SELECT job_id, count(*) FILTER (kind = 'planned') AS planned, count(*) FILTER (kind = 'done') AS done, count(*) FILTER (kind = 'failed') AS failed FROM e GROUP BY job_id) SELECT *, CASE WHEN planned = 0 THEN 0 ELSE 10 + CAST(floor(90 * (done + failed) / planned) AS BIGINT) END AS percent, CASE WHEN done + failed < planned THEN 'running' WHEN done > 0 THEN 'done' ELSE 'failed' END AS state FROM g")
 def k3_job_progress(c: Corpus) -> DataFrame:
+    """A stream in update mode over two batches; the last state of each job is what there is to see."""
     k = F.when(F.col("o_orderstatus") == "O", "planned").when(F.col("o_orderkey") % 7 == 0, "failed").otherwise("done")
-    return jobs.job_progress(c.table("orders").select((F.col("o_orderkey") % 300).alias("job_id"), k.alias("kind")))
+
+    def run(stream: DataFrame, out: str) -> None:
+        jobs.run_updates(jobs.job_progress(stream.select((F.col("o_orderkey") % 300).alias("job_id"), k.alias("kind"))), f"{out}/table", f"{out}/state")
+
+    out = _in_batches(c, "orders", "o_orderkey % 4 = 1", "progress", run)
+    return jobs.last_updates(c.spark.read.parquet(f"{out}/table"), "job_id")
 
 
-@query("k5_windowed_counts", f"{with_views('audit')} SELECT clinic_id, time_bucket(INTERVAL '1 hour', created_at) AS start, count(*) AS n FROM audit GROUP BY ALL")
+_WINDOWS = f"""{with_views('audit')}, first_run AS (SELECT max(created_at) - INTERVAL '2 hours' AS mark FROM audit WHERE seq % 5 <> 0),
+n AS (SELECT clinic_id, time_bucket(INTERVAL '1 hour', created_at) AS start, count(*) FILTER (seq % 5 <> 0) AS early, count(*) FILTER (seq % 5 = 0) AS late FROM audit GROUP BY ALL)
+SELECT clinic_id, start, CASE WHEN start + INTERVAL '1 hour' <= mark THEN early ELSE early + late END AS n FROM n, first_run WHERE early > 0 OR start + INTERVAL '1 hour' > mark"""
+
+
+@query("k5_windowed_counts", _WINDOWS)
 def k5_windowed_counts(c: Corpus) -> DataFrame:
-    return jobs.windowed_counts(c.audit_log()).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """A stream over two batches: every fifth event comes late, and goes if the watermark has passed its window's end."""
+    log = Corpus(c.spark, c.dir)
 
+    def run(stream: DataFrame, out: str) -> None:
+        log.table = lambda name: stream
+        jobs.run_updates(jobs.windowed_counts(log.audit_log()), f"{out}/table", f"{out}/state")
 
-@query("k1_streaming_ingest", "SELECT file_hash, n_bytes FROM (SELECT sha256(text) AS file_hash, max(strlen(text)) AS n_bytes FROM documents GROUP BY ALL)")
+    out = _in_batches(c, "events", "event_id % 5 = 0", "windows", run)
+    return jobs.last_updates(c.spark.read.parquet(f"{out}/table"), "clinic_id", "start").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "k1_streaming_ingest",
+    r"SELECT file_hash, CASE WHEN NOT regexp_matches(text, '\S') THEN 'no_text' END AS error, CASE WHEN regexp_matches(text, '\S') THEN 'active' ELSE 'pending' END AS status FROM (SELECT DISTINCT sha256(text) AS file_hash, text FROM documents)",
+)
 def k1_streaming_ingest(c: Corpus) -> DataFrame:
-    out = _scratch(c, "ingest")
-    source = c.spark.readStream.schema(c.table("documents").schema).parquet(f"{c.dir}/documents.parquet*")
-    rows = source.select(F.sha2("text", 256).alias("file_hash"), F.octet_length("text").cast("long").alias("n_bytes"))
-    jobs.ingest(rows, f"{out}/table", f"{out}/state").awaitTermination()
-    return c.spark.read.parquet(f"{out}/table").select("file_hash", "n_bytes")
+    """Documents as arriving files, two batches of which the second repeats some of the first; each new one is indexed."""
+
+    def run(stream: DataFrame, out: str) -> None:
+        files = stream.select(F.sha2("text", 256).alias("file_hash"), "text")
+        jobs.ingest(files, f"{out}/table", f"{out}/state", index=_index).awaitTermination()
+
+    out = _in_batches(c, "documents", "doc_id % 4 = 1", "ingest", run)
+    return jobs.landed(c.spark, f"{out}/table").select("file_hash", "error", "status")
+
+
+def _index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks of new files, embedded and flagged, and what became of each file."""
+    lines = files.select(F.col("file_hash").alias("version_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text")).withColumns({"page": F.floor(F.col("line_no") / 4) + 1, "heading": F.lit(None).cast("string")})
+    versions = files.select(F.col("file_hash").alias("version_id"), F.lit("pending").alias("status"))
+    return Y.index_versions(lines, versions, X.has_unresolved_glyph, X.looks_like_reference)
 
 
 @query("k4_scheduled_verify", f"{with_views('audit')} SELECT clinic_id, max(seq) AS verified_through_seq, count(*) AS entries_verified FROM audit GROUP BY clinic_id")
 def k4_scheduled_verify(c: Corpus) -> DataFrame:
     from scriptorium.plans.audit import chained
 
-    out = _scratch(c, "verify")
+    out = c.scratch("verify")
 
     def verify(spark) -> None:
         verified = A.verify_chain(chained(Corpus(spark, c.dir)), A.ENTRY)
         verified.where("intact").select("clinic_id", F.col("through_seq").alias("verified_through_seq"), F.col("entries").alias("entries_verified")).write.mode("overwrite").parquet(f"{out}/points")
 
-    jobs.verify_when_due(_event_stream(c).select("event_id"), verify, f"{out}/state").awaitTermination()
+    source = c.spark.readStream.schema(c.table("events").schema).parquet(f"{c.dir}/events.parquet*")
+    jobs.verify_when_due(source.select("event_id"), verify, f"{out}/state").awaitTermination()
     return c.spark.read.parquet(f"{out}/points")
 
 
@@ -83,19 +126,60 @@ def a6_priced_offers(c: Corpus) -> DataFrame:
     return done.unionByName(refused.select("file_id", F.lit(None).cast("string").alias("xml")))
 
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bucket: float = 4.0, tables: int = 12) -> DataFrame:
-    """(query_id, vec_id, distance, rank) by locality-sensitive hashing of unit vectors, then exact distances.
+#: Bits of a sketch, the share of pairs whose distance is taken, queries a block, and vectors on which the cut is fitted.
+SKETCH_BITS, SHARE, BLOCK, SAMPLE = 512, 0.1, 2_000, 1_000
+
+
+def planes(dim: int, bits: int = SKETCH_BITS, seed: int = 5) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dim, bits))
+
+
+def sketches(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """On which side of each plane a vector lies, as 64-bit words; the angle to another shows in the bits that differ."""
+    return np.packbits(x @ p > 0, axis=1).view(np.uint64)
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.int16) for i in range(a.shape[1]))
+
+
+def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE) -> DataFrame:
+    """(query_id, vec_id, distance, rank): of each query's nearest sketches, the exact distances.
 
-    Between unit vectors the euclidean and the cosine order are one.
+    Sketches are signs of random projections.  How many bits may differ is fitted on at most `SAMPLE` vectors and queries,
+    so that about `share` of the pairs get a distance; every vector is looked at.  Queries are sent in blocks of `BLOCK`;
+    a task keeps the k nearest of its rows for each query, so few rows are shuffled.
     """
-    unit = lambda df, c: Normalizer(inputCol="__v", outputCol="unit").transform(df.withColumn("__v", array_to_vector(F.col(c)))).drop("__v")
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=5)
-    v, q = unit(vectors, "embedding"), unit(queries, "query_vector")
-    model = lsh.fit(v)
-    keys = lambda df: model.transform(df).withColumn("__b", F.explode(F.expr("transform(h, (x, i) -> concat(i, ':', cast(x as string)))")))
-    pairs = keys(v).select("vec_id", "embedding", "__b").join(keys(q).select("query_id", "query_vector", "__b"), "__b").dropDuplicates(["query_id", "vec_id"])
-    near = pairs.select("query_id", "vec_id", (F.round(S.cosine_distance("embedding", "query_vector"), 6) + 0.0).alias("distance"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+    some = np.array([r[0] for r in vectors.select("embedding").limit(SAMPLE).collect()], float)
+    own = [(r[0], r[1]) for r in queries.select("query_id", "query_vector").toLocalIterator()]
+    none = vectors.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("distance")).where(F.lit(False))
+    if not len(some) or not own:
+        return none.withColumn("rank", F.lit(0))
+    p = planes(some.shape[1])
+    asked = sketches(np.array([v for _, v in own[:SAMPLE]], float), p)
+    cut = int(np.quantile(apart(sketches(some, p), asked), share))
+    out = none
+    for at in range(0, len(own), BLOCK):
+        block = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in own[at : at + BLOCK]]), np.array([v for _, v in own[at : at + BLOCK]], float)))
+
+        def near(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            ids, q = block.value
+            norm, marks = np.linalg.norm(q, axis=1), sketches(q, p)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = batch.column("embedding").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
+                i, j = np.nonzero(apart(sketches(x, p), marks) <= cut)
+                length = np.linalg.norm(x, axis=1)[i] * norm[j]
+                d = np.round(1 - np.einsum("ij,ij->i", x[i], q[j]) / np.where(length == 0, np.nan, length), 6) + 0.0
+                vec = batch.column("vec_id").to_numpy()[i]
+                order = np.lexsort((vec, d, j))
+                place = np.arange(len(order)) - np.searchsorted(j[order], j[order])
+                order = order[(place < k) & ~np.isnan(d[order])]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j[order]]), pa.array(vec[order]), pa.array(d[order])], names=["query_id", "vec_id", "distance"])
+
+        out = out.unionByName(vectors.select("vec_id", "embedding").mapInArrow(near, "query_id long, vec_id long, distance double"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
 
 
 @query("e2_approximate_top_k")

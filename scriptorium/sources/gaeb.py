@@ -2,51 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ITEM = "struct<_ID:string,_RNoPart:string,_RNo:string,Qty:string,QU:string,UP:string,IT:string,Description:struct<CompleteText:struct<OutlineText:string,DetailTxt:string>,OutlineText:string>>"
-_LIST = f"struct<Item:array<{ITEM}>>"
-#: Categories to three levels, each inheriting the nearest label above it.  All fields are strings: numbers like 01 stay.
-_C3 = f"struct<_RNoPart:string,LblTx:string,BoQBody:struct<Itemlist:{_LIST}>>"
-_C2 = f"struct<_RNoPart:string,LblTx:string,BoQBody:struct<BoQCtgy:array<{_C3}>,Itemlist:{_LIST}>>"
-_C1 = f"struct<_RNoPart:string,LblTx:string,BoQBody:struct<BoQCtgy:array<{_C2}>,Itemlist:{_LIST}>>"
-BODY = f"struct<BoQBody:struct<BoQCtgy:array<{_C1}>,Itemlist:{_LIST}>>"
+from scriptorium.functions.numbers import parse_decimal
+
+_ITEM = ["section", "oz", "short_text", "quantity", "unit", "unit_price"]
+
+
+def _name(element: ElementTree.Element) -> str:
+    """Tag without its namespace, which differs by version."""
+    return element.tag.rpartition("}")[2]
+
+
+def _text(element: ElementTree.Element, *names: str) -> str:
+    """The first text under an element that stands in a tag of these names."""
+    return next((e.text.strip() for e in element.iter() if _name(e) in names and e.text and e.text.strip()), "")
+
+
+def _items(content: bytes) -> tuple[list[dict], str | None]:
+    """Items in document order with the nearest category label above each, at any depth; or what is wrong with the file."""
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError as e:
+        return [], f"no XML: {e}"
+    if _name(root) != "GAEB":
+        return [], f"root is {_name(root)}"
+    out: list[dict] = []
+    todo = [(root, "")]
+    while todo:
+        node, section = todo.pop()
+        if _name(node) == "Item":
+            text = _text(node, "TextOutlTxt", "span") or _text(node, "OutlineText")
+            number = next((v.strip() for k in ("RNoPart", "RNo") if (v := node.get(k)) and v.strip()), f"{len(out) * 10 + 10:04d}")
+            out.append({"section": section, "oz": number, "short_text": text, "quantity": _text(node, "Qty"), "unit": _text(node, "QU"), "unit_price": _text(node, "UP")})
+            continue
+        if _name(node) == "BoQCtgy":
+            label = next((e for e in node if _name(e) == "LblTx"), None)
+            section = (_text(label, "span", "LblTx") if label is not None else "") or section
+        todo.extend((child, section) for child in reversed(node))
+    return out, None if out else "no items"
+
+
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """A row an item with what the file says, and one with `error` for a file without items."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file_id"), "content")
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file_id, content in zip(batch.column("file_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                items, error = _items(content)
+                rows += [x | {"file_id": file_id, "place": n + 1, "error": None} for n, x in enumerate(items)]
+                if error:
+                    rows.append({"file_id": file_id, "error": error})
+            names = ["file_id", "place", "error", *_ITEM]
+            kinds = [pa.string(), pa.int64(), *[pa.string()] * (len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(k) for r in rows], t) for k, t in zip(names, kinds, strict=True)], names=names)
+
+    return files.mapInArrow(parse, "file_id string, place long, error string, " + ", ".join(f"{k} string" for k in _ITEM))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Items of GAEB files of any namespace version: (file_id, place, section, oz, short_text, quantity, unit, unit_price)."""
-    raw = spark.read.format("xml").options(rowTag="BoQ", ignoreNamespace=True, attributePrefix="_", inferSchema=False).schema(BODY[7:-1].replace("BoQBody:", "BoQBody ", 1)).load(path).withColumn("file_id", F.col("_metadata.file_path"))
-    top = raw.select("file_id", F.lit("").alias("p0"), F.col("BoQBody.Itemlist.Item").alias("items"), F.lit(None).cast("string").alias("section"))
-    one = raw.select("file_id", F.posexplode("BoQBody.BoQCtgy").alias("i", "c"))
-    two = one.select("file_id", "i", F.col("c.LblTx").alias("l1"), F.posexplode("c.BoQBody.BoQCtgy").alias("j", "d"))
-    three = two.select("file_id", "i", "j", "l1", F.col("d.LblTx").alias("l2"), F.posexplode("d.BoQBody.BoQCtgy").alias("k", "e"))
-    place = lambda *xs: F.concat_ws(".", *[F.lpad(F.col(x).cast("string"), 6, "0") for x in xs])
-    parts = [
-        top,
-        one.select("file_id", place("i").alias("p0"), F.col("c.BoQBody.Itemlist.Item").alias("items"), F.col("c.LblTx").alias("section")),
-        two.select("file_id", place("i", "j").alias("p0"), F.col("d.BoQBody.Itemlist.Item").alias("items"), F.coalesce("d.LblTx", "l1").alias("section")),
-        three.select("file_id", place("i", "j", "k").alias("p0"), F.col("e.BoQBody.Itemlist.Item").alias("items"), F.coalesce("e.LblTx", "l2", "l1").alias("section")),
-    ]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    items = every.select("file_id", "p0", F.coalesce("section", F.lit("")).alias("section"), F.posexplode("items").alias("n", "x"))
-    place_ = F.row_number().over(Window.partitionBy("file_id").orderBy("p0", "n"))
-    x = F.col("x")
-    number = F.coalesce(F.nullif(F.trim(x["_RNoPart"]), F.lit("")), F.nullif(F.trim(x["_RNo"]), F.lit("")), F.lpad(((F.col("n") + 1) * 10).cast("string"), 4, "0"))
-    text = F.coalesce(x["Description"]["CompleteText"]["OutlineText"], x["Description"]["OutlineText"])
-    return items.select(
+    """Items of GAEB files of any namespace version: (file_id, place, section, oz, short_text, quantity, unit, unit_price).
+
+    A category's label counts for all below it until a nearer one, at any depth.  A missing quantity is 0, a missing number
+    the item's place times ten; numbers may be German or English.  Files without items are in rejects.
+    """
+    x = _parsed(spark, path).where("error is null")
+    return x.select(
         "file_id",
-        place_.alias("place"),
-        F.trim("section").alias("section"),
-        number.alias("oz"),
-        F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")).alias("short_text"),
-        F.coalesce(F.trim(x["Qty"]).try_cast("decimal(18,3)"), F.lit(0).cast("decimal(18,3)")).alias("quantity"),
-        F.coalesce(F.trim(x["QU"]), F.lit("")).alias("unit"),
-        F.trim(x["UP"]).try_cast("decimal(18,4)").alias("unit_price"),
+        "place",
+        "section",
+        "oz",
+        F.trim(F.regexp_replace("short_text", r"\s+", " ")).alias("short_text"),
+        F.coalesce(F.round(parse_decimal(F.col("quantity")), 3), F.lit(0)).cast("decimal(18,3)").alias("quantity"),
+        "unit",
+        F.round(parse_decimal(F.col("unit_price")), 4).cast("decimal(18,4)").alias("unit_price"),
     )
 
 
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id, error) of files that are no GAEB or hold no item."""
+    return _parsed(spark, path).where("error is not null").select("file_id", "error")
+
+
 def _uuid(name) -> object:
     """A version 5 shaped id from a name: the same name, the same id."""
     h = F.sha1(name)
@@ -60,29 +105,38 @@ def _escape(x) -> object:
     return x
 
 
+def _block(tag: str, text) -> object:
+    """A text as the format nests it."""
+    return F.concat(F.lit(f"<{tag}><p><span>"), _escape(F.coalesce(text, F.lit(""))), F.lit(f"</span></p></{tag}>"))
+
+
 def offers(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """positions (file_id, row_no, oz, short_text, quantity, unit, unit_price, section) -> (file_id, xml) priced offers, and
     (file_id, unpriced) for the files that have a position without a price.
 
-    A flat list if the only section is empty, else a category a section in first-seen order.
+    A flat list if the only section is empty, else a category a section in first-seen order.  Columns long_text and
+    source_total are used where there are any: a total that the source printed is carried over, not computed.
     """
     state = positions.groupBy("file_id").agg(F.count_if(F.col("unit_price").isNull()).alias("unpriced"))
     rejects = state.where("unpriced > 0")
     p = positions.join(state.where("unpriced = 0"), "file_id", "left_semi")
     money = lambda c: c.cast("decimal(18,2)").cast("string")
-    total = F.round(F.col("quantity").cast("decimal(18,3)") * F.col("unit_price").cast("decimal(18,4)"), 2)
+    product = F.round(F.col("quantity").cast("decimal(18,3)") * F.col("unit_price").cast("decimal(18,4)"), 2).cast("decimal(18,2)")
+    total = F.coalesce(F.col("source_total").cast("decimal(18,2)"), product) if "source_total" in p.columns else product
+    long = F.coalesce("long_text", F.lit("")) if "long_text" in p.columns else F.lit("")
+    detail = F.when(long != "", F.concat(F.lit("<DetailTxt>"), _block("Text", long), F.lit("</DetailTxt>"))).otherwise("")
     item = F.concat(
         F.lit('<Item ID="'), _uuid(F.concat_ws("/", F.col("file_id").cast("string"), F.col("row_no").cast("string"))), F.lit('" RNoPart="'), _escape(F.col("oz")), F.lit('"><Qty>'), F.col("quantity").cast("decimal(18,3)").cast("string"), F.lit("</Qty><QU>"), _escape(F.col("unit")),
-        F.lit("</QU><UP>"), money(F.round(F.col("unit_price").cast("decimal(18,4)"), 2)), F.lit("</UP><IT>"), money(total), F.lit("</IT><Description><CompleteText><OutlineText>"), _escape(F.col("short_text")), F.lit("</OutlineText></CompleteText></Description></Item>"),
+        F.lit("</QU><Description><CompleteText><OutlineText><OutlTxt>"), _block("TextOutlTxt", F.col("short_text")), F.lit("</OutlTxt></OutlineText>"), detail, F.lit("</CompleteText></Description><UP>"), money(F.round(F.col("unit_price").cast("decimal(18,4)"), 2)), F.lit("</UP><IT>"), money(total), F.lit("</IT></Item>"),
     )
-    section = p.withColumn("item", item).groupBy("file_id", "section").agg(F.min("row_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "item"))), lambda x: x["item"]), "").alias("items"))
+    section = p.withColumn("section", F.coalesce("section", F.lit(""))).withColumn("item", item).withColumn("total", total).groupBy("file_id", "section").agg(F.min("row_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "item"))), lambda x: x["item"]), "").alias("items"), F.sum("total").alias("total"))
     body = F.concat(F.lit("<Itemlist>"), "items", F.lit("</Itemlist>"))
-    category = F.concat(F.lit('<BoQCtgy RNoPart="'), F.lpad(F.row_number().over(Window.partitionBy("file_id").orderBy("first", "section")).cast("string"), 2, "0"), F.lit('"><LblTx>'), _escape(F.col("section")), F.lit("</LblTx><BoQBody>"), body, F.lit("</BoQBody></BoQCtgy>"))
+    category = F.concat(F.lit('<BoQCtgy RNoPart="'), F.lpad(F.row_number().over(Window.partitionBy("file_id").orderBy("first", "section")).cast("string"), 2, "0"), F.lit('">'), _block("LblTx", F.col("section")), F.lit("<BoQBody>"), body, F.lit("</BoQBody></BoQCtgy>"))
     section = section.withColumn("body", body).withColumn("category", category)
-    whole = section.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("first", "section", "body", "category"))).alias("s"))
+    whole = section.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("first", "section", "body", "category"))).alias("s"), F.sum("total").alias("total"))
     flat = (F.size("s") == 1) & (F.col("s")[0]["section"] == "")
     inner = F.when(flat, F.col("s")[0]["body"]).otherwise(F.array_join(F.transform("s", lambda x: x["category"]), ""))
-    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><GAEB xmlns="http://www.gaeb.de/GAEB_DA_XML/DA84/3.2"><Award><DP>84</DP><BoQ><BoQBody>'), inner, F.lit("</BoQBody></BoQ></Award></GAEB>"))
+    xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><GAEB xmlns="http://www.gaeb.de/GAEB_DA_XML/DA84/3.2"><PrjInfo><NamePrj>'), _escape(F.col("file_id").cast("string")), F.lit("</NamePrj><Cur>EUR</Cur></PrjInfo><Award><DP>84</DP><Cur>EUR</Cur><BoQ><BoQBody>"), inner, F.lit("</BoQBody><Totals><Total>"), money(F.col("total")), F.lit("</Total></Totals></BoQ></Award></GAEB>"))
     return whole.select("file_id", xml.alias("xml")), rejects
 
 

@@ -14,55 +14,63 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from scriptorium.operators.audit import GENESIS, payload
 
 
-def ingest(source: DataFrame, corpus_path: str, checkpoint: str, key: str = "file_hash") -> StreamingQuery:
-    """New files once each: a batch is cut to the hashes the corpus lacks and written under its batch number.
+def ingest(source: DataFrame, corpus_path: str, checkpoint: str, key: str = "file_hash", index=None) -> StreamingQuery:
+    """New files once each: a batch is cut to the hashes the corpus lacks, indexed, and written under its batch number.
 
-    A batch that is run again after a failure overwrites its own folder, so nothing is lost or doubled.
+    index(files) gives (chunks, outcome), both by version_id; chunks are written first and a file's outcome last, so only
+    a file whose chunks are all there is listed, with status `active` or the error that keeps it out.  Hashes lie apart
+    from texts, and a batch reads of them only the prefixes it has itself.  A batch that is run again after a failure
+    overwrites its own folders, so nothing is lost or doubled.
     """
+    prefix = F.substring(key, 1, 2).alias("prefix")
 
     def land(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        known = [p for p in _batches(spark, corpus_path) if p < batch_id]
-        if known:
-            fresh = fresh.join(spark.read.parquet(*[f"{corpus_path}/batch={p}" for p in known]).select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{corpus_path}/batch={batch_id}")
+        listed = "prefix string, batch long, status string, error string, n_chunks long, " + f"{key} string"
+        if batch_id:
+            known = spark.read.schema(listed).parquet(f"{corpus_path}/files").where(F.col("batch") < batch_id)
+            wanted = [r[0] for r in fresh.select(prefix).distinct().collect()]  # 256 prefixes at most
+            fresh = fresh.join(known.where(F.col("prefix").isin(wanted)).select(key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{corpus_path}/texts/batch={batch_id}")
+        landed = spark.read.schema(fresh.schema).parquet(f"{corpus_path}/texts/batch={batch_id}")
+        if index is None:
+            outcome = landed.select(key, F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("n_chunks"))
+        else:
+            chunks, outcome = index(landed)
+            chunks.write.mode("overwrite").parquet(f"{corpus_path}/chunks/batch={batch_id}")
+            outcome = outcome.select(F.col("version_id").alias(key), "error", "n_chunks")
+        outcome = outcome.withColumn("status", F.when(F.col("error").isNull(), "active").otherwise("pending"))
+        outcome.withColumn("prefix", prefix).write.mode("overwrite").partitionBy("prefix").parquet(f"{corpus_path}/files/batch={batch_id}")
 
     return source.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches under a path, by Spark's file system, whatever it is."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("batch="))
+def landed(spark: SparkSession, corpus_path: str) -> DataFrame:
+    """Files of all batches with their status, error and number of chunks."""
+    return spark.read.parquet(f"{corpus_path}/files")
 
 
 def append_chain_stream(source: DataFrame, fields: list[str], key: str = "clinic_id", order: str = "seq") -> DataFrame:
-    """A stream of entries with prev_hash and row_hash; the state of a key is its tail and last sequence number.
+    """A stream of entries with prev_hash, row_hash and chain_no; the state of a key is its tail and how many it has.
 
-    A key's rows meet in one task in each batch and are folded in order; rows at or below the last number are late and
-    dropped.
+    A key's rows of a batch meet in one task and are folded in order.  Rows that come late, with a number below one of an
+    earlier batch, go after the tail like any other: a chain's order is that of arrival, which chain_no counts from 1.
     """
     body = source.select(key, order, payload(source, fields).alias("payload"))
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, last = state.get if state.exists else (GENESIS, -1)
-        rows = pd.concat(list(parts)).sort_values(order)
+        tail, n = state.get if state.exists else (GENESIS, 0)
+        rows = pd.concat(list(parts)).sort_values([order, "payload"])
         out = []
         for seq, text in zip(rows[order], rows["payload"], strict=True):
-            if seq <= last:
-                continue
-            h = hashlib.sha256((tail + text).encode()).hexdigest()
-            out.append((k[0], int(seq), tail, h))
-            tail, last = h, int(seq)
-        state.update((tail, last))
-        yield pd.DataFrame(out, columns=[key, order, "prev_hash", "row_hash"])
+            h, n = hashlib.sha256((tail + text).encode()).hexdigest(), n + 1
+            out.append((k[0], int(seq), tail, h, n))
+            tail = h
+        state.update((tail, n))
+        yield pd.DataFrame(out, columns=[key, order, "prev_hash", "row_hash", "chain_no"])
 
-    return body.groupBy(key).applyInPandasWithState(fold, f"{key} string, {order} long, prev_hash string, row_hash string", "tail string, last long", "append", GroupStateTimeout.NoTimeout)
+    return body.groupBy(key).applyInPandasWithState(fold, f"{key} string, {order} long, prev_hash string, row_hash string, chain_no long", "tail string, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def job_progress(events: DataFrame) -> DataFrame:
@@ -90,3 +98,18 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Run a stream over what there is, into parquet."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an aggregating stream in update mode over what there is: each batch's changed rows, under its number."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("run", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def last_updates(rows: DataFrame, *keys: str) -> DataFrame:
+    """The newest row of each key."""
+    own = [c for c in rows.columns if c not in ("run", "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*own), "run").alias("x")).select("x.*")
