@@ -72,7 +72,11 @@ def load(model: str = MODEL) -> Pieces:
 
 
 def n_best(word: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a pre-token, best first, ties by ids."""
+    """The n best segmentations of a pre-token, best first.
+
+    Of equal costs (to nine places) the path that has come furthest goes on, so a pre-token with endless ties takes no more
+    than n walks along it; a path is a chain that shares what it has in common with others.
+    """
     size = len(word)
     ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(size + 1)]
     best = [-math.inf] * (size + 1)
@@ -93,17 +97,28 @@ def n_best(word: str, pieces: Pieces, n: int) -> list[tuple[float, tuple[int, ..
             ends[i + 1].append((i, pieces.unknown, tuple(pieces.bytes_at + b for b in word[i].encode("utf-8", "surrogatepass"))))
             best[i + 1] = max(best[i + 1], here + pieces.unknown)
     # backward: what is done plus the forward score is the exact score of the best completion
-    heap, out = [(-best[size], (), size, 0.0)], []
+    heap, out, count = [(round(-best[size], 9), size, 0, 0.0, None)], [], 0
     while heap and len(out) < n:
-        cost, ids, at, done = heapq.heappop(heap)
+        _, at, _, done, path = heapq.heappop(heap)
         if not at:
-            out.append((done, ids))
+            ids: list[int] = []
+            while path is not None:
+                ids += path[0]
+                path = path[1]
+            out.append((done, tuple(ids)))
             continue
         for i, s, p in ends[at]:
-            heapq.heappush(heap, (-(done + s + best[i]), p + ids, i, done + s))
+            count += 1
+            heapq.heappush(heap, (round(-(done + s + best[i]), 9), i, count, done + s, (p, path)))
     return out
 
 
+def alternatives(word: str, pieces: Pieces, n: int, best: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best with the given one of the best first, which of several ties it may be."""
+    found = n_best(word, pieces, n)
+    return [(found[0][0], best), *[x for x in found if x[1] != best][: n - 1]]
+
+
 class Lattice(NamedTuple):
     """Best segmentations of many pre-tokens: flat ids with offsets, scores, and the loss of each one's second best."""
 
@@ -283,7 +298,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_B
                     spots, counts = spread(found.offsets, chosen)
                     best = float(found.score[chosen].sum())
                     near = cheapest(found.loss[chosen], n - 1)
-                    lists = [n_best(row[w], known, n) for w in near]
+                    own = [found.ids[found.offsets[chosen[w]] : found.offsets[chosen[w] + 1]] for w in near]
+                    lists = [alternatives(row[w], known, n, tuple(x.tolist())) for w, x in zip(near, own, strict=True)]
                     begin = np.cumsum(counts) - counts
                     rest = []
                     for loss, choice in combine(lists, n)[1:]:

@@ -82,7 +82,7 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cut = cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + (x["end"] - x["begin"]))
-    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("repeats"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,4 +105,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_SPLIT = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_COUNT = "len(regexp_extract_all(coalesce(text, ''), '{}'))"
+
+_OP5 = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT *, least(len(w), 13) AS n FROM b WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT n FROM windows), grams AS (SELECT DISTINCT g FROM windows),
+spots AS (SELECT rid, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT rid, n, p, g FROM spots SEMI JOIN grams USING (g)),
+n_hit AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(p, p + n)) AS k FROM hits) GROUP BY rid),
+items AS (SELECT rid, list(DISTINCT item ORDER BY item) AS ids FROM hits JOIN windows USING (g) WHERE hits.n = windows.n GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(len(ids), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AND 20 * coalesce(h.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n_hit h USING (rid) LEFT JOIN items i USING (rid)"""
+
+_OP10 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, {_SPLIT} AS w FROM documents),
+g AS (SELECT rid, p, array_to_string(w[p:p + 7], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS p FROM d)),
+twice AS (SELECT rid, g FROM g GROUP BY ALL HAVING count(*) > 1),
+again AS (SELECT rid, count(DISTINCT k) AS n FROM (SELECT rid, unnest(range(p, p + 8)) AS k FROM g SEMI JOIN twice USING (rid, g)) GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid),
+c AS (SELECT doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {_COUNT.format('[#*$%&|<>]')} AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words,
+  {_COUNT.format('[A-Z]')} AS upper, {_COUNT.format('[a-z]')} AS lower, {_COUNT.format('[^\\x00-\\x7F]')} AS wide FROM d LEFT JOIN again USING (rid) LEFT JOIN dup USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR upper > lower + 20 OR word_chars > 16 * greatest(n_words, 1) OR 2 * (upper + lower + wide) < word_chars) AS kept FROM f"""
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": _OP5, "op10_quality_rules": _OP10}
