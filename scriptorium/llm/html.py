@@ -52,13 +52,18 @@ BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em emb
 _none = re.compile(r"display\s*:\s*none", re.I)
 _visibility = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _space = re.compile(r"[ \t\n\r\f]+")
+_comment = re.compile(r"/\*.*?\*/|<!--|-->", re.S)
+_at_rule = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})")
+_rule = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_said = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([^;]+)", re.I)
+_simple = re.compile(r"(\*|[a-zA-Z][\w-]*|)((?:[.#][\w-]+)*)")
 
 
 class Element:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "number", "tag")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str | None], number: int = 0):
+        self.tag, self.attrs, self.children, self.number = tag, attrs, [], number
 
 
 class Builder(HTMLParser):
@@ -68,7 +73,7 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {})
         self.open = [self.root]
-        self.n_foreign = 0
+        self.n_foreign, self.number = 0, 0
 
     def close_to(self, tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> None:
         """Close what is open of tags, down to the innermost element of stop."""
@@ -105,7 +110,8 @@ class Builder(HTMLParser):
             self.close_to(*IMPLIED[tag])
         if tag in CELLS and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.handle_starttag("tr", [])
-        e = Element(tag, dict(attrs))
+        self.number += 1
+        e = Element(tag, dict(attrs), self.number)
         self.open[-1].children.append(e)
         if tag not in VOID:
             self.open.append(e)
@@ -137,9 +143,50 @@ def build(html: str) -> Element:
     b = Builder()
     b.feed(html)
     b.close()
+    apply_styles(b.root)
     return b.root
 
 
+def elements(root: Element) -> Iterator[Element]:
+    todo = [root]
+    while todo:
+        e = todo.pop()
+        yield e
+        todo.extend(c for c in e.children if isinstance(c, Element))
+
+
+def rules(css: str) -> list[tuple[tuple[int, int, int], str, frozenset[str], str, dict[str, str]]]:
+    """(weight, tag, classes, id, what it says of display and visibility) of rules by tag, class and id.
+
+    Other selectors (by ancestors, attributes or states) and at-rules are left out.
+    """
+    out = []
+    for names, body in _rule.findall(_at_rule.sub(" ", _comment.sub(" ", css))):
+        said = {k.lower(): v.strip().lower().removesuffix("!important").strip() for k, v in _said.findall(body)}
+        for name in names.split(",") if said else []:
+            if m := _simple.fullmatch(name.strip()):
+                tag, more = m[1].lower().replace("*", ""), re.findall(r"([.#])([\w-]+)", m[2])
+                classes, ids = frozenset(n for k, n in more if k == "."), [n for k, n in more if k == "#"]
+                if tag or more:
+                    out.append(((len(ids), len(classes), bool(tag)), tag, classes, ids[-1] if ids else "", said))
+    return sorted(out, key=lambda r: r[0])
+
+
+def apply_styles(root: Element) -> None:
+    """Writes what the page's style elements say of an element before what it says itself."""
+    if not any(e.tag == "style" for e in elements(root)):
+        return
+    found = rules("\n".join("".join(c for c in e.children if isinstance(c, str)) for e in sorted(elements(root), key=lambda e: e.number) if e.tag == "style"))
+    for e in elements(root) if found else ():
+        classes, said = set((e.attrs.get("class") or "").split()), {}
+        for _, tag, wanted, id_, what in found:
+            if (not tag or tag == e.tag) and wanted <= classes and (not id_ or id_ == e.attrs.get("id")):
+                said |= what
+        if said:
+            own = {k.lower(): v.strip() for k, v in _said.findall(e.attrs.get("style") or "")}
+            e.attrs["style"] = ";".join(f"{k}:{v}" for k, v in (said | own).items())
+
+
 class Page:
     """Text so far, and what stands before the next one: line breaks, a space, a list marker."""
 
