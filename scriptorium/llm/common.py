@@ -85,7 +85,11 @@ def text_key(column: str) -> list:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about limit bytes of text each, so that work arrays stay small; a longer text is one part."""
+    """Parts of a batch with about limit bytes of text each, so that work arrays stay small; a longer text is one part.
+
+    Memory that the batch before has freed goes back to the system first.
+    """
+    pa.default_memory_pool().release_unused()
     sizes = np.cumsum(np.diff(offsets(batch.column(column))[1]))
     at, done = 0, 0
     while at < batch.num_rows:

@@ -33,7 +33,7 @@ PRETOKEN = re.compile(r" +[^ ]*|[^ ]+")
 UNKNOWN_PENALTY = 10.0
 #: Pre-tokens that a task remembers the counts of, and bytes of text that are segmented at once.
 CACHE = 200_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 N_BEST = 3
 
 
@@ -265,22 +265,36 @@ def cheapest(loss: np.ndarray, n: int) -> np.ndarray:
     return np.sort(near[np.isfinite(loss[near])])
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_BEST) -> DataFrame:
+def _surface(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all ids on end, and where each begins."""
+    return np.frombuffer(b"".join(pieces.surface), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in pieces.surface])))
+
+
+def _spelt(ids: np.ndarray, spelt: np.ndarray, at: np.ndarray) -> str:
+    """What ids stand for, without the space put before every text."""
+    places, _ = spread(at, ids)
+    return spelt[places].tobytes().decode("utf-8", "replace")[1:]
+
+
+def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_BEST, decoded: str | None = None) -> DataFrame:
     """docs with `ids` array<int> (the best segmentation), `score` double, and `others`, the next n - 1 best.
 
     Each of `others` has its score and its edits: pieces begin to end (exclusive) of the best give way to ids.  Null
     text: null ids and score, no others.  Empty text: the one piece of the leading space.  Repeated rows are encoded
-    alike.  Columns of these names are replaced.
+    alike.  Columns of these names are replaced.  decoded names a column for the text that the ids stand for, as decode
+    gives it, made in the same pass; it may be the text's own.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load(model))
     added = "ids array<int>, score double, others array<struct<score:double,edits:array<struct<begin:int,end:int,ids:array<int>>>>>"
     held = docs.drop(*[c for c in ("ids", "score", "others") if c != text])
-    schema = T.StructType(held.schema.fields + T._parse_datatype_string(added).fields)
+    extra = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([f for f in held.schema.fields if f.name != decoded] + T._parse_datatype_string(added).fields + extra)
     kinds = [pa.list_(pa.int32()), pa.float64(), pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces.value
         table = table_of(known)
+        spelt = _surface(known)
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 words = [PRETOKEN.findall(" " + t) if t is not None else [] for t in part.column(text).to_pylist()]
@@ -312,28 +326,25 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, n: int = N_B
                 ends = np.concatenate(([0], np.cumsum([s or 0 for s in sizes]))).astype(np.int32)
                 ids = found.ids[np.concatenate(place)] if place else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array([s is None for s in sizes]))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(scores, kinds[1]), pa.array(others, kinds[2])], names=schema.names)
+                own = [part.column(c) for c in part.schema.names if c != decoded]
+                again = [pa.array([None if s is None else _spelt(ids[a : a + s].astype(np.int64), *spelt) for a, s in zip(ends[:-1], sizes, strict=True)], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*own, lists, pa.array(scores, kinds[1]), pa.array(others, kinds[2]), *again], names=schema.names)
 
     return held.mapInArrow(work, schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", text: str = "decoded", model: str = MODEL) -> DataFrame:
     """encoded with the text that ids stand for; null ids give null, and bytes that aren't UTF-8 the replacement sign."""
-    surface = encoded.sparkSession.sparkContext.broadcast(load(model).surface)
+    pieces = encoded.sparkSession.sparkContext.broadcast(load(model))
     held = encoded.drop(*[text] if text != ids else [])
     schema = T.StructType([*held.schema.fields, T.StructField(text, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spelt = np.frombuffer(b"".join(surface.value), np.uint8)
-        at = np.concatenate(([0], np.cumsum([len(x) for x in surface.value])))
+        spelt = _surface(pieces.value)
         for batch in batches:
             texts = []
             for row in batch.column(ids):
-                if not row.is_valid:
-                    texts.append(None)
-                    continue
-                places, _ = spread(at, row.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                texts.append(spelt[places].tobytes().decode("utf-8", "replace")[1:])
+                texts.append(_spelt(row.values.to_numpy(zero_copy_only=False).astype(np.int64), *spelt) if row.is_valid else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return held.mapInArrow(work, schema)

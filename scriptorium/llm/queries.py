@@ -19,9 +19,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scriptorium.llm.pieces import decode, encode
+    from scriptorium.llm.pieces import encode
 
-    encoded = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    encoded = encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),

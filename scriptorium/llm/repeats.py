@@ -25,7 +25,7 @@ from scriptorium.llm.suffixes import repeated
 SIZE, GRAM = 400, 16
 #: Bytes of segments a shard, about, and bytes of different segments under one hash that still fit a shard.
 SHARD, HOT = 3 << 20, 8 << 20
-SLICE = 1 << 20
+SLICE = 1 << 19
 END = 0xFF  # in no UTF-8 text
 
 SEGMENT = "k1 long, k2 long, begin int, end int, h long, c1 long, c2 long, again boolean"

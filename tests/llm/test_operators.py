@@ -325,6 +325,8 @@ def test_round_trip(spark, docs, empty):
     for d in (docs.withColumn("score", F.lit("clash")).withColumn("ids", F.lit(1)), more):
         encoded = encode(d)
         rows = decode(encoded).collect()
+        once = encode(d, decoded="text")
+        assert sorted(map(repr, by_id(once.collect(), "text", "ids", "score").items())) == sorted(map(repr, by_id(rows, "text", "ids", "score").items()))
         assert all(r["decoded"] == r["text"] for r in rows)
         assert all((r["ids"] is None) == (r["text"] is None) for r in rows)
         surface = load().surface
