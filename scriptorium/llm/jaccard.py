@@ -134,11 +134,13 @@ def coarse_links(texts: DataFrame, similarity: float = SIMILARITY, recall: float
     small = small.distinct().select(F.xxhash64("members", F.size("members")).alias("bucket"), F.explode("members").alias("tid"))
     # what is still large: close to its first text, or compared in blocks with the others that aren't
     sig = texts.select("tid", "sig")
-    led = left.join(sig, "tid").join(sig.select(F.col("tid").alias("head"), F.col("sig").alias("head_sig")), "head")
+    # (buckets of one group share their first text, so a text meets it once)
+    ends = left.select("tid", "head").distinct()
+    led = ends.join(sig, "tid").join(sig.select(F.col("tid").alias("head"), F.col("sig").alias("head_sig")), "head")
     agree = F.aggregate(F.zip_with("sig", "head_sig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v)
-    led = written(led.select("run", "key", "tid", "head", (agree >= F.lit(COARSE * HASHES)).alias("close")), "led")
-    links = led.where("close and tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b")).distinct()
-    apart = led.where("not close")
+    led = written(led.select("tid", "head", (agree >= F.lit(COARSE * HASHES)).alias("close")), "led")
+    links = led.where("close and tid <> head").select(F.col("head").alias("a"), F.col("tid").alias("b"))
+    apart = left.join(led.where("not close").select("tid", "head"), ["tid", "head"], "left_semi").select("run", "key", "tid")
     if apart.limit(1).count():
         blocks = apart.groupBy("run", "key").agg(F.ceil(2 * F.count(F.lit(1)) / F.lit(BUCKET)).cast("int").alias("blocks"))
         apart = written(apart.join(blocks, ["run", "key"]).withColumn("block", F.pmod(F.xxhash64("tid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))), "apart")
