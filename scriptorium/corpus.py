@@ -5,13 +5,12 @@ Every view is arithmetic on a row's own columns, or a window over a handful of r
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptorium.shared import scratch
+
 
 class Corpus:
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -21,19 +20,7 @@ class Corpus:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def scratch(self, label: str) -> str:
-        """A new folder where all executors can write; a temporary one only where none is named and all runs on one machine."""
-        root = self.spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not self.spark.sparkContext.master.startswith("local"):
-                raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-            root = tempfile.mkdtemp(prefix="spark-")
-        return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-    def kept(self, df: DataFrame, label: str) -> DataFrame:
-        """df written to the scratch folder and read again, for what is used more than once."""
-        path = self.scratch(label)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return scratch(self.spark, label)
 
     def n_vectors(self) -> int:
         return self.table("embeddings").count()

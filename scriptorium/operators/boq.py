@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.numbers import UNIT_TOKENS, parse_decimal, quantity_and_unit, thousands_vote
+from scriptorium.shared import kept
 
 # Header labels of each field, and words that make a label a sum.
 HEADERS = {
@@ -171,49 +176,189 @@ def mode_width(cells: DataFrame) -> DataFrame:
     return n.groupBy("file_id").agg(F.max_by("width", F.struct("n", -F.col("first"))).alias("width"))
 
 
-def clean(cells: DataFrame) -> DataFrame:
-    """Cells without page furniture, repeated header rows and gross columns of a net one (19 or 7 per cent within 0.5)."""
-    furniture = F.trim("text").rlike(r"(?i)^(?:seite|page|blatt)\s*\d+(?:\s*(?:von|of|/)\s*\d+)?$|^(?:übertrag|uebertrag|carry over)\b")
-    rows = cells.groupBy("file_id", "row_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", "text"))), lambda x: F.trim(x["text"])), "|").alias("sig"), F.bool_or(furniture).alias("furniture"), F.count_if(F.trim("text").rlike(r"\d")).alias("digits"))
-    keep = first_by_signature(rows.where(~F.col("furniture")), F.when(F.col("digits") == 0, F.col("sig"))).select("file_id", "row_no")
-    out = cells.join(keep, ["file_id", "row_no"], "left_semi")
-    value = parse_decimal(F.col("text")).cast("decimal(20,4)")
-    numbers = out.select("file_id", "row_no", "col_no", value.alias("v")).where("v > 0")
-    pairs = numbers.alias("n").join(numbers.alias("g"), ["file_id", "row_no"]).where("g.col_no > n.col_no")
-    near = lambda rate: F.abs(F.col("g.v") / F.col("n.v") - rate) <= 0.005 * rate
-    gross = pairs.groupBy("file_id", F.col("g.col_no").alias("col_no"), F.col("n.col_no").alias("net")).agg(F.avg(F.when(near(1.19) | near(1.07), 1.0).otherwise(0.0)).alias("share"), F.count(F.lit(1)).alias("n")).where("share >= 0.8 and n >= 2")
-    return out.join(gross.select("file_id", "col_no").distinct(), ["file_id", "col_no"], "left_anti")
+# Words of lines that belong to the page, the same with their letters alone, words of a document's closing
+# total, and the cost groups' numbers (a hundred, a ten, a unit, and what is appended).
+FURNITURE = ["brutto", "mwst", "mehrwertsteuer", "umsatzsteuer", "ust.", "seite ", "page ", "kostenberechnung", "kostenschätzung"]
+SQUASHED = ["rutto", "wst", "mehrwertsteuer", "umsatzsteuer"]
+TOTAL_LABELS = ["gesamt", "summe", "endsumme", "gesamtsumme"]
+COST_GROUP = r"^[1-8]\d\d(?:[.\-/]\d+)?$"
+AMOUNT = r"\d{1,3}(?:\.\d{3})*,\d{2}"
+VAT = (1.19, 1.07)
 
 
-def positions_from_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(positions, rejects): files with a header row read by it, others by their columns' content; a file without either
-    is rejected with its first rows.  A position has a text and a quantity; a missing number is the row's place times ten."""
-    t = separators(cells)
-    head = header_rows(cells)
-    mapped = map_header(cells).join(head, ["file_id", "row_no"], "left_semi").select("file_id", "field", "col_no")
-    roles = infer_roles(profile(cells, t)).join(head, "file_id", "left_anti").where("short_text is not null and quantity is not null")
-    guessed = roles.select("file_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("col_no")) for f in ("oz", "short_text", "quantity", "unit", "unit_price", "total")]))).where("col_no is not null")
-    fields = mapped.unionByName(guessed)
-    named = cells.join(fields, ["file_id", "col_no"]).join(head.select("file_id", F.col("row_no").alias("head")), "file_id", "left").where("head is null or row_no > head")
-    wide = named.groupBy("file_id", "row_no").agg(*[F.max(F.when(F.col("field") == f, F.trim("text"))).alias(f) for f in HEADERS]).join(t, "file_id")
-    q = quantity_and_unit(F.col("quantity"), F.col("thousands"))
-    wide = wide.withColumn("q", q).where((F.coalesce("short_text", F.lit("")) != "") & F.col("q.value").isNotNull())
-    n = F.row_number().over(Window.partitionBy("file_id").orderBy("row_no"))
+def cost_group_level(number: Column) -> Column:
+    """1 to 4 by the shape of a cost group's number, null for any other text."""
+    x = F.trim(number)
+    return F.when(x.rlike(COST_GROUP), F.when(F.length(x) > 3, 4).when(F.substring(x, 3, 1) != "0", 3).when(F.substring(x, 2, 1) != "0", 2).otherwise(1))
+
+
+def _settled(df: DataFrame, **named: Column) -> DataFrame:
+    """df with columns that are computed once, whatever reads them later; those of the same name are replaced."""
+    return df.select(*[c for c in df.columns if c not in named], F.inline(F.array(F.struct(*[v.alias(k) for k, v in named.items()]))))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    return functools.reduce(operator.or_, [F.contains(text, F.lit(w)) for w in words])
+
+
+def _net(cell: Column) -> Column:
+    """A cell without its lines on tax and gross sums; of two amounts of which the second is the first with tax, the first."""
+    kept = F.array_join(F.filter(F.split(F.trim(cell), r"\r?\n"), lambda x: (F.trim(x) != "") & ~_any(F.lower(x), FURNITURE)), "\n")
+    amounts = F.regexp_extract_all(F.replace(kept, F.lit("\n"), F.lit(" ")), F.lit(f"({AMOUNT}|(?<=,\\d\\d)\\d{{1,3}}(?:\\.\\d{{3}})+)"), F.lit(1))
+    number = lambda x: F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).cast("double")
+    taxed = lambda x: functools.reduce(operator.or_, [F.abs(number(x[0]) * rate - number(x[1])) <= number(x[0]) * rate * 0.005 for rate in VAT])
+    net = lambda x: F.when(F.size(x) == 2, F.when(taxed(x), x[0]))
+    return F.when(~cell.rlike(r"[a-zA-Z\n]|,\d\d\d"), F.trim(cell)).otherwise(F.coalesce(_let(amounts, net), kept))
+
+
+def _unglued(cell: Column) -> Column:
+    """Amounts printed side by side as one cell, apart: the cents of the first end where the next begins."""
+    return F.filter(F.split(F.regexp_replace(F.trim(cell), rf"({AMOUNT})(?=\d)", "$1\u0001"), "\u0001"), lambda x: x != "")
+
+
+def grid(cells: DataFrame) -> DataFrame:
+    """(file_id, row_no, row): cells as rows of texts by column, a missing one empty.  Dealt by file, so what follows stays there."""
+    text = F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int").alias("c"), F.coalesce("text", F.lit("")).alias("t"))))
+    rows = cells.repartition("file_id").groupBy("file_id", "row_no").agg(text.alias("m"), F.max("col_no").cast("int").alias("last"))
+    return rows.select("file_id", "row_no", F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))).alias("row"))
+
+
+def clean_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a grid without what belongs to the page, in this order: tax taken out of cells; a gap closed in a leading
+    cost group's number; footers, page marks and tax lines dropped, unless a row has a number of its own; of equal column
+    headings the first kept; a closing total without what stands before its label, the first of equals kept; amounts that
+    ran together taken apart where that gives a row the width most rows have."""
+    has = lambda test: F.exists("row", test)
+    wide = rows.where(has(lambda c: F.trim(c) != "")).withColumn("width", F.size("row"))
+    n = wide.groupBy("file_id", "width").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first"))
+    common = n.groupBy("file_id").agg(F.max_by("width", F.struct("n", -F.col("first"))).alias("common"))
+    out = _settled(wide, row=F.transform("row", _net)).where(has(lambda c: F.trim(c) != ""))
+    lead = F.array_position(F.transform("row", lambda c: F.trim(c) != ""), True) - 1
+
+    def closed(c: Column, i: Column, at: Column) -> Column:
+        tight = F.regexp_replace(F.trim(c), r"\s+", "")
+        return F.when((i == at) & F.trim(c).rlike(r"^\d[\d ]*\d$") & F.contains(c, F.lit(" ")) & tight.rlike(COST_GROUP), tight).otherwise(c)
+
+    out = _settled(out, lead=lead)
+    out = _settled(out, row=F.transform("row", lambda c, i: closed(c, i, F.col("lead"))))
+    joined = F.lower(F.array_join(F.filter("row", lambda c: F.trim(c) != ""), " "))
+    out = _settled(out, numbered=has(lambda c: F.trim(c).rlike(COST_GROUP) | F.trim(c).rlike(POSITION_NUMBER)), joined=joined)
+    out = out.where(F.col("numbered") | ~(_any(F.col("joined"), FURNITURE) | _any(F.regexp_replace("joined", "[^a-zäöüß0-9]", ""), SQUASHED)))
+    number = lambda c: F.trim(c).rlike(r"^[\d.,\s€+-]*\d[\d.,\s€-]*$")
+    words = ~has(number)
+    heading = words & (F.size(F.array_distinct(F.filter(F.transform("row", header_field), lambda f: f.isNotNull()))) >= 3)
+    out = _settled(out, heading=heading, words=words)
+    label = F.array_position(F.transform("row", lambda c: _any(F.lower(c), TOTAL_LABELS)), True) - 1
+    out = _settled(out, total=~F.col("heading") & ~F.col("numbered") & _any(F.col("joined"), TOTAL_LABELS), label=label)
+    tidy = F.transform("row", lambda c, i: F.when((i < F.col("label")) & (F.trim(c) != "") & ~number(c), "").otherwise(c))
+    out = _settled(out, row=F.when(F.col("total") & (F.col("label") >= 0), tidy).otherwise(F.col("row")))
+    sign = F.concat(F.when(F.col("heading"), "heading|").otherwise("total|"), F.array_join(F.transform("row", lambda c: F.lower(F.trim(c))), "|"))
+    out = first_by_signature(out, F.when(F.col("heading") | F.col("total"), sign)).join(common, "file_id")
+    apart = F.flatten(F.transform("row", lambda c: F.when(F.trim(c) == "", F.array(F.lit(""))).otherwise(_unglued(c))))
+    out = _settled(out, apart=F.when(F.size("row") < F.col("common"), apart))
+    row = F.when(F.size("apart") == F.col("common"), F.col("apart")).otherwise(F.col("row"))
+    return out.select("file_id", "row_no", row.alias("row"), "words")
+
+
+def clean(cells: DataFrame) -> DataFrame:
+    """clean_rows on cells; cells without text are left out."""
+    return clean_rows(grid(cells)).select("file_id", "row_no", F.posexplode("row").alias("col_no", "text")).where(F.trim("text") != "").select("file_id", "row_no", F.col("col_no").cast("long").alias("col_no"), "text")
+
+
+FIELDS = ("oz", "short_text", "quantity", "unit", "unit_price", "teilbetrag", "long_text", "section", "total")
+
+
+def columns(rows: DataFrame) -> DataFrame:
+    """(file_id, head, cols map<field, column>): the first row that names a text and a quantity column and is followed by a
+    quantity; a file without one by its columns' content.  A price column that quantity and total speak against gives way
+    to one they agree with."""
+    cells = rows.select("file_id", "row_no", F.posexplode("row").alias("c", "text"))
+    thousands = separators(cells)
+    named = F.transform("row", header_field)
+    first = F.map_filter(F.map_from_entries(F.transform(F.array(*[F.lit(f) for f in FIELDS]), lambda f: F.struct(f, (F.array_position(F.col("named"), f) - 1).cast("int")))), lambda k, v: v >= 0)
+    heads = _settled(rows.where("words"), named=named).where(F.array_contains("named", "short_text") & F.array_contains("named", "quantity")).select("file_id", F.col("row_no").alias("head"), first.alias("cols"))
+    tried = rows.join(heads, "file_id").where("row_no > head").join(thousands, "file_id")
+    full = _settled(tried, q=quantity_and_unit(F.get("row", F.element_at("cols", "quantity")), F.col("thousands"))["value"]).where("q is not null")
+    head = kept(full.groupBy("file_id").agg(F.min_by("cols", "head").alias("cols"), F.min("head").alias("head")), "headers")
+    body = rows.join(head.select("file_id", "head"), "file_id", "left").where("head is null or row_no > head")
+    below = body.select("file_id", "row_no", F.posexplode("row").alias("col_no", "text"))
+    roles = infer_roles(profile(below, thousands))
+    guess = F.map_filter(F.create_map(*[x for f in ("oz", "short_text", "quantity", "unit", "unit_price", "total") for x in (F.lit(f), F.col(f).cast("int"))]), lambda k, v: v.isNotNull())
+    both = roles.select("file_id", guess.alias("guess"), F.col("unit").cast("int").alias("u")).join(head, "file_id", "left")
+    # a header without a unit takes the column that looks like one, if no other field has it
+    unit = F.when(F.col("u").isNotNull() & ~F.map_contains_key("cols", "unit") & ~F.array_contains(F.map_values("cols"), F.col("u")), F.map_concat("cols", F.create_map(F.lit("unit"), F.col("u")))).otherwise(F.col("cols"))
+    found = both.select("file_id", "head", F.coalesce(unit, "guess").alias("cols")).where(F.map_contains_key("cols", "short_text") & F.map_contains_key("cols", "quantity"))
+    at = lambda f: F.try_element_at("cols", F.lit(f))
+    value = lambda c: parse_decimal(c, F.col("thousands"))
+    checked = body.drop("head").join(found, "file_id").where(at("total").isNotNull()).join(thousands, "file_id")
+    q = quantity_and_unit(F.get("row", at("quantity")), F.col("thousands"))["value"]
+    checked = _settled(checked, q=q, t=value(F.get("row", at("total")))).where("q <> 0 and t is not null")
+    checked = checked.select("file_id", "cols", "q", "t", "thousands", F.posexplode("row").alias("c", "text"))
+    checked = _settled(checked, u=value(F.col("text"))).where(F.col("u").isNotNull() & (F.col("c") != at("quantity")) & (F.col("c") != at("total")))
+    share = checked.groupBy("file_id", "c").agg(F.avg((F.abs(F.col("q") * F.col("u") - F.col("t")) <= TOLERANCE).cast("double")).alias("share"), F.first(at("unit_price")).alias("now")).where(F.col("share") >= AGREEMENT)
+    # the column named stays if it agrees, else the one that agrees most, the leftmost of equals
+    best = share.groupBy("file_id").agg(F.max_by("c", F.struct(F.col("c") == F.coalesce("now", F.lit(-1)), "share", -F.col("c"))).alias("price"))
+    price = F.when(F.col("price").isNotNull(), F.map_concat(F.map_filter("cols", lambda k, v: k != "unit_price"), F.create_map(F.lit("unit_price"), F.col("price")))).otherwise(F.col("cols"))
+    return found.join(best, "file_id", "left").join(thousands, "file_id").select("file_id", "head", price.alias("cols"), "thousands")
+
+
+def entries_from_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, rejects): every row that carries something, in order, with its kind and the cost-group headings above it.
+
+    kind is position (it has a quantity), kg (a cost group's heading) or entry; a text without a number after a position
+    is no entry but goes on in that position's long_text.  A file without columns or positions is rejected with its first
+    rows.  A missing number is the row's place times ten.
+    """
+    rows = kept(clean_rows(grid(cells)), "grid")
+    known = kept(columns(rows), "columns")
+    body = rows.drop("words").join(known, "file_id").where("head is null or row_no > head")
+    at = lambda f: F.coalesce(F.trim(F.get("row", F.try_element_at("cols", F.lit(f)))), F.lit(""))
+    e = body.select("file_id", "row_no", "thousands", *[at(f).alias(f) for f in FIELDS])
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy("row_no")))
+    e = _settled(e, q=quantity_and_unit(F.col("quantity"), F.col("thousands")))
+    e = e.where("short_text <> '' or quantity <> '' or total <> ''")
+    level = cost_group_level(F.col("oz"))
+    e = e.withColumn("position", F.col("q.value").isNotNull()).withColumn("level", F.when(~F.col("position"), level)).withColumn("heading", F.trim(F.concat_ws(" ", "oz", "short_text")))
+    e = cost_groups(e)
+    w = Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("island", F.sum(F.col("position").cast("int")).over(w))
+    goes_on = ~F.col("position") & F.col("level").isNull() & (F.col("short_text") != "") & (F.col("oz") == "") & (F.col("island") > 0)
+    e = e.withColumn("kind", F.when(F.col("position"), "position").when(F.col("level").isNotNull(), "kg").when(goes_on, "more").otherwise("entry"))
+    more = e.where("kind = 'more'").groupBy("file_id", "island").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "short_text"))), lambda x: x["short_text"]), "\n").alias("more"))
+    e = e.where("kind <> 'more' and (kind <> 'entry' or short_text <> '' or total <> '')").join(more, ["file_id", "island"], "left")
+    is_position = F.col("kind") == "position"
+    long = F.concat_ws("\n", F.nullif("long_text", F.lit("")), F.when(is_position, F.col("more")))
     price = parse_decimal(F.col("unit_price"), F.col("thousands"))
-    out = wide.select(
+    out = e.select(
         "file_id",
         "row_no",
-        F.coalesce(F.nullif("oz", F.lit("")), F.lpad((n * 10).cast("string"), 4, "0")).alias("oz"),
+        "kind",
+        F.when(is_position & (F.col("oz") == ""), F.lpad((F.col("n") * 10).cast("string"), 4, "0")).otherwise(F.col("oz")).alias("oz"),
         "short_text",
-        F.round("q.value", 3).cast("decimal(18,3)").alias("quantity"),
-        F.coalesce(F.nullif("unit", F.lit("")), F.col("q.unit")).alias("unit"),
+        F.nullif(long, F.lit("")).alias("long_text"),
+        F.when(is_position, F.round("q.value", 3)).cast("decimal(18,3)").alias("quantity"),
+        F.when(is_position, F.coalesce(F.nullif("unit", F.lit("")), F.col("q.unit"))).alias("unit"),
         F.round(price, 4).cast("decimal(18,4)").alias("unit_price"),
         F.round(parse_decimal(F.col("total"), F.col("thousands")), 2).cast("decimal(18,2)").alias("source_total"),
-        F.coalesce("section", F.lit("")).alias("section"),
+        F.round(parse_decimal(F.col("teilbetrag"), F.col("thousands")), 2).cast("decimal(18,2)").alias("teilbetrag"),
+        F.coalesce(F.nullif("section", F.lit("")), F.try_element_at("kg", F.lit(-1)), F.lit("")).alias("section"),
+        "kg",
     )
-    bad = cells.join(out.select("file_id").distinct(), "file_id", "left_anti").where("row_no < 3")
+    out = kept(out, "entries")
+    good = out.where("kind = 'position'").select("file_id").distinct()
+    bad = cells.join(good, "file_id", "left_anti").where("row_no < 3")
     rejects = bad.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "col_no", "text"))), lambda x: x["text"]), " | ").alias("first_rows"))
-    return out, rejects
+    return out.join(good, "file_id", "left_semi"), rejects
+
+
+def positions_from_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(positions, rejects): the positions among entries_from_cells."""
+    entries, rejects = entries_from_cells(cells)
+    return entries.where("kind = 'position'").drop("kind"), rejects
 
 
 def check_edits(rows: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from scriptorium.operators import citations as C
 from scriptorium.operators import search as S
 from scriptorium.plans import search as PS
 from scriptorium.plans.registry import query
+from scriptorium.shared import kept
 
 _PAYLOAD = """paid AS (SELECT *, '{"actor_id":"' || actor_id || '","chunk_ids":[' || array_to_string(chunk_ids, ',') || '],"clinic_id":"' || clinic_id || '","created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '","error":' || coalesce('"' || error || '"', 'null') || ',"response":"' || replace(response, '"', '\\"') || '"}' AS payload FROM audit)"""
 _CHAIN = """folded AS (SELECT clinic_id, list(seq ORDER BY seq) AS seqs, list_reduce(list_prepend([repeat('0', 64)], list(CAST([payload] AS VARCHAR[]) ORDER BY seq)), lambda acc, p: list_append(acc, sha256(acc[-1] || p[1]))) AS hashes FROM paid GROUP BY clinic_id),
@@ -139,7 +140,7 @@ _REASONS = """reasons AS (SELECT t.query_id, t.chunk_id, CASE WHEN c.content IS
 
 
 def cited(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    hits = c.kept(PS.hybrid(c).join(c.chunks().select("chunk_id", "content"), "chunk_id"), "hits")
+    hits = kept(PS.hybrid(c).join(c.chunks().select("chunk_id", "content"), "chunk_id"), "hits")
     k = F.col("rank") % 5
     head = lambda n: F.substring("content", 1, n)
     quote = F.when(k == 0, head(30)).when(k == 1, F.concat(F.lit("  "), F.replace(head(40), F.lit(" "), F.lit("  ")), F.lit("\n"))).when(k == 2, F.concat(F.lit("fabricated "), head(10))).when(k == 3, F.lit("  ")).otherwise(head(30))

@@ -11,6 +11,7 @@ from scriptorium.functions.numbers import is_bad_number, parse_decimal, quantity
 from scriptorium.functions.text import plain_number
 from scriptorium.operators import boq as B
 from scriptorium.plans.registry import query
+from scriptorium.shared import kept
 
 ITEMS = """items AS (SELECT l_orderkey AS file_id, l_linenumber AS row_no, CAST(l_quantity AS DECIMAL(18,3)) AS quantity, CASE WHEN l_orderkey % 11 <> 0 OR l_linenumber <> 1 THEN CAST((CAST(round(l_extendedprice * 100) AS BIGINT) // CAST(l_quantity AS BIGINT)) / 100.0 AS DECIMAL(18,4)) END AS unit_price,
   CASE WHEN l_orderkey % 3 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS source_total, p_brand AS section, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)"""
@@ -67,7 +68,7 @@ def h14_cost_group_rollup(c: Corpus) -> DataFrame:
 
 
 # One order is a sheet: a header, then a row a line item, written German, English or undecided by the order's key.
-_NUM = "CASE file_id % 3 WHEN 0 THEN replace(replace(replace(printf('%,.2f', {v}), ',', '#'), '.', ','), '#', '.') WHEN 1 THEN printf('%,.2f', {v}) ELSE CAST(CAST({v} AS BIGINT) AS VARCHAR) END"
+_NUM = "CASE file_id % 3 WHEN 0 THEN replace(replace(replace(printf('%,.2f', {v}), ',', '#'), '.', ','), '#', '.') WHEN 1 THEN printf('%,.2f', {v}) ELSE CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR) END"
 
 
 def _number(v) -> object:
@@ -149,9 +150,14 @@ def l5_column_profile(c: Corpus) -> DataFrame:
     return B.profile(cells.where("col_no in (0, 1, 3)"), B.separators(cells))
 
 
-@query("l6_column_roles", "SELECT DISTINCT l_orderkey AS file_id, CAST(3 AS BIGINT) AS unit, CAST(1 AS BIGINT) AS short_text, CAST(2 AS BIGINT) AS quantity, CAST(0 AS BIGINT) AS oz, CAST(4 AS BIGINT) AS unit_price, CAST(5 AS BIGINT) AS total FROM lineitem WHERE l_orderkey % 3 = 2")
+@query(
+    "l6_column_roles",
+    """WITH a AS (SELECT l_orderkey AS file_id, l_orderkey % 3 <> 1 OR avg(CASE WHEN round(l_extendedprice / l_quantity, 2) >= 1000 THEN 1.0 ELSE 0 END) > 0.5 AS price, l_orderkey % 3 <> 1 OR avg(CASE WHEN l_extendedprice >= 1000 THEN 1.0 ELSE 0 END) > 0.5 AS total FROM lineitem GROUP BY l_orderkey)
+SELECT file_id, CAST(3 AS BIGINT) AS unit, CAST(1 AS BIGINT) AS short_text, CAST(CASE WHEN file_id % 3 <> 1 THEN 2 END AS BIGINT) AS quantity, CAST(0 AS BIGINT) AS oz, CAST(CASE WHEN price THEN 4 WHEN total THEN 5 END AS BIGINT) AS unit_price, CAST(CASE WHEN price AND total THEN 5 END AS BIGINT) AS total FROM a""",
+)
 def l6_column_roles(c: Corpus) -> DataFrame:
-    cells = sheet(c, headers=False).where("file_id % 3 = 2")
+    """Without a header an English amount under a thousand, such as 17.00, reads like a position's number; a column of them is none of numbers."""
+    cells = sheet(c, headers=False)
     return B.infer_roles(B.profile(cells, B.separators(cells)))
 
 
@@ -170,30 +176,58 @@ def l7_column_agreement(c: Corpus) -> DataFrame:
     return B.price_columns(B.agreement(numbers(c)))
 
 
-@query("l8_grid_cleaning")
+_SHEET = f"""rows AS (SELECT l_orderkey AS file_id, row_no, l_quantity, l_extendedprice, l_partkey, l_extendedprice / l_quantity AS price FROM (SELECT *, {ROW} AS row_no FROM lineitem)),
+cells AS (SELECT file_id, row_no, unnest(range(0, 6)) AS col_no, unnest(['01.' || lpad(CAST(row_no AS VARCHAR), 4, '0'), 'Position with text ' || l_partkey, {_NUM.format(v="l_quantity")}, CASE l_partkey % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'Stk' WHEN 2 THEN 'm³' ELSE 'psch' END, {_NUM.format(v="price")}, {_NUM.format(v="l_extendedprice")}]) AS text FROM rows),
+files AS (SELECT DISTINCT file_id FROM rows),
+head AS (SELECT file_id, 0 AS row_no, unnest(range(0, 6)) AS col_no, unnest(['Pos.', 'Kurztext', 'Menge', 'Einheit', 'Einheitspreis (EUR)', 'Gesamtpreis']) AS text FROM files)"""
+
+
+@query(
+    "l8_grid_cleaning",
+    f"""WITH {_SHEET} SELECT file_id, row_no, col_no, text FROM cells UNION ALL SELECT * FROM head UNION ALL SELECT file_id, 800, unnest([0, 1]), unnest(['520', 'Gründung']) FROM files""",
+)
 def l8_grid_cleaning(c: Corpus) -> DataFrame:
-    """Every sheet with a page mark, its header twice, and a gross column."""
+    """Every sheet with a page mark, its header twice, a cost group's number with a gap and, in German, gross amounts run into net ones."""
     cells = sheet(c)
-    again = cells.where("row_no = 0").withColumn("row_no", F.lit(3).cast("long") + 1000)
+    net = parse_decimal(F.col("text"), F.lit(".")).cast("double")
+    glued = F.concat("text", F.translate(F.format_number(net * 1.19, 2), ",.", ".,"))
+    cells = cells.withColumn("text", F.when((F.col("file_id") % 3 == 0) & (F.col("col_no") == 5) & (F.col("row_no") > 0), glued).otherwise(F.col("text")))
+    again = cells.where("row_no = 0").withColumn("row_no", F.lit(1003).cast("long"))
     mark = cells.where("row_no = 0 and col_no = 0").withColumns({"row_no": F.lit(900).cast("long"), "text": F.lit("Seite 2 von 9")})
-    gross = cells.where("col_no = 5 and row_no > 0").withColumns({"col_no": F.lit(6).cast("long"), "text": F.round(parse_decimal(F.col("text"), F.lit(".")) * F.lit(1.19), 2).cast("decimal(18,2)").cast("string")})
-    return B.clean(cells.unionByName(again).unionByName(mark).unionByName(gross))
+    group = cells.where("row_no = 0 and col_no < 2").withColumns({"row_no": F.lit(800).cast("long"), "text": F.when(F.col("col_no") == 0, "5 20").otherwise("Gründung")})
+    return B.clean(cells.unionByName(again).unionByName(mark).unionByName(group))
+
+
+_ENTRIES = f"""WITH {_SHEET}, e AS (SELECT file_id, row_no, 'position' AS kind, '01.' || lpad(CAST(row_no AS VARCHAR), 4, '0') AS oz, 'Position with text ' || l_partkey AS short_text, CASE WHEN row_no % 3 = 0 THEN 'goes on' END AS long_text, CAST(l_quantity AS DOUBLE) AS quantity,
+  CASE l_partkey % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'Stk' WHEN 2 THEN 'm³' ELSE 'psch' END AS unit, CASE WHEN file_id % 3 = 2 THEN floor(price) ELSE CAST(printf('%.2f', price) AS DOUBLE) END AS unit_price, CASE WHEN file_id % 3 = 2 THEN floor(l_extendedprice) ELSE l_extendedprice END AS source_total FROM rows)"""
+
+
+def _long_sheet(c: Corpus) -> DataFrame:
+    """Sheets whose rows stand ten apart, with a heading of a cost group before the second and text that goes on after every third."""
+    cells = sheet(c).withColumn("row_no", F.col("row_no") * 10)
+    group = cells.where("row_no = 10 and col_no < 2").withColumns({"row_no": F.lit(15).cast("long"), "text": F.when(F.col("col_no") == 0, "520").otherwise("Gründung")})
+    more = cells.where("row_no > 0 and row_no % 30 = 0 and col_no = 1").withColumns({"row_no": F.col("row_no") + 1, "text": F.lit("goes on")})
+    return cells.unionByName(group).unionByName(more)
 
 
 @query(
     "l9_positions",
-    f"""SELECT l_orderkey AS file_id, row_no, '01.' || lpad(CAST(row_no AS VARCHAR), 4, '0') AS oz, 'Position with text ' || l_partkey AS short_text, CAST(l_quantity AS DOUBLE) AS quantity, CASE l_partkey % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'Stk' WHEN 2 THEN 'm³' ELSE 'psch' END AS unit,
-CASE WHEN l_orderkey % 3 = 2 THEN floor(l_extendedprice) ELSE l_extendedprice END AS source_total FROM (SELECT *, {ROW} AS row_no FROM lineitem)""",
+    f"""{_ENTRIES} SELECT file_id, row_no * 10 AS row_no, kind, oz, short_text, long_text, quantity, unit, unit_price, source_total, CASE WHEN row_no > 1 THEN '/520 Gründung' ELSE '' END AS kg FROM e
+UNION ALL SELECT file_id, 15, 'kg', '520', 'Gründung', NULL, NULL, NULL, NULL, NULL, '/520 Gründung' FROM files""",
 )
 def l9_positions(c: Corpus) -> DataFrame:
-    found, _ = B.positions_from_cells(sheet(c))
-    return found.select("file_id", "row_no", "oz", "short_text", F.col("quantity").cast("double").alias("quantity"), "unit", F.col("source_total").cast("double").alias("source_total"))
+    found, _ = B.entries_from_cells(_long_sheet(c))
+    number = [F.col(n).cast("double").alias(n) for n in ("quantity", "unit_price", "source_total")]
+    return found.select("file_id", "row_no", "kind", "oz", "short_text", "long_text", "unit", *number, F.array_join("kg", "/").alias("kg"))
 
 
-@query("l10_header_search", "SELECT DISTINCT l_orderkey AS file_id, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 0 END AS BIGINT) AS head FROM lineitem")
+@query("l10_header_search", "SELECT DISTINCT l_orderkey AS file_id, CAST(CASE WHEN l_orderkey % 2 = 0 THEN 0 END AS BIGINT) AS head FROM lineitem WHERE l_orderkey % 2 = 0 OR l_orderkey % 3 <> 1")
 def l10_header_search(c: Corpus) -> DataFrame:
-    cells = sheet(c).where("file_id % 2 = 0 or row_no > 0")
-    return cells.select("file_id").distinct().join(B.header_rows(cells).withColumnRenamed("row_no", "head"), "file_id", "left")
+    """Half of the sheets have no header, and every fourth a title row that names columns under which no quantity follows."""
+    cells = sheet(c)
+    title = cells.where("file_id % 4 = 0 and row_no = 0 and col_no < 2").withColumns({"row_no": F.lit(-1).cast("long"), "text": F.when(F.col("col_no") == 0, "Bezeichnung").otherwise("Menge")})
+    cells = cells.where("file_id % 2 = 0 or row_no > 0").unionByName(title)
+    return B.columns(kept(B.clean_rows(B.grid(cells)), "grid")).select("file_id", "head")
 
 
 @query("l11_edited_rows", "SELECT l_orderkey AS file_id, CAST(l_linenumber AS BIGINT) AS row_no, CASE l_linenumber WHEN 1 THEN NULL WHEN 2 THEN 'row 2: quantity is not a number' WHEN 3 THEN 'row 3: price is not a number' WHEN 4 THEN 'row 4: no text' END AS error FROM lineitem")

@@ -215,3 +215,66 @@ def test_chain_is_a_stream_of_rows(spark):
         text = f'{{"clinic_id":"{k}","response":"é{i}"}}'
         last[k] = hashlib.sha256((rows[i]["prev_hash"] + text).encode()).hexdigest()
         assert rows[i]["row_hash"] == last[k]
+
+
+def test_late_entries_are_chained(spark, tmp_path):
+    """Two batches out of order: nothing is lost, and the chain in its own order is whole."""
+    from scriptorium.streaming import jobs
+
+    schema = "seq long, clinic_id string, response string"
+    for batch, rows in enumerate([[(3, "a", "x"), (5, "a", "y")], [(1, "a", "late"), (4, "a", "late too"), (6, "b", "z")]]):
+        spark.createDataFrame(rows, schema).write.mode("append" if batch else "overwrite").parquet(f"{tmp_path}/source")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/source")
+        jobs.run_to_table(jobs.append_chain_stream(stream, ["clinic_id", "response"]), f"{tmp_path}/table", f"{tmp_path}/state")
+    rows = spark.read.parquet(f"{tmp_path}/table")
+    assert [r["seq"] for r in rows.where("clinic_id = 'a'").orderBy("chain_no").collect()] == [3, 5, 1, 4] and rows.count() == 5
+    log = rows.join(spark.read.schema(schema).parquet(f"{tmp_path}/source").select("seq", "response"), "seq")
+    assert all(r["intact"] for r in A.verify_chain(log, ["clinic_id", "response"], order="chain_no").collect())
+
+
+def test_long_aliases_match(spark):
+    q = spark.createDataFrame([(1, "Dose of Low Molecular Weight Heparin today"), (2, "low weight"), (3, None)], "query_id long, text string")
+    a = spark.createDataFrame([("low molecular weight heparin", "enoxaparin"), ("dose", "low weight")], "alias string, generic_name string")
+    assert [r["expanded"] for r in S.expand_queries(q, a).orderBy("query_id").collect()] == ["Dose of Low Molecular Weight Heparin today enoxaparin low weight", "low weight", None]
+
+
+def test_covers_of_any_number_of_terms(spark):
+    found = S.postings(spark.createDataFrame([(1, "a b c x a"), (2, "a x x b x c"), (3, "a b")], "chunk_id long, content string"))
+    q = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a"]), (3, [])], "query_id long, terms array<string>")
+    got = {(r["query_id"], r["chunk_id"]): r["cover"] for r in S.cover_density(S.match_all(found, q)).collect()}
+    assert got == {(1, 1): round(1 / 3 + 1 / 4, 6), (1, 2): round(1 / 6, 6), (2, 1): 2.0, (2, 2): 1.0, (2, 3): 1.0}
+
+
+def test_foreign_tender_xml(spark, tmp_path):
+    """A file in the format's own nesting that the library didn't write: five levels, German numbers, markup in texts."""
+    text = lambda tag, t: f"<{tag}><p><span>{t}</span></p></{tag}>"
+    item = lambda no, t, qty, up: f'<Item {no}><Qty>{qty}</Qty><QU>m3</QU><Description><CompleteText><DetailTxt><Text><p><span>long</span></p></Text></DetailTxt><OutlineText><OutlTxt>{text("TextOutlTxt", t)}</OutlTxt></OutlineText></CompleteText></Description>{up}</Item>'
+    inner = f"<Itemlist>{item('RNoPart=' + chr(34) + '7' + chr(34), 'Tief', '', '')}</Itemlist>"
+    for label in ("", "Ebene 4", "", "Ebene 2"):
+        inner = f"<BoQCtgy>{text('LblTx', label) if label else ''}<BoQBody>{inner}</BoQBody></BoQCtgy>"
+    body = f'<BoQCtgy>{text("LblTx", "Erdarbeiten")}<BoQBody><Itemlist>{item("RNo=" + chr(34) + "5" + chr(34), "Aushub &amp; Abfuhr", "12,5", "<UP>1.003,50</UP>")}{item("", "Ohne", "1.200,25", "")}</Itemlist>{inner}</BoQBody></BoQCtgy>'
+    (tmp_path / "a.x83").write_text(f'<?xml version="1.0"?><g:GAEB xmlns:g="urn:x">{body}</g:GAEB>', encoding="utf-8")
+    (tmp_path / "b.x83").write_text("<GAEB", encoding="utf-8")
+    (tmp_path / "c.x83").write_text("<Other/>", encoding="utf-8")
+    got = [(r["place"], r["section"], r["oz"], r["short_text"], float(r["quantity"]), r["unit_price"] and float(r["unit_price"])) for r in gaeb.read(spark, f"{tmp_path}/*.x83").orderBy("place").collect()]
+    assert got == [(1, "Erdarbeiten", "5", "long", 12.5, 1003.5), (2, "Erdarbeiten", "0020", "long", 1200.25, None), (3, "Ebene 4", "7", "long", 0.0, None)]
+    assert sorted(r["error"].split(":")[0] for r in gaeb.rejects(spark, f"{tmp_path}/*.x83").collect()) == ["no XML", "root is Other"]
+
+
+def test_cleaning_keeps_repeated_texts(spark):
+    rows = [["Pos.", "Kurztext", "Menge", "Einheit", "EP", "Gesamt"], ["1", "Wall", "2", "m2", "3,00", "6,00"], ["", "wie vor", "", "", "", ""], ["Pos.", "Kurztext", "Menge", "Einheit", "EP", "Gesamt"], ["", "wie vor", "", "", "", ""], ["Seite 2 von 9"], ["5 20", "Gründung"], ["2", "Roof", "1", "St", "229.622,15273.250"], ["Büro", "Gesamt, Netto", "", "", "", "236,00"], ["Büro", "Gesamt, Netto", "", "", "", "236,00"]]
+    cells = spark.createDataFrame([("f", n, k, t) for n, r in enumerate(rows) for k, t in enumerate(r)], "file_id string, row_no long, col_no long, text string")
+    got = {r["row_no"]: r["row"] for r in B.clean_rows(B.grid(cells)).collect()}
+    assert sorted(got) == [0, 1, 2, 4, 6, 7, 8]
+    assert got[6] == ["520", "Gründung"] and got[7][4] == "229.622,15" and got[8] == ["", "Gesamt, Netto", "", "", "", "236,00"]
+
+
+def test_refused_erasures_are_rows(spark):
+    r = spark.createDataFrame([(1, "objection"), (2, "whim"), (3, None)], "query_id long, legal_basis string")
+    assert sorted((x["query_id"], x["reason"]) for x in A.refused(r).collect()) == [(2, "legal_basis"), (3, "legal_basis")]
+
+
+def test_ground_truth(spark):
+    chunks = spark.createDataFrame([(1, 1, "Anticoagulant use", True), (2, 1, "other", False), (3, 1, "COAGULate", False), (4, 2, "coagul", True), (5, 1, "a-b c", True)], "chunk_id long, page long, content string, live boolean")
+    q = spark.createDataFrame([(1, ["coagul", "anti"], [1]), (2, ["b c"], [1, 1]), (3, ["none"], [2])], "id long, terms array<string>, pages array<long>")
+    assert sorted(tuple(r) for r in C.ground_truth(q, chunks).collect()) == [(1, 1, 1, True), (2, 1, 0, True), (3, 0, 0, False)]
