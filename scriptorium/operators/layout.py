@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from scriptorium.functions.text import CATEGORY_CELL, ENUMERATOR
+
 # Characters a chunk aims at, may reach, and repeats from the one before.
 TARGET, CAP, OVERLAP = 1200, 1800, 200
 PART_PAGES = 120
@@ -132,13 +134,13 @@ def describe_rows(cells: DataFrame, methods: list[str]) -> DataFrame:
     row = cells.groupBy("version_id", "page", "row_no").agg(
         F.max(F.when(F.col("col_no") == 0, F.trim("text"))).alias("label"),
         F.count_if(known).alias("columns"),
-        F.count_if(known & F.trim("text").rlike(r"^(?:[1-4]\*?|[1-4]/[1-4]\*?|[—–-])$")).alias("filled"),
+        F.count_if(known & F.trim("text").rlike(f"^{CATEGORY_CELL}$")).alias("filled"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(known, F.struct("col_no", "header", F.trim("text").alias("text"))))), lambda x: F.concat_ws(": ", x["header"], x["text"])), ", ").alias("cells"),
     )
     w = Window.partitionBy("version_id", "page").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
     row = row.withColumn("parent", F.last(F.when(F.col("filled") == 0, F.col("label")), ignorenulls=True).over(w))
     full = row.where((F.col("columns") >= 3) & (F.col("filled") == F.col("columns")) & (F.coalesce("label", F.lit("")) != ""))
-    bare = F.regexp_replace("label", r"(?i)^(?:[ivxlcdm]+|[a-z]|[0-9]{1,2})[.)]\s+", "")
+    bare = F.regexp_replace("label", ENUMERATOR, "")
     label = F.when(F.col("parent").isNull(), F.col("label")).otherwise(F.concat_ws(" — ", "parent", bare))
     return full.select("version_id", "page", "row_no", F.concat_ws(" — ", label, "cells").alias("content"))
 

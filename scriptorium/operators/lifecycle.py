@@ -154,12 +154,12 @@ def load_aliases(rows: DataFrame, existing: DataFrame, source: str) -> DataFrame
         raise ValueError("a source is needed")
     a, g = F.trim("alias"), F.trim("generic_name")
     reason = (
-        F.when(F.coalesce(a, F.lit("")) == "", "empty alias")
-        .when(F.coalesce(g, F.lit("")) == "", "empty generic_name")
-        .when(a != F.lower(a), "alias must be lowercase")
-        .when(a == F.lower(g), "alias is the same as the generic name")
-        .when((F.length(a) > 128) | (F.length(g) > 128), "alias or generic_name exceeds 128 characters")
-        .when(F.length(a) < 3, "alias is shorter than 3 characters")
+        F.when(F.coalesce(a, F.lit("")) == "", "no_alias")
+        .when(F.coalesce(g, F.lit("")) == "", "no_generic_name")
+        .when(a != F.lower(a), "upper_case")
+        .when(a == F.lower(g), "own_generic_name")
+        .when((F.length(a) > 128) | (F.length(g) > 128), "too_long")
+        .when(F.length(a) < 3, "too_short")
     )
     rows = rows.select("row_no", a.alias("alias"), g.alias("generic_name"), reason.alias("detail"))
     good = F.col("detail").isNull()

@@ -14,7 +14,7 @@ from scriptorium.plans.registry import query
 
 # Lines made into the shapes that the rules look for, by arithmetic on their place.
 SHAPED = """shaped AS (SELECT version_id, line_no, page, CASE (version_id + line_no) % 7
-  WHEN 0 THEN '12. Tepper NK, Curtis KM. ' || left(text, 20) || ' 2008;77' WHEN 1 THEN left(text, 30) || ' 2 3' WHEN 2 THEN 'Step 2' WHEN 3 THEN '500 000 34 865 41 530 1'
+  WHEN 0 THEN '12. Maber QX, Tolland RV. ' || left(text, 20) || ' 2008;77' WHEN 1 THEN left(text, 30) || ' 2 3' WHEN 2 THEN 'Step 2' WHEN 3 THEN '500 000 34 865 41 530 1'
   WHEN 4 THEN left(text, 12) || ' (U.S. MEC 1)' WHEN 5 THEN 'CHC: ' || left(text, 10) || ': 4' ELSE text END AS text FROM lines)"""
 
 
@@ -22,7 +22,7 @@ def shaped(c: Corpus) -> DataFrame:
     k = (F.col("version_id") + F.col("line_no")) % 7
     head = lambda n: F.substring("text", 1, n)
     t = (
-        F.when(k == 0, F.concat(F.lit("12. Tepper NK, Curtis KM. "), head(20), F.lit(" 2008;77")))
+        F.when(k == 0, F.concat(F.lit("12. Maber QX, Tolland RV. "), head(20), F.lit(" 2008;77")))
         .when(k == 1, F.concat(head(30), F.lit(" 2 3")))
         .when(k == 2, "Step 2")
         .when(k == 3, "500 000 34 865 41 530 1")
@@ -362,8 +362,8 @@ existing AS (SELECT DISTINCT lower(p_brand) || '-' || p_size AS alias, 'g0' AS g
 
 @query(
     "g13_alias_load",
-    f"""WITH {_ALIAS_ROWS}, r AS (SELECT row_no, trim(alias) AS alias, trim(generic_name) AS generic_name, CASE WHEN trim(alias) = '' THEN 'empty alias' WHEN trim(generic_name) = '' THEN 'empty generic_name' WHEN trim(alias) <> lower(trim(alias)) THEN 'alias must be lowercase' WHEN trim(alias) = lower(trim(generic_name)) THEN 'alias is the same as the generic name'
-  WHEN length(trim(alias)) > 128 OR length(trim(generic_name)) > 128 THEN 'alias or generic_name exceeds 128 characters' WHEN length(trim(alias)) < 3 THEN 'alias is shorter than 3 characters' END AS detail FROM rows),
+    f"""WITH {_ALIAS_ROWS}, r AS (SELECT row_no, trim(alias) AS alias, trim(generic_name) AS generic_name, CASE WHEN trim(alias) = '' THEN 'no_alias' WHEN trim(generic_name) = '' THEN 'no_generic_name' WHEN trim(alias) <> lower(trim(alias)) THEN 'upper_case' WHEN trim(alias) = lower(trim(generic_name)) THEN 'own_generic_name'
+  WHEN length(trim(alias)) > 128 OR length(trim(generic_name)) > 128 THEN 'too_long' WHEN length(trim(alias)) < 3 THEN 'too_short' END AS detail FROM rows),
 n AS (SELECT alias, count(DISTINCT generic_name) AS names, min(row_no) AS first FROM r WHERE detail IS NULL GROUP BY alias),
 o AS (SELECT row_no, r.alias, r.generic_name, e.generic_name AS known, detail, CASE WHEN detail IS NOT NULL THEN 'rejected' WHEN names > 1 THEN 'contested' WHEN e.generic_name = r.generic_name THEN 'unchanged' WHEN e.generic_name IS NOT NULL THEN 'conflict' WHEN row_no > first THEN 'repeated' ELSE 'inserted' END AS outcome FROM r LEFT JOIN n USING (alias) LEFT JOIN existing e ON e.alias = r.alias)
 SELECT row_no, outcome, CASE WHEN outcome = 'conflict' THEN known ELSE detail END AS detail FROM o""",
