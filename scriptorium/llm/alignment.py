@@ -95,7 +95,8 @@ class Encoders:
         parts = [PART.findall(" " + t) if t else [] for t in texts]
         distinct = list(dict.fromkeys(chain.from_iterable(parts)))
         index = dict(zip(distinct, range(len(distinct)), strict=True))
-        found = self.b.encode([p[1:] for p in distinct], num_threads=1)
+        # the encoder puts the first space; of nothing else it makes nothing, so a space that ends a text is its piece
+        found = [f if f or p != " " else [self.b.piece_to_id("▁")] for f, p in zip(self.b.encode([p[1:] for p in distinct], num_threads=1), distinct, strict=True)]
         surface = self.files.b_surface
         whole = np.array([b"".join(map(surface.__getitem__, f)) == p.encode() for f, p in zip(found, distinct, strict=True)], bool)
         ends = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64)

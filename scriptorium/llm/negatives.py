@@ -41,6 +41,7 @@ class Scale(NamedTuple):
 
 def scale_of(low: int, high: int, size: int) -> Scale:
     """Bounds of all components; a ValueError where 100 times a score would leave 64 bits."""
+    low, high = int(low), int(high)
     if 100 * size * max(abs(low), abs(high)) ** 2 >= 1 << 63:
         raise ValueError(f"components from {low} to {high} of vectors of {size} give scores that a long can't hold")
     return Scale(low, high, max(1, (size * (high - low) ** 2).bit_length()))
@@ -52,14 +53,14 @@ def scores(anchors: np.ndarray, candidates: np.ndarray, scale: Scale) -> np.ndar
     n, size = candidates.shape
     lanes = np.zeros((-(-n // fields) * fields, size), np.int64)
     lanes[:n] = candidates - scale.low
-    lanes = lanes.astype(kind).reshape(-1, fields, size)
+    lanes = lanes.astype(kind).reshape(len(lanes) // fields, fields, size)
     packed = sum(lanes[:, f] * (kind(2 ** (scale.bits * f)) if kind is np.float64 else 1 << (scale.bits * f)) for f in range(fields))
     biased = anchors - scale.low
     product = biased.astype(kind) @ packed.T
     if kind is np.float64:
         product = product.astype(np.int64)
     mask = (1 << scale.bits) - 1
-    out = np.stack([((product >> (scale.bits * f)) & mask).astype(np.int64) for f in range(fields)], axis=2).reshape(len(anchors), -1)[:, :n]
+    out = np.stack([((product >> (scale.bits * f)) & mask).astype(np.int64) for f in range(fields)], axis=2).reshape(len(anchors), len(lanes) * fields)[:, :n]
     # (c - low)(a - low) summed, less what the biases added
     return out + scale.low * biased.sum(axis=1)[:, None] + scale.low * candidates.sum(axis=1)[None, :]
 

@@ -1,6 +1,7 @@
 """The registered queries, run on small tables: every contract column against a brute-force version, and against SQL where there is some."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -22,9 +23,18 @@ def sf(spark, tmp_path_factory):
     spark.createDataFrame(TEXTS, "doc_id long, text string").coalesce(1).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(ITEMS, "item_id long, text string").coalesce(1).write.parquet(f"{root}/benchmark.parquet")
     spark.createDataFrame([(1, "<p>one<p>two"), (2, None)], "page_id long, html string").coalesce(1).write.parquet(f"{root}/pages.parquet")
+    spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
+def vectors():
+    """Ties, repeated rows, and rows that take no part; integers divided by 256, so that floors are exact."""
+    r = random.Random(8)
+    rows = [(i, [r.randrange(-9, 30) / 256 for _ in range(6)], r.randrange(3)) for i in range(400)]
+    rows += rows[::50] + [(1000 + i, rows[i][1], rows[i][2]) for i in range(0, 90, 9)] + [(-100, rows[5][1], 1), (-7, rows[5][1], 0)]
+    return rows + [(700, None, 1), (800, [0.1] * 5 + [None], 1), (900, [float("nan")] * 6, 2), (1100, [float("inf")] * 6, 2), (None, rows[3][1], 1), (1200, rows[3][1], None), (1300, [], 1), (1400, [0.5, 0.5], 2), (1401, [0.4, 0.5], 1), (1402, [0.5, 0.4], 2)]
+
+
 def run(spark, sf, name):
     return [r.asDict() for r in Q.QUERIES[name](spark, sf).collect()]
 
@@ -157,7 +167,7 @@ def test_quality_query(spark, sf):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_matches_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     found = c.execute(Q.ORACLE_SQL[name])
     names = [x[0] for x in found.description]
