@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import WORDS, looks_like_headerless_row, normalise_quote, strip_edges
+from scriptorium.operators.phrases import phrase_hits, phrases_found
 
 GRAM = 4
 
@@ -87,33 +88,25 @@ def diagnose(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
 def exists_in(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
     """phrases (phrase, and any other columns) with `found`: whether a text of corpus (content) holds the phrase, in any case.
 
-    A phrase is a run of four or more ASCII letters and may stand inside a longer word; null has found null.  The distinct
-    runs of letters of the whole corpus meet the phrases by the phrase's first four letters, wherever in a run those
-    stand, and contains decides.
+    Any phrase counts: of several words, short, in any script, and inside longer words; null has found null, and the empty
+    phrase stands in every text, so it is found if there is one.
     """
-    p = F.lower("phrase")
-    asked = phrases.select(p.alias("__p")).where(F.col("__p").isNotNull()).distinct().withColumn("__g", F.substring("__p", 1, GRAM))
-    runs = corpus.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("run")).distinct()
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - (GRAM - 1)), lambda i: F.substring(F.col("run"), i, F.lit(GRAM))))
-    there = runs.select("run", F.explode(keys).alias("__g")).join(asked, "__g").where(F.contains("run", "__p")).select("__p").distinct()
-    out = phrases.withColumn("__q", p).join(there, F.col("__q") == F.col("__p"), "left")
-    return out.withColumn("found", F.when(F.col("phrase").isNotNull(), F.col("__p").isNotNull())).drop("__q", "__p")
+    there = phrases_found(phrases.select("phrase"), corpus.select("content")).withColumnRenamed("phrase", "__p")
+    out = phrases.withColumn("__q", F.lower("phrase")).join(there, F.col("__q") == F.col("__p"), "left")
+    any_text = F.lit(bool(corpus.where("content is not null").limit(1).count()))
+    return out.withColumn("found", F.when(F.col("phrase") == "", any_text).when(F.col("phrase").isNotNull(), F.col("__p").isNotNull())).drop("__q", "__p")
 
 
 def ground_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """questions (id, terms, pages) with how many live and retired chunks (chunk_id, page, content, live) on those pages
     hold one of the terms, in any case, inside longer words too.
 
-    A term of four or more ASCII letters meets the runs of letters on its page by its first four, wherever in a run those
-    stand, so a page that every document has is no common key.  Other terms meet their page's chunks.
+    Terms meet chunks by the page and the term's rarest run of characters there, so a page that every document has is no
+    common key.
     """
-    t = questions.select("id", F.explode(F.array_distinct("pages")).alias("page"), "terms").select("id", "page", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(x)))).alias("term"))
-    plain = F.col("term").rlike("^[a-z]{4,}$")
-    runs = chunks.select("chunk_id", "page", "live", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("run"))
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - (GRAM - 1)), lambda i: F.substring(F.col("run"), i, F.lit(GRAM))))
-    met = t.where(plain).withColumn("gram", F.substring("term", 1, GRAM)).join(runs.select("chunk_id", "page", "live", "run", F.explode(keys).alias("gram")), ["page", "gram"]).where(F.contains("run", "term"))
-    rest = t.where(~plain).join(chunks.select("chunk_id", "page", "live", F.lower("content").alias("content")), "page").where(F.contains("content", "term"))
-    hit = met.select("id", "chunk_id", "live").unionByName(rest.select("id", "chunk_id", "live")).distinct()
+    t = questions.select("id", F.explode(F.array_distinct("pages")).alias("page"), "terms").select("id", "page", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(x)))).alias("phrase"))
+    met = phrase_hits(t.select("page", "phrase"), chunks.select("chunk_id", "page", "live", "content"), ["chunk_id", "live"], ["page"])
+    hit = t.join(met, ["page", "phrase"]).select("id", "chunk_id", "live").distinct()
     n = hit.groupBy("id").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("retired"))
     out = questions.select("id").join(n, "id", "left")
     return out.select("id", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("retired", F.lit(0)).alias("retired"), (F.coalesce("live", F.lit(0)) > 0).alias("answerable"))

@@ -278,6 +278,26 @@ def h5_exists_in_searchable(c: Corpus) -> DataFrame:
     return C.exists_in(q, S.searchable(c.chunks(), c.versions(), c.documents(), None)).select("query_id", "found")
 
 
+_ASKED = """phrases AS (SELECT conv_id * 1000 + turn AS query_id, CASE (conv_id + turn) % 6 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN w[2] || ' ' || w[3] || ' ' || w[4] WHEN 2 THEN left(w[1], 3) WHEN 3 THEN nullif(regexp_extract(text, '[^ -~\n]+[a-z]*'), '') WHEN 4 THEN right(w[2], 2) || ' ' || left(w[3], 1) ELSE upper(regexp_extract(w[3], '[a-z]+')) END AS phrase
+  FROM (SELECT *, string_split(text, ' ') AS w FROM conversations))"""
+
+
+@query(
+    "h5_phrases_in_corpus",
+    f"{with_views('chunks')}, {_ASKED}, low AS (SELECT DISTINCT lower(content) AS content FROM chunks), held AS (SELECT DISTINCT p.phrase FROM (SELECT DISTINCT lower(phrase) AS phrase FROM phrases) p JOIN low ON contains(content, p.phrase)) SELECT query_id, p.phrase, CASE WHEN p.phrase IS NOT NULL THEN h.phrase IS NOT NULL END AS found FROM phrases p LEFT JOIN held h ON h.phrase = lower(p.phrase)",
+)
+def h5_phrases_in_corpus(c: Corpus) -> DataFrame:
+    """A phrase of every turn: two words, three, three letters, letters beyond ASCII, a word's end with the next one's
+    beginning, or capitals; looked up in all chunks."""
+    w = F.split("text", " ")
+    word = lambda k: F.get(w, F.lit(k - 1))
+    kind = (F.col("conv_id") + F.col("turn")) % 6
+    odd = F.nullif(F.regexp_extract("text", "[^ -~\n]+[a-z]*", 0), F.lit(""))
+    phrase = F.when(kind == 0, F.concat(word(1), F.lit(" "), word(2))).when(kind == 1, F.concat(word(2), F.lit(" "), word(3), F.lit(" "), word(4))).when(kind == 2, F.substring(word(1), 1, 3)).when(kind == 3, odd).when(kind == 4, F.concat(F.right(word(2), F.lit(2)), F.lit(" "), F.left(word(3), F.lit(1)))).otherwise(F.upper(F.regexp_extract(word(3), "[a-z]+", 0)))
+    asked = c.table("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), phrase.alias("phrase"))
+    return C.exists_in(asked, c.chunks()).select("query_id", "phrase", "found")
+
+
 _LIVE = """live AS (SELECT version_id, page, superseded_by IS NULL AND (version_id + page) % 4 <> 0 AS live FROM chunks)"""
 
 
