@@ -10,6 +10,7 @@ what reaches the driver are counts by vote pattern and sums by feature, whose nu
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,9 @@ CUES = {
     "secret": r"(?i)(?:key|login|credential|user)\w{0,4}\W{0,3}$",
 }
 AROUND = 24
+SPANS = "array<struct<start:int,end:int,kind:int,body:string,left:string,right:string>>"
+#: Matches that one short array collects.
+BLOCK = 256
 LABELERS = ["pattern", "check", "gazetteer", "cue", "edges", "shape"]
 ROUNDS = 25
 
@@ -79,44 +83,87 @@ def _valid(kind: str, body: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _scan(items: Column, state: dict[str, Column], empty: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column | None, Column]]) -> Column:
+    """A fold over an array that emits elements of the array type `empty`: step gives the new state, whether to emit (None:
+    always) and what.
+
+    Elements are folded in blocks and a block's output is a short array of its own, so no array grows step by step.
+    """
+    none, nested = (F.expr(f"cast(array() as {t})") for t in (empty, f"array<{empty}>"))
+    held = lambda s, out: F.struct(*[s[k].alias(k) for k in state], out.alias("out"))
+
+    def one(s: Column, x: Column) -> Column:
+        new, when, value = step(s, x)
+        more = F.concat(s["out"], F.array(value))
+        return held(new, more if when is None else F.when(when, more).otherwise(s["out"]))
+
+    def block(s: Column, xs: Column) -> Column:
+        return F.aggregate(xs, held(s, none), one, lambda r: held(r, F.concat(s["out"], F.array(r["out"]))))
+
+    cut = lambda z: F.transform(F.sequence(F.lit(0), F.floor(F.size(z) / BLOCK).cast("int")), lambda k: F.slice(z, k * BLOCK + 1, F.lit(BLOCK)))
+    return F.flatten(F.aggregate(_once(items, cut), held(state, nested), block, lambda s: s["out"]))
+
+
 def _located(text: Column, pattern: str, kind: str, base: bool) -> Column:
-    """Every leftmost match with its code points: the pieces between matches tell where each begins."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,body:string>>)")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("body")))).alias("out"))
-
-    spans = F.aggregate(F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m")), start, step, lambda s: s["out"])
-    kept = F.filter(spans, lambda x: _valid(kind, x["body"])) if base else spans
-    near = F.transform(
-        kept,
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            x["body"].alias("body"),
-            F.call_function("substring", text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND))).alias("left"),
-            F.call_function("substring", text, x["end"] + 1, F.lit(1)).alias("right"),
-        ),
-    )
+    """Every leftmost match with its code points: the pieces between matches tell where each begins and what is around."""
+    tail = lambda *x: F.call_function("substring", F.concat(*x), F.lit(-AROUND), F.lit(AROUND))
+
+    def spans(both: Column) -> Column:
+        m, p = both["m"], both["p"]
+        rest = lambda x: F.slice(x, F.lit(2), F.size(p))
+        items = F.slice(F.arrays_zip(m.alias("m"), p.alias("p"), rest(m).alias("next_m"), rest(p).alias("next_p")), F.lit(1), F.size(m))
+
+        def step(s: Column, x: Column) -> tuple[dict[str, Column], Column | None, Column]:
+            begin = s["at"] + F.length(x["p"])
+            end = begin + F.length(x["m"])
+            first = lambda c: F.call_function("substring", c, F.lit(1), F.lit(1))
+            right = F.coalesce(F.nullif(first(x["next_p"]), F.lit("")), first(x["next_m"]), F.lit(""))
+            span = F.struct(begin.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["m"].alias("body"), tail(s["tail"], x["p"]).alias("left"), right.alias("right"))
+            return {"at": end, "tail": tail(s["tail"], x["p"], x["m"])}, _valid(kind, x["m"]) if base else None, span
+
+        return _scan(items, {"at": F.lit(0), "tail": F.lit("")}, SPANS, step)
+
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     likely = {"email": text.contains("@") if base else text.rlike("(?i)[ (\\[]at[ )\\]]"), "phone": text.contains("+") if base else text.rlike("[0-9]{3}[ .-][0-9]{4}")}.get(kind, text.rlike(pattern))
-    return F.when(likely, near).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,kind:int,body:string,left:string,right:string>>)"))
+    return F.when(likely, _once(found, spans)).otherwise(F.expr(f"cast(array() as {SPANS})"))
+
+
+def _sorted(spans: Column) -> Column:
+    """By start, then kind, then end."""
+    keyed = F.transform(spans, lambda x: F.struct(x["start"].alias("a"), x["kind"].alias("b"), x["end"].alias("c"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+def _clear(base: Column, wider: Column) -> Column:
+    """Spans of wider that overlap none of base: one pass forwards for the base spans before each, one backwards for those after."""
+    marked = lambda spans, wide: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(wide).alias("wide"), x["end"].alias("end"), x.alias("x")))
+    kind = f"array<struct<start:int,wide:int,end:int,x:{SPANS[6:-1]},reach:int>>"
+
+    def forward(s: Column, y: Column) -> tuple[dict[str, Column], Column | None, Column]:
+        reach = F.when(y["wide"] == 0, F.greatest(s["reach"], y["end"])).otherwise(s["reach"])
+        return {"reach": reach}, None, F.struct(y["start"].alias("start"), y["wide"].alias("wide"), y["end"].alias("end"), y["x"].alias("x"), s["reach"].alias("reach"))
+
+    def backward(s: Column, y: Column) -> tuple[dict[str, Column], Column | None, Column]:
+        following = F.when(y["wide"] == 0, y["start"]).otherwise(s["next"])
+        return {"next": following}, (y["wide"] == 1) & (y["reach"] <= y["start"]) & (s["next"] >= y["end"]), y["x"]
+
+    passed = _scan(F.array_sort(F.concat(marked(base, 0), marked(wider, 1))), {"reach": F.lit(-1)}, kind, forward)
+    clear = _scan(F.reverse(passed), {"next": F.lit((1 << 31) - 1)}, SPANS, backward)
+    return F.when((F.size(base) == 0) | (F.size(wider) == 0), wider).otherwise(clear)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without the text, with `base` and `wider`: arrays of located spans; wider ones don't overlap base ones."""
     body = F.coalesce(F.col(text), F.lit(""))
-    order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(F.when(a["end"] < b["end"], -1).when(a["end"] > b["end"], 1).otherwise(0))
-    base = F.array_sort(F.concat(*[_located(body, p, k, True) for k, p in BASE.items()]), order)
+    base = _sorted(F.concat(*[_located(body, p, k, True) for k, p in BASE.items()]))
     wider = F.concat(*[_located(body, p, k, False) for k, p in WIDER.items()])
     found = docs.withColumn("base", base).withColumn("wider", wider).drop(text)
-    clear = F.filter("wider", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return found.withColumn("wider", F.array_sort(clear, order))
+    return found.withColumn("wider", _sorted(_clear(F.col("base"), F.col("wider"))))
 
 
 def _by_kind(kind: Column, cases: dict[str, Column], other: Column) -> Column:
@@ -231,9 +278,8 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     found = written(candidates(docs.drop(*[c for c in ("base", "wider", "spans") if c != text]), text), "pii")
     classifier = train(found)
-    order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["kind"] < b["kind"], -1).when(a["kind"] > b["kind"], 1).otherwise(0)
     added = F.filter("wider", lambda x: _accepts(x, classifier))
-    return found.withColumn("spans", F.array_sort(F.concat("base", added), order)).drop("wider")
+    return found.withColumn("spans", _sorted(F.concat("base", added))).drop("wider")
 
 
 def spelled(spans: str) -> Column:

@@ -172,3 +172,38 @@ def test_matches_sql(spark, sf, name):
     found = c.execute(Q.ORACLE_SQL[name])
     names = [x[0] for x in found.description]
     same(run(spark, sf, name), [dict(zip(names, r, strict=True)) for r in found.fetchall()])
+
+
+def test_texts_of_many_numbers(spark, tmp_path):
+    """Spans are the brute-force ones in texts with thousands of numbers, valid and not, over many blocks of matches."""
+    r = random.Random(6)
+    number = lambda: r.choice([str(r.randrange(10 ** r.randrange(1, 9))), ".".join(str(r.randrange(300)) for _ in range(4)), f"+1 {r.randrange(10**9, 10**10)},", "x@y.org"])
+    texts = {i: " ".join(number() for _ in range(n)) for i, n in enumerate([255, 256, 257, 512, 3000])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = run(spark, str(tmp_path), "op3_personal_data")
+    assert {x["doc_id"]: x["base_sha256"] for x in rows} == {i: sha(spans(t)) for i, t in texts.items()}
+
+
+def test_wider_spans_stay_clear_of_base_ones(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.llm.pii import SPANS, _clear
+
+    r = random.Random(7)
+    cases = []
+    for _ in range(60):
+        some = lambda n, k: [(a, a + r.randrange(1, 9), k, "", "", "") for a in sorted(r.sample(range(900), n))]  # noqa: E731, B023
+        cases.append((some(r.randrange(0, 300), 0), some(r.randrange(0, 300), 4)))
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, base {SPANS}, wider {SPANS}").select("i", _clear(F.col("base"), F.col("wider")).alias("c")).collect()
+    for x in got:
+        base, wider = cases[x["i"]]
+        assert sorted(map(tuple, x["c"])) == sorted(w for w in wider if not any(b[0] < w[1] and w[0] < b[1] for b in base))
+
+
+def test_two_hundred_thousand_numbers(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([(1, " ".join(str(k * 7919 % 10**8) for k in range(200_000)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    assert len(run(spark, str(tmp_path), "op3_personal_data")) == 1
+    assert time.time() - began < 60
