@@ -106,7 +106,7 @@ def sheet(c: Corpus, headers: bool = True) -> DataFrame:
 v AS (SELECT file_id, count(*) FILTER (regexp_matches(x, '^\\d{{1,3}}(?:\\.\\d{{3}})+,\\d+$|^\\d+,\\d{{1,2}}$')) AS g, count(*) FILTER (regexp_matches(x, '^\\d{{1,3}}(?:,\\d{{3}})+\\.\\d+$|^\\d+\\.\\d{{1,2}}$')) AS e FROM t GROUP BY file_id) SELECT file_id, CASE WHEN g > e THEN '.' WHEN e > g THEN ',' END AS thousands FROM v""",
 )
 def l1_thousands_vote(c: Corpus) -> DataFrame:
-    return B.separators(sheet(c).where("col_no in (2, 4, 5)"))
+    return B.separators(sheet(c))
 
 
 @query(
@@ -140,14 +140,19 @@ def l4_header_mapping(c: Corpus) -> DataFrame:
     return B.map_header(sheet(c).where("row_no = 0")).select("file_id", "field", "col_no")
 
 
-@query(
-    "l5_column_profile",
-    """WITH r AS (SELECT l_orderkey AS file_id, l_partkey FROM lineitem), n AS (SELECT file_id, count(*) AS n, round(avg(length('Position with text ' || l_partkey)), 6) AS m1, round(avg(CASE l_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 4 END), 6) AS m3 FROM r GROUP BY file_id)
-SELECT file_id, CAST(0 AS BIGINT) AS col_no, n AS filled, CAST(0 AS DOUBLE) AS numeric, CAST(0 AS DOUBLE) AS units, CAST(1 AS DOUBLE) AS positions, CAST(7 AS DOUBLE) AS mean_length FROM n UNION ALL SELECT file_id, 1, n, 0, 0, 0, m1 FROM n UNION ALL SELECT file_id, 3, n, 0, 1, 0, m3 FROM n""",
-)
+_SHEET = f"""rows AS (SELECT l_orderkey AS file_id, row_no, l_quantity, l_extendedprice, l_partkey, l_extendedprice / l_quantity AS price FROM (SELECT *, {ROW} AS row_no FROM lineitem)),
+cells AS (SELECT file_id, row_no, unnest(range(0, 6)) AS col_no, unnest(['01.' || lpad(CAST(row_no AS VARCHAR), 4, '0'), 'Position with text ' || l_partkey, {_NUM.format(v="l_quantity")}, CASE l_partkey % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'Stk' WHEN 2 THEN 'm³' ELSE 'psch' END, {_NUM.format(v="price")}, {_NUM.format(v="l_extendedprice")}]) AS text FROM rows),
+files AS (SELECT DISTINCT file_id FROM rows),
+head AS (SELECT file_id, 0 AS row_no, unnest(range(0, 6)) AS col_no, unnest(['Pos.', 'Kurztext', 'Menge', 'Einheit', 'Einheitspreis (EUR)', 'Gesamtpreis']) AS text FROM files)"""
+#: A column of numbers is numeric where its cells don't read like a position's number.
+_PROFILE = f"""WITH {_SHEET} SELECT file_id, CAST(col_no AS BIGINT) AS col_no, count(*) AS filled, round(avg(CASE WHEN col_no IN (2, 4, 5) AND NOT regexp_matches(text, '^\\d+(?:[.\\-/]\\d+)+$') THEN 1.0 ELSE 0.0 END), 6) AS numeric,
+  round(avg(CASE WHEN col_no = 3 THEN 1.0 ELSE 0.0 END), 6) AS units, round(avg(CASE WHEN regexp_matches(text, '^\\d+(?:[.\\-/]\\d+)+$') THEN 1.0 ELSE 0.0 END), 6) AS positions, round(avg(length(text)), 6) AS mean_length FROM cells GROUP BY file_id, col_no"""
+
+
+@query("l5_column_profile", _PROFILE)
 def l5_column_profile(c: Corpus) -> DataFrame:
     cells = sheet(c, headers=False)
-    return B.profile(cells.where("col_no in (0, 1, 3)"), B.separators(cells))
+    return B.profile(cells, B.separators(cells))
 
 
 @query(
@@ -176,12 +181,6 @@ def l7_column_agreement(c: Corpus) -> DataFrame:
     return B.price_columns(B.agreement(numbers(c)))
 
 
-_SHEET = f"""rows AS (SELECT l_orderkey AS file_id, row_no, l_quantity, l_extendedprice, l_partkey, l_extendedprice / l_quantity AS price FROM (SELECT *, {ROW} AS row_no FROM lineitem)),
-cells AS (SELECT file_id, row_no, unnest(range(0, 6)) AS col_no, unnest(['01.' || lpad(CAST(row_no AS VARCHAR), 4, '0'), 'Position with text ' || l_partkey, {_NUM.format(v="l_quantity")}, CASE l_partkey % 4 WHEN 0 THEN 'm2' WHEN 1 THEN 'Stk' WHEN 2 THEN 'm³' ELSE 'psch' END, {_NUM.format(v="price")}, {_NUM.format(v="l_extendedprice")}]) AS text FROM rows),
-files AS (SELECT DISTINCT file_id FROM rows),
-head AS (SELECT file_id, 0 AS row_no, unnest(range(0, 6)) AS col_no, unnest(['Pos.', 'Kurztext', 'Menge', 'Einheit', 'Einheitspreis (EUR)', 'Gesamtpreis']) AS text FROM files)"""
-
-
 @query(
     "l8_grid_cleaning",
     f"""WITH {_SHEET} SELECT file_id, row_no, col_no, text FROM cells UNION ALL SELECT * FROM head UNION ALL SELECT file_id, 800, unnest([0, 1]), unnest(['520', 'Gründung']) FROM files""",

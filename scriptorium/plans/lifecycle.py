@@ -77,13 +77,13 @@ def b5_unresolved_glyphs(c: Corpus) -> DataFrame:
 
 @query(
     "b6_truncated_labels",
-    f"""{with_views('lines')}, l AS (SELECT version_id, line_no, CASE WHEN line_no % 3 = 0 THEN 'Parent — ii. ' || left(text, 25) || ' (' WHEN line_no % 3 = 1 THEN left(text, 20) || ' and' ELSE left(text, 20) END AS label FROM lines),
+    f"""{with_views('lines')}, l AS (SELECT version_id, line_no, CASE WHEN line_no % 3 = 0 THEN 'Parent — ii. ' || text || ' (' WHEN line_no % 3 = 1 THEN text || ' and' ELSE text END AS label FROM lines),
 core AS (SELECT *, trim(regexp_replace(trim(string_split(label, ' — ')[-1]), '^(?:[ivxlcdm]+|[a-z]|[0-9]{{1,2}})[.)]\\s+', '', 'i')) AS k FROM l)
 SELECT version_id, line_no, k <> '' AND (length(replace(k, '(', '')) <> length(replace(k, ')', '')) OR regexp_matches(k, '(?:\\b(?:e\\.g\\.|i\\.e\\.|and|or|the|of|with|for|in|to|und|oder|der|die|das|des|bei|mit|von|für|zur|zum)|,)$', 'i')) AS truncated FROM core""",
 )
 def b6_truncated_labels(c: Corpus) -> DataFrame:
     k = F.col("line_no") % 3
-    label = F.when(k == 0, F.concat(F.lit("Parent — ii. "), F.substring("text", 1, 25), F.lit(" ("))).when(k == 1, F.concat(F.substring("text", 1, 20), F.lit(" and"))).otherwise(F.substring("text", 1, 20))
+    label = F.when(k == 0, F.concat(F.lit("Parent — ii. "), "text", F.lit(" ("))).when(k == 1, F.concat("text", F.lit(" and"))).otherwise(F.col("text"))
     return c.lines().select("version_id", F.col("line_no").cast("long").alias("line_no"), X.looks_truncated(label).alias("truncated"))
 
 
@@ -309,12 +309,12 @@ def g7_row_supersession(c: Corpus) -> DataFrame:
 
 @query(
     "g8_augment",
-    f"""{with_views('lines', 'chunks')}, cand AS (SELECT version_id, page, CASE WHEN line_no % 2 = 0 THEN text ELSE 'New ' || text END AS content, line_no FROM lines WHERE line_no < 6 AND trim(text) <> ''),
+    f"""{with_views('lines', 'chunks')}, cand AS (SELECT version_id, page, CASE WHEN line_no % 2 = 0 THEN text ELSE 'New ' || text END AS content, line_no FROM lines WHERE trim(text) <> ''),
 fresh AS (SELECT * FROM cand a WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.version_id = a.version_id AND c.content = a.content))
 SELECT version_id, page, md5(content) AS md5, CAST((SELECT max(ordinal) FROM chunks c WHERE c.version_id = fresh.version_id) + row_number() OVER (PARTITION BY version_id ORDER BY line_no) AS BIGINT) AS ordinal FROM fresh""",
 )
 def g8_augment(c: Corpus) -> DataFrame:
-    cand = c.lines().where("line_no < 6 and trim(text) <> ''").select("version_id", "page", F.when(F.col("line_no") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("New "), "text")).alias("content"), F.col("line_no").alias("seq"))
+    cand = c.lines().where("trim(text) <> ''").select("version_id", "page", F.when(F.col("line_no") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("New "), "text")).alias("content"), F.col("line_no").alias("seq"))
     return L.new_rows(cand, c.chunks()).select("version_id", "page", F.md5("content").alias("md5"), "ordinal")
 
 

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scriptorium.corpus import Corpus, with_views
 from scriptorium.functions import text as X
 from scriptorium.operators import audit as A
 from scriptorium.operators import layout as Y
+from scriptorium.operators.vector_index import build_index, search_index
 from scriptorium.plans.audit import _PAYLOAD
 from scriptorium.plans.registry import query
 from scriptorium.sources import gaeb
@@ -126,62 +122,7 @@ def a6_priced_offers(c: Corpus) -> DataFrame:
     return done.unionByName(refused.select("file_id", F.lit(None).cast("string").alias("xml")))
 
 
-#: Bits of a sketch, the share of pairs whose distance is taken, queries a block, and vectors on which the cut is fitted.
-SKETCH_BITS, SHARE, BLOCK, SAMPLE = 512, 0.1, 2_000, 1_000
-
-
-def planes(dim: int, bits: int = SKETCH_BITS, seed: int = 5) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, bits))
-
-
-def sketches(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """On which side of each plane a vector lies, as 64-bit words; the angle to another shows in the bits that differ."""
-    return np.packbits(x @ p > 0, axis=1).view(np.uint64)
-
-
-def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.int16) for i in range(a.shape[1]))
-
-
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = SHARE) -> DataFrame:
-    """(query_id, vec_id, distance, rank): of each query's nearest sketches, the exact distances.
-
-    Sketches are signs of random projections.  How many bits may differ is fitted on at most `SAMPLE` vectors and queries,
-    so that about `share` of the pairs get a distance; every vector is looked at.  Queries are sent in blocks of `BLOCK`;
-    a task keeps the k nearest of its rows for each query, so few rows are shuffled.
-    """
-    some = np.array([r[0] for r in vectors.select("embedding").limit(SAMPLE).collect()], float)
-    own = [(r[0], r[1]) for r in queries.select("query_id", "query_vector").toLocalIterator()]
-    none = vectors.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("distance")).where(F.lit(False))
-    if not len(some) or not own:
-        return none.withColumn("rank", F.lit(0))
-    p = planes(some.shape[1])
-    asked = sketches(np.array([v for _, v in own[:SAMPLE]], float), p)
-    cut = int(np.quantile(apart(sketches(some, p), asked), share))
-    out = none
-    for at in range(0, len(own), BLOCK):
-        block = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in own[at : at + BLOCK]]), np.array([v for _, v in own[at : at + BLOCK]], float)))
-
-        def near(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ids, q = block.value
-            norm, marks = np.linalg.norm(q, axis=1), sketches(q, p)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = batch.column("embedding").flatten().to_numpy().astype(float).reshape(batch.num_rows, -1)
-                i, j = np.nonzero(apart(sketches(x, p), marks) <= cut)
-                length = np.linalg.norm(x, axis=1)[i] * norm[j]
-                d = np.round(1 - np.einsum("ij,ij->i", x[i], q[j]) / np.where(length == 0, np.nan, length), 6) + 0.0
-                vec = batch.column("vec_id").to_numpy()[i]
-                order = np.lexsort((vec, d, j))
-                place = np.arange(len(order)) - np.searchsorted(j[order], j[order])
-                order = order[(place < k) & ~np.isnan(d[order])]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j[order]]), pa.array(vec[order]), pa.array(d[order])], names=["query_id", "vec_id", "distance"])
-
-        out = out.unionByName(vectors.select("vec_id", "embedding").mapInArrow(near, "query_id long, vec_id long, distance double"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
-
-
 @query("e2_approximate_top_k")
 def e2_approximate_top_k(c: Corpus) -> DataFrame:
-    return approximate_top_k(c.table("embeddings").select("vec_id", "embedding"), c.query_vectors().select("query_id", "query_vector"))
+    index = build_index(c.table("embeddings").select("vec_id", "embedding"), c.scratch("vectors"))
+    return search_index(c.spark, index, c.query_vectors().select("query_id", "query_vector"))
