@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -212,7 +213,9 @@ def _net(cell: Column) -> Column:
     number = lambda x: F.replace(F.replace(x, F.lit("."), F.lit("")), F.lit(","), F.lit(".")).cast("double")
     taxed = lambda x: functools.reduce(operator.or_, [F.abs(number(x[0]) * rate - number(x[1])) <= number(x[0]) * rate * 0.005 for rate in VAT])
     net = lambda x: F.when(F.size(x) == 2, F.when(taxed(x), x[0]))
-    return F.when(~cell.rlike(r"[a-zA-Z\n]|,\d\d\d"), F.trim(cell)).otherwise(F.coalesce(_let(amounts, net), kept))
+    # nothing to take out of one line that names no tax and has no two amounts in a text
+    some = cell.rlike(r"(?iu)\n|,\d\d\d|" + "|".join(map(re.escape, FURNITURE))) | cell.rlike(r"[a-zA-Z].*,\d\d.*,\d\d|,\d\d.*[a-zA-Z].*,\d\d|,\d\d.*,\d\d.*[a-zA-Z]")
+    return F.when(some, F.coalesce(_let(amounts, net), kept)).otherwise(F.trim(cell))
 
 
 def _unglued(cell: Column) -> Column:
@@ -234,8 +237,9 @@ def clean_rows(rows: DataFrame) -> DataFrame:
     ran together taken apart where that gives a row the width most rows have."""
     has = lambda test: F.exists("row", test)
     wide = rows.where(has(lambda c: F.trim(c) != "")).withColumn("width", F.size("row"))
-    n = wide.groupBy("file_id", "width").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first"))
-    common = n.groupBy("file_id").agg(F.max_by("width", F.struct("n", -F.col("first"))).alias("common"))
+    of_width = Window.partitionBy("file_id", "width")
+    wide = wide.withColumns({"n": F.count(F.lit(1)).over(of_width), "first": F.min("row_no").over(of_width)})
+    wide = wide.withColumn("common", F.max_by("width", F.struct("n", -F.col("first"))).over(Window.partitionBy("file_id"))).drop("n", "first")
     out = _settled(wide, row=F.transform("row", _net)).where(has(lambda c: F.trim(c) != ""))
     lead = F.array_position(F.transform("row", lambda c: F.trim(c) != ""), True) - 1
 
@@ -257,7 +261,7 @@ def clean_rows(rows: DataFrame) -> DataFrame:
     tidy = F.transform("row", lambda c, i: F.when((i < F.col("label")) & (F.trim(c) != "") & ~number(c), "").otherwise(c))
     out = _settled(out, row=F.when(F.col("total") & (F.col("label") >= 0), tidy).otherwise(F.col("row")))
     sign = F.concat(F.when(F.col("heading"), "heading|").otherwise("total|"), F.array_join(F.transform("row", lambda c: F.lower(F.trim(c))), "|"))
-    out = first_by_signature(out, F.when(F.col("heading") | F.col("total"), sign)).join(common, "file_id")
+    out = first_by_signature(out, F.when(F.col("heading") | F.col("total"), sign))
     apart = F.flatten(F.transform("row", lambda c: F.when(F.trim(c) == "", F.array(F.lit(""))).otherwise(_unglued(c))))
     out = _settled(out, apart=F.when(F.size("row") < F.col("common"), apart))
     row = F.when(F.size("apart") == F.col("common"), F.col("apart")).otherwise(F.col("row"))
@@ -277,21 +281,25 @@ def columns(rows: DataFrame) -> DataFrame:
     quantity; a file without one by its columns' content.  A price column that quantity and total speak against gives way
     to one they agree with."""
     cells = rows.select("file_id", "row_no", F.posexplode("row").alias("c", "text"))
-    thousands = separators(cells)
+    thousands = kept(separators(cells), "separators")
     named = F.transform("row", header_field)
     first = F.map_filter(F.map_from_entries(F.transform(F.array(*[F.lit(f) for f in FIELDS]), lambda f: F.struct(f, (F.array_position(F.col("named"), f) - 1).cast("int")))), lambda k, v: v >= 0)
     heads = _settled(rows.where("words"), named=named).where(F.array_contains("named", "short_text") & F.array_contains("named", "quantity")).select("file_id", F.col("row_no").alias("head"), first.alias("cols"))
     tried = rows.join(heads, "file_id").where("row_no > head").join(thousands, "file_id")
     full = _settled(tried, q=quantity_and_unit(F.get("row", F.element_at("cols", "quantity")), F.col("thousands"))["value"]).where("q is not null")
     head = kept(full.groupBy("file_id").agg(F.min_by("cols", "head").alias("cols"), F.min("head").alias("head")), "headers")
-    body = rows.join(head.select("file_id", "head"), "file_id", "left").where("head is null or row_no > head")
-    below = body.select("file_id", "row_no", F.posexplode("row").alias("col_no", "text"))
+    whole = F.map_contains_key("cols", "unit")
+    body = rows.join(head.select("file_id", "head", whole.alias("whole")), "file_id", "left").where("head is null or row_no > head")
+    # the content of columns is looked into only where a header leaves something open
+    below = body.where("whole is not true").select("file_id", "row_no", F.posexplode("row").alias("col_no", "text"))
     roles = infer_roles(profile(below, thousands))
+    body = body.drop("whole")
     guess = F.map_filter(F.create_map(*[x for f in ("oz", "short_text", "quantity", "unit", "unit_price", "total") for x in (F.lit(f), F.col(f).cast("int"))]), lambda k, v: v.isNotNull())
     both = roles.select("file_id", guess.alias("guess"), F.col("unit").cast("int").alias("u")).join(head, "file_id", "left")
     # a header without a unit takes the column that looks like one, if no other field has it
     unit = F.when(F.col("u").isNotNull() & ~F.map_contains_key("cols", "unit") & ~F.array_contains(F.map_values("cols"), F.col("u")), F.map_concat("cols", F.create_map(F.lit("unit"), F.col("u")))).otherwise(F.col("cols"))
-    found = both.select("file_id", "head", F.coalesce(unit, "guess").alias("cols")).where(F.map_contains_key("cols", "short_text") & F.map_contains_key("cols", "quantity"))
+    both = both.select("file_id", "head", F.coalesce(unit, "guess").alias("cols")).unionByName(head.where(whole).select("file_id", "head", "cols"))
+    found = both.where(F.map_contains_key("cols", "short_text") & F.map_contains_key("cols", "quantity"))
     at = lambda f: F.try_element_at("cols", F.lit(f))
     value = lambda c: parse_decimal(c, F.col("thousands"))
     checked = body.drop("head").join(found, "file_id").where(at("total").isNotNull()).join(thousands, "file_id")
