@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,40 +81,76 @@ def sections(lines: DataFrame) -> DataFrame:
 CHUNK = "ordinal long, char_start long, char_end long, content string, section string, n_lines long"
 
 
-def _pack(lines: pd.DataFrame) -> pd.DataFrame:
-    """Greedy, in order: a heading or a full chunk closes what is open, whose tail of whole lines opens the next."""
-    rows = lines.sort_values("line_no").to_dict("records")
-    out, open_, section = [], [], None
-
-    def close() -> None:
-        out.append((rows[0]["version_id"], len(out), open_[0]["char_start"], open_[-1]["char_end"], open_, section))
-
-    for line in rows:
-        if line["heading"] is not None and open_:
-            close()
-            open_ = []
-        elif open_:
-            span = line["char_end"] - open_[0]["char_start"]
-            if span > TARGET and (span > CAP or open_[-1]["text"].rstrip().endswith(SENTENCE_END)):
-                close()
-                tail: list[dict] = []
-                for old in reversed(open_[1:]):
-                    if tail and open_[-1]["char_end"] - old["char_start"] > OVERLAP:
+class _Packer:
+    """Greedy, in order: a heading or a full chunk closes what is open, whose tail of whole lines opens the next.
+
+    What is held is the open chunk: at most CAP characters and a line.
+    """
+
+    def __init__(self, version: object):
+        self.version, self.ordinal, self.section = version, 0, None
+        self.open: list[tuple[str, int, int]] = []
+        self.size = 0
+
+    def close(self) -> tuple:
+        out = (self.version, self.ordinal, self.open[0][1], self.open[-1][2], "\n".join(x[0] for x in self.open), self.section, len(self.open))
+        self.ordinal += 1
+        return out
+
+    def add(self, text: str, begin: int, end: int, heading: str | None) -> tuple | None:
+        """The chunk that this line closes, if it closes one."""
+        done = None
+        if heading is not None and self.open:
+            done, self.open = self.close(), []
+        elif self.open:
+            span = end - self.open[0][1]
+            if span > TARGET and (span > CAP or self.open[-1][0].rstrip().endswith(SENTENCE_END)):
+                done, last, tail = self.close(), self.open[-1][2], []
+                for old in reversed(self.open[1:]):
+                    if tail and last - old[1] > OVERLAP:
                         break
-                    tail.insert(0, old)
-                if tail and line["char_end"] - tail[0]["char_start"] > CAP:
-                    tail = []
-                open_ = tail
-        section = line["heading"] if line["heading"] is not None else section
-        open_ = [*open_, line]
-    if open_:
-        close()
-    return pd.DataFrame([(v, o, a, b, "\n".join(x["text"] for x in part), s, len(part)) for v, o, a, b, part, s in out], columns=["version_id", *(c.split()[0] for c in CHUNK.split(", "))])
+                    tail.append(old)
+                tail.reverse()
+                self.open = [] if tail and end - tail[0][1] > CAP else tail
+        self.section = self.section if heading is None else heading
+        self.open.append((text, begin, end))
+        return done
 
 
 def pack_chunks(lines: DataFrame) -> DataFrame:
-    """Chunks of each version's lines (with offsets, `heading`).  The fold is sequential within a version, parallel across."""
-    return lines.select("version_id", "line_no", "text", "char_start", "char_end", "heading").groupBy("version_id").applyInPandas(_pack, f"version_id {lines.schema['version_id'].dataType.simpleString()}, {CHUNK}")
+    """Chunks of each version's lines (with offsets, `heading`), ordered by line_no.
+
+    Versions are dealt to tasks and sorted there; a task streams through its lines and holds the one open chunk, so a
+    version of any number of lines is packed in the same memory.
+    """
+    kind = lines.schema["version_id"].dataType.simpleString()
+    schema = f"version_id {kind}, {CHUNK}"
+    names = ["version_id", *(c.split()[0] for c in CHUNK.split(", "))]
+    arrow = [pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer: _Packer | None = None
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), arrow, strict=True)], names=names)
+
+        for batch in batches:
+            done = []
+            for version, text, begin, end, heading in zip(*(batch.column(c).to_pylist() for c in ("version_id", "text", "char_start", "char_end", "heading")), strict=True):
+                if packer is None or packer.version != version:
+                    if packer is not None:
+                        done.append(packer.close())
+                    packer = _Packer(version)
+                closed = packer.add(text, begin, end, heading)
+                if closed is not None:
+                    done.append(closed)
+            if done:
+                yield rows(done)
+        if packer is not None:
+            yield rows([packer.close()])
+
+    held = lines.select("version_id", "line_no", "text", "char_start", "char_end", "heading").repartition("version_id").sortWithinPartitions("version_id", "line_no")
+    return held.mapInArrow(work, schema)
 
 
 def parts(documents: DataFrame, pages: str = "n_pages", limit: int = PART_PAGES) -> DataFrame:
@@ -168,22 +206,44 @@ def fee_rows(rows: DataFrame) -> DataFrame:
     return lines.select("version_id", "row_no", F.col("line").cast("long").alias("line"), F.concat(F.lit("Anrechenbare Kosten "), F.trim("cost"), F.lit(" — "), F.array_join("parsed", ", ")).alias("content"))
 
 
-def hashed_grams(texts: pd.Series, dim: int = 64) -> pd.Series:
-    """The default encoder: words and word pairs hashed to signed buckets.  Deterministic, no weights."""
-    import zlib
+_BASE = 0x9E3779B97F4A7C15 | 1
+
 
-    def one(t: str) -> list[float]:
-        v = [0.0] * dim
-        w = (t or "").lower().split()
-        for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))]:
-            h = zlib.crc32(g.encode())
-            v[h % dim] += 1.0 if h & 0x10000 else -1.0
-        return v
+def _powers(n: int, base: int) -> np.ndarray:
+    steps = np.full(max(n, 1), base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-    return texts.map(one)
 
+def hashed_grams(texts: pd.Series, dim: int = 64) -> pd.Series:
+    """The default encoder: words and word pairs hashed to signed buckets.  Deterministic, no weights.
 
-def embed(chunks: DataFrame, encoder: Callable[[pd.Series], pd.Series] = hashed_grams, dim: int = 64, prefix: str = "passage: ", text: str = "content", batch: int = 200) -> DataFrame:
+    All words of a batch are hashed together, from one running sum over its characters.
+    """
+    low = [(t or "").lower() for t in texts]
+    codes = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.cumsum([0, *(len(t) + 1 for t in low[:-1])])
+    blank = np.isin(codes, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+    edge = np.diff(np.concatenate(([1], blank, [1])).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(len(codes), _BASE)[: len(codes)])))
+    word = (total[end] - total[start]) * _powers(len(codes) + 1, pow(_BASE, -1, 1 << 64))[start]
+    row = np.searchsorted(begins, start, side="right") - 1
+    pairs = np.flatnonzero(row[1:] == row[:-1])
+    h = np.concatenate((word, word[pairs] * np.uint64(31) + word[pairs + 1] * np.uint64(0x94D049BB133111EB) + np.uint64(7)))
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    at = np.concatenate((row, row[pairs])) * dim + (h % np.uint64(dim)).astype(np.int64)
+    sign = np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+    return pd.Series(list(np.bincount(at, sign, len(low) * dim).reshape(len(low), dim)), index=texts.index, dtype=object)
+
+
+#: What the encoder sees before a text that is searched, and before one that asks.
+PASSAGE, QUERY = "passage: ", "query: "
+
+
+def embed(chunks: DataFrame, encoder: Callable[[pd.Series], pd.Series] = hashed_grams, dim: int = 64, prefix: str = PASSAGE, text: str = "content", batch: int = 200) -> DataFrame:
     """chunks with `embedding` of unit length: the encoder sees prefixed texts in batches; a wrong dimension is an error."""
 
     def work(parts_: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from scriptorium.corpus import Corpus, with_views
 from scriptorium.functions import text as X
 from scriptorium.operators import layout as Y
+from scriptorium.operators.indexing import activate, index_run, indexed_chunks, outcomes
 from scriptorium.operators import lifecycle as L
 from scriptorium.plans.registry import query
 
@@ -208,7 +209,23 @@ def f7_sections(c: Corpus) -> DataFrame:
     return Y.sections(headed(c)).select("version_id", "line_no", "section")
 
 
-@query("f8_chunk_packing")
+#: Line by line: the first line of the open chunk, and where a chunk ends before this one.  The tail that opens the next
+#: chunk begins at the first line within 200 characters of the last one's end, after the open chunk's first.
+_PACKED = f"""{_FONTS}, {_BODY}, {_HEADINGS}, ledger AS (SELECT version_id, line_no, row_number() OVER w AS k, text, heading, CAST(sum(length(text) + 1) OVER w + (page - 1) - 1 - length(text) AS BIGINT) AS b, CAST(sum(length(text) + 1) OVER w + (page - 1) - 1 AS BIGINT) AS e,
+  last_value(heading IGNORE NULLS) OVER (PARTITION BY version_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM headed WINDOW w AS (PARTITION BY version_id ORDER BY line_no)),
+arr AS (SELECT version_id, list(b ORDER BY k) AS bs, list(e ORDER BY k) AS es, list(text ORDER BY k) AS ts, list(heading ORDER BY k) AS hs, list(section ORDER BY k) AS ss FROM ledger GROUP BY version_id),
+near AS (SELECT l.version_id, l.k, min(o.k) AS t FROM ledger l JOIN ledger p ON p.version_id = l.version_id AND p.k = l.k - 1 JOIN ledger o ON o.version_id = l.version_id AND o.k < l.k AND p.e - o.b <= 200 GROUP BY ALL),
+tails AS (SELECT version_id, list(t ORDER BY k) AS tl FROM (SELECT l.version_id, l.k, n.t FROM ledger l LEFT JOIN near n USING (version_id, k)) GROUP BY version_id),
+walk AS (SELECT version_id, 1 AS k, 1 AS a, CAST(NULL AS BIGINT) AS was, 0 AS n FROM arr
+  UNION ALL SELECT version_id, k + 1, CASE WHEN NOT shut THEN a WHEN h OR t > k OR es[k + 1] - bs[t] > 1800 THEN k + 1 ELSE t END, CASE WHEN shut THEN a END, n + CAST(shut AS INTEGER) FROM (
+    SELECT w.version_id, w.k, w.a, w.n, bs, es, hs[w.k + 1] IS NOT NULL AS h, greatest(w.a + 1, least(coalesce(tl[w.k + 1], w.k), w.k)) AS t,
+      hs[w.k + 1] IS NOT NULL OR (es[w.k + 1] - bs[w.a] > 1200 AND (es[w.k + 1] - bs[w.a] > 1800 OR regexp_matches(ts[w.k], '[.?!:;]\\s*$'))) AS shut
+    FROM walk w JOIN arr USING (version_id) JOIN tails USING (version_id) WHERE w.k < len(bs))),
+cut AS (SELECT version_id, was AS a, k - 1 AS z, n - 1 AS ordinal FROM walk WHERE was IS NOT NULL UNION ALL SELECT version_id, a, k, n FROM walk JOIN arr USING (version_id) WHERE k = len(bs)),
+packed AS (SELECT version_id, CAST(ordinal AS BIGINT) AS ordinal, bs[a] AS char_start, es[z] AS char_end, array_to_string(ts[a:z], chr(10)) AS content, ss[z] AS section, CAST(z - a + 1 AS BIGINT) AS n_lines FROM cut JOIN arr USING (version_id))"""
+
+
+@query("f8_chunk_packing", f"{with_views('lines').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_PACKED} SELECT * FROM packed")
 def f8_chunk_packing(c: Corpus) -> DataFrame:
     return Y.pack_chunks(Y.offsets(headed(c)))
 
@@ -233,6 +250,23 @@ def f13_index_versions(c: Corpus) -> DataFrame:
     return outcome
 
 
+@query(
+    "f13_staged_activation",
+    f"""{with_views('lines', 'versions').replace('WITH ', 'WITH RECURSIVE ', 1)}, {_PACKED}, own AS (SELECT version_id, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM packed WHERE regexp_matches(content, '\\S') AND NOT regexp_matches(content, '\\(cid:[0-9]+\\)') GROUP BY ALL)
+SELECT v.version_id, CASE WHEN v.status = 'pending' AND chunks > 0 THEN 'active' ELSE v.status END AS status, CASE WHEN v.status = 'pending' THEN coalesce(chunks, 0) ELSE 0 END AS chunks, CASE WHEN v.status = 'pending' THEN coalesce(chars, 0) ELSE 0 END AS chars, CASE WHEN v.status = 'pending' THEN coalesce(chunks, 0) ELSE 0 END AS embedded, CASE WHEN v.status = 'pending' AND chunks IS NULL THEN 'no_text' END AS error
+FROM versions v LEFT JOIN own o USING (version_id)""",
+)
+def f13_staged_activation(c: Corpus) -> DataFrame:
+    """Pending editions in two runs, of which the first is done twice; what the scan then reads of each edition."""
+    path, rows = c.scratch("index"), headed(c)
+    for run, rest in ((0, 0), (0, 0), (1, 1)):
+        index_run(path, run, rows, c.versions().where(F.col("version_id") % 2 == rest), X.has_unresolved_glyph, X.looks_like_reference)
+    unit = F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6) == 1
+    n = indexed_chunks(c.spark, path).groupBy("version_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("content")).alias("chars"), F.count_if(unit & F.col("is_reference").isNotNull()).alias("embedded"))
+    out = activate(c.versions(), path).join(n, "version_id", "left").join(outcomes(c.spark, path).select("version_id", "error"), "version_id", "left")
+    return out.select("version_id", "status", *[F.coalesce(k, F.lit(0).cast("long")).alias(k) for k in ("chunks", "chars", "embedded")], "error")
+
+
 @query(
     "g1_register",
     """WITH i AS (SELECT doc_id AS seq, sha256(text) AS file_hash, doc_id // 3 AS d, 'Ed. ' || (doc_id % 2) AS label, CASE WHEN (doc_id // 3) % 2 = 0 THEN 'c1' END AS clinic FROM documents),
