@@ -24,31 +24,35 @@ def payload(df: DataFrame, fields: list[str]) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def append_chain(new: DataFrame, tails: DataFrame, fields: list[str], key: str = "clinic_id", order: str = "seq") -> DataFrame:
+def append_chain(new: DataFrame, tails: DataFrame, fields: list[str], key: str = "clinic_id", order: str = "seq", number: str | None = None) -> DataFrame:
     """new with prev_hash and row_hash, chained within each key from the stored tail (key, row_hash) or the genesis.
 
+    number names a column for each entry's place in its chain; tails then have n, how many entries a chain has.
+
     row_hash = sha256(prev_hash and payload).  A chain is sequential, so a key's new rows pass one task in order, but
     as a sorted stream of which only the last hash is held; payloads are made before, in parallel.  Rows without a key
     have no chain and are left out.
     """
-    t = tails.select(F.col(key).alias("__k"), F.col("row_hash").alias("__tail"))
+    t = tails.select(F.col(key).alias("__k"), F.col("row_hash").alias("__tail"), (F.col("n") if number else F.lit(0)).cast("long").alias("__n"))
     body = new.where(F.col(key).isNotNull()).withColumn("__p", payload(new, fields))
-    body = body.join(t, body[key] == t["__k"], "left").withColumn("__tail", F.coalesce("__tail", F.lit(GENESIS))).drop("__k")
+    body = body.join(t, body[key] == t["__k"], "left").withColumn("__tail", F.coalesce("__tail", F.lit(GENESIS))).withColumn("__n", F.coalesce("__n", F.lit(0).cast("long"))).drop("__k")
     body = body.repartition(key).sortWithinPartitions(key, order, "__p")
-    schema = T.StructType([f for f in body.schema.fields if f.name not in ("__p", "__tail")] + [T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
+    own = [f for f in body.schema.fields if f.name not in ("__p", "__tail", "__n")]
+    schema = T.StructType([*own, T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType()), *([T.StructField(number, T.LongType())] if number else [])])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, ""
+        at, last, n = None, "", 0
         for batch in batches:
-            before, after = [], []
-            for k, tail, text in zip(batch.column(key).to_pylist(), batch.column("__tail").to_pylist(), batch.column("__p").to_pylist(), strict=True):
+            before, after, places = [], [], []
+            for k, tail, had, text in zip(*(batch.column(c).to_pylist() for c in (key, "__tail", "__n", "__p")), strict=True):
                 if k != at:
-                    at, last = k, tail
+                    at, last, n = k, tail, had
                 before.append(last)
-                last = hashlib.sha256((last + text).encode()).hexdigest()
+                last, n = hashlib.sha256((last + text).encode()).hexdigest(), n + 1
                 after.append(last)
-            kept = [n for n in batch.schema.names if n not in ("__p", "__tail")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(before, pa.string()), pa.array(after, pa.string())], names=schema.names)
+                places.append(n)
+            made = [pa.array(before, pa.string()), pa.array(after, pa.string()), *([pa.array(places, pa.int64())] if number else [])]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in own], *made], names=schema.names)
 
     return body.mapInArrow(fold, schema)
 

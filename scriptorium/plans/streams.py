@@ -40,10 +40,10 @@ def k2_streaming_chain(c: Corpus) -> DataFrame:
 
     def run(stream: DataFrame, out: str) -> None:
         log.table = lambda name: stream
-        jobs.run_to_table(jobs.append_chain_stream(log.audit_log(), A.ENTRY), f"{out}/table", f"{out}/state")
+        jobs.append_chain_stream(log.audit_log(), A.ENTRY, f"{out}/table", f"{out}/state").awaitTermination()
 
     out = _in_batches(c, "events", "event_id % 3 = 0", "chain", run)
-    return c.spark.read.parquet(f"{out}/table")
+    return jobs.chain_entries(c.spark, f"{out}/table")
 
 
 @query("k3_job_progress", "WITH e AS (SELECT o_orderkey % 300 AS job_id, CASE WHEN o_orderstatus = 'O' THEN 'planned' WHEN o_orderkey % 7 = 0 THEN 'failed' ELSE 'done' END AS kind FROM orders), g AS (SELECT job_id, count(*) FILTER (kind = 'planned') AS planned, count(*) FILTER (kind = 'done') AS done, count(*) FILTER (kind = 'failed') AS failed FROM e GROUP BY job_id) SELECT *, CASE WHEN planned = 0 THEN 0 ELSE 10 + CAST(floor(90 * (done + failed) / planned) AS BIGINT) END AS percent, CASE WHEN done + failed < planned THEN 'running' WHEN done > 0 THEN 'done' ELSE 'failed' END AS state FROM g")

@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scriptorium.operators.audit import GENESIS, payload
+from scriptorium.operators.audit import append_chain
 
 
 def ingest(source: DataFrame, corpus_path: str, checkpoint: str, key: str = "file_hash", index=None) -> StreamingQuery:
@@ -51,26 +46,31 @@ def landed(spark: SparkSession, corpus_path: str) -> DataFrame:
     return spark.read.parquet(f"{corpus_path}/files")
 
 
-def append_chain_stream(source: DataFrame, fields: list[str], key: str = "clinic_id", order: str = "seq") -> DataFrame:
-    """A stream of entries with prev_hash, row_hash and chain_no; the state of a key is its tail and how many it has.
+def append_chain_stream(source: DataFrame, fields: list[str], path: str, checkpoint: str, key: str = "clinic_id", order: str = "seq") -> StreamingQuery:
+    """Appends a stream of entries to their chains: (key, order, prev_hash, row_hash, chain_no), under the batch's number.
 
-    A key's rows of a batch meet in one task and are folded in order.  Rows that come late, with a number below one of an
-    earlier batch, go after the tail like any other: a chain's order is that of arrival, which chain_no counts from 1.
+    A batch is sorted by key and order and folded as it streams by, from the tails that the batch before has left, so a
+    task holds one hash, whatever a key's share of a batch.  Entries are written first and all chains' tails last; a batch
+    that is run again overwrites its own folders.  Rows that come late, with a number below one of an earlier batch, go
+    after the tail like any other: a chain's order is that of arrival, which chain_no counts from 1.
     """
-    body = source.select(key, order, payload(source, fields).alias("payload"))
 
-    def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, n = state.get if state.exists else (GENESIS, 0)
-        rows = pd.concat(list(parts)).sort_values([order, "payload"])
-        out = []
-        for seq, text in zip(rows[order], rows["payload"], strict=True):
-            h, n = hashlib.sha256((tail + text).encode()).hexdigest(), n + 1
-            out.append((k[0], int(seq), tail, h, n))
-            tail = h
-        state.update((tail, n))
-        yield pd.DataFrame(out, columns=[key, order, "prev_hash", "row_hash", "chain_no"])
+    def land(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        kind = dict(batch.dtypes)[key]
+        stored = f"{key} {kind}, row_hash string, n long"
+        tails = spark.read.schema(stored).parquet(f"{path}/tails/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], stored)
+        chained = append_chain(batch, tails, fields, key, order, "chain_no").select(key, order, "prev_hash", "row_hash", "chain_no")
+        chained.write.mode("overwrite").parquet(f"{path}/entries/batch={batch_id}")
+        new = spark.read.schema(chained.schema).parquet(f"{path}/entries/batch={batch_id}").groupBy(key).agg(F.max_by("row_hash", "chain_no").alias("row_hash"), F.max("chain_no").alias("n"))
+        tails.join(new, key, "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{path}/tails/batch={batch_id}")
+
+    return source.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return body.groupBy(key).applyInPandasWithState(fold, f"{key} string, {order} long, prev_hash string, row_hash string, chain_no long", "tail string, n long", "append", GroupStateTimeout.NoTimeout)
+def chain_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all batches."""
+    return spark.read.parquet(f"{path}/entries").drop("batch")
 
 
 def job_progress(events: DataFrame) -> DataFrame:
@@ -94,12 +94,6 @@ def verify_when_due(source: DataFrame, verify, checkpoint: str) -> StreamingQuer
     return source.writeStream.foreachBatch(lambda batch, _: verify(batch.sparkSession)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Run a stream over what there is, into parquet."""
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
 def run_updates(df: DataFrame, path: str, checkpoint: str) -> None:
     """Run an aggregating stream in update mode over what there is: each batch's changed rows, under its number."""
 

@@ -225,13 +225,45 @@ def test_late_entries_are_chained(spark, tmp_path):
     for batch, rows in enumerate([[(3, "a", "x"), (5, "a", "y")], [(1, "a", "late"), (4, "a", "late too"), (6, "b", "z")]]):
         spark.createDataFrame(rows, schema).write.mode("append" if batch else "overwrite").parquet(f"{tmp_path}/source")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/source")
-        jobs.run_to_table(jobs.append_chain_stream(stream, ["clinic_id", "response"]), f"{tmp_path}/table", f"{tmp_path}/state")
-    rows = spark.read.parquet(f"{tmp_path}/table")
+        jobs.append_chain_stream(stream, ["clinic_id", "response"], f"{tmp_path}/table", f"{tmp_path}/state").awaitTermination()
+    rows = jobs.chain_entries(spark, f"{tmp_path}/table")
     assert [r["seq"] for r in rows.where("clinic_id = 'a'").orderBy("chain_no").collect()] == [3, 5, 1, 4] and rows.count() == 5
     log = rows.join(spark.read.schema(schema).parquet(f"{tmp_path}/source").select("seq", "response"), "seq")
     assert all(r["intact"] for r in A.verify_chain(log, ["clinic_id", "response"], order="chain_no").collect())
 
 
+def test_a_batch_of_one_key_is_repeated_after_a_failure(spark, tmp_path, monkeypatch):
+    """The second batch, all of one key, dies between entries and tails; run again, no entry is lost or doubled."""
+    from pyspark.sql import DataFrameWriter
+
+    from scriptorium.streaming import jobs
+
+    fields, write = ["clinic_id", "response"], DataFrameWriter.parquet
+
+    def start():
+        stream = spark.readStream.schema("seq long, clinic_id string, response string").parquet(f"{tmp_path}/source")
+        jobs.append_chain_stream(stream, fields, f"{tmp_path}/table", f"{tmp_path}/state").awaitTermination()
+
+    def broken(self, path, *args, **kw):
+        if path.endswith("tails/batch=1"):
+            raise OSError("lost")
+        return write(self, path, *args, **kw)
+
+    made = lambda a, b: spark.range(a, b).select(F.col("id").alias("seq"), F.lit("big").alias("clinic_id"), F.col("id").cast("string").alias("response"))
+    made(0, 50).write.parquet(f"{tmp_path}/source")
+    start()
+    made(50, 30_000).repartition(6).write.mode("append").parquet(f"{tmp_path}/source")
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(Exception, match="lost"):
+        start()
+    monkeypatch.setattr(DataFrameWriter, "parquet", write)
+    start()
+    rows = jobs.chain_entries(spark, f"{tmp_path}/table")
+    log = rows.join(spark.read.parquet(f"{tmp_path}/source").select("seq", "response"), "seq")
+    [r] = A.verify_chain(log, fields, order="chain_no").collect()
+    assert r["intact"] and r["entries"] == r["through_seq"] == 30_000
+
+
 def test_long_aliases_match(spark):
     q = spark.createDataFrame([(1, "Dose of Low Molecular Weight Heparin today"), (2, "low weight"), (3, None)], "query_id long, text string")
     a = spark.createDataFrame([("low molecular weight heparin", "enoxaparin"), ("dose", "low weight")], "alias string, generic_name string")
