@@ -3,7 +3,7 @@
 A phrase is cut into overlapping runs of characters of one size: the largest of SIZES that it has room for.  Texts give up
 only the runs that some phrase has, so the index is as large as what is asked, not as the corpus: a map of bits of fixed
 size tells which those may be.  A phrase with a run that no text has is nowhere.  The others' candidates are the places of
-their rarest run, and the text around such a place decides.  Runs are known by a number: of one or two characters that is
+their rarest run, and the text around such a place decides.  Runs are known by a number: of up to three characters that is
 their code, of more a hash.
 """
 
@@ -20,22 +20,27 @@ from pyspark.sql.window import Window
 
 from scriptorium.shared import kept
 
-SIZES = (1, 2, 4, 8)
+SIZES = (1, 2, 3, 4, 8)
+EXACT = 3
 #: Bits of the map, keys that go to every task rather than through a shuffle, and characters that are worked on at once.
-BITS, FEW, SLICE = 22, 50_000, 1 << 20
+BITS, FEW, SLICE = 22, 300_000, 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def numbers(codes: np.ndarray, size: int) -> np.ndarray:
-    """The number of each run of `size` code points: size in the two highest bits, below them code or hash."""
+    """The number of each run of `size` code points: its code below 2^61 (shorter runs first), or a hash with 2^61 or 2^62 set."""
     n = max(0, len(codes) - size + 1)
-    h = np.zeros(n, np.uint64)
-    for k in range(size):
-        part = codes[k : k + n].astype(np.uint64)
-        h = (h << np.uint64(21)) | part if size <= 2 else (h ^ part) * _ODD
-        if size > 2:
-            h ^= h >> np.uint64(29)
-    return (h & np.uint64((1 << 60) - 1)) | np.uint64(SIZES.index(size) << 60)
+    if size <= EXACT:
+        h = np.zeros(n, np.uint64)
+        for k in range(size):
+            h = (h + np.uint64(k > 0)) * np.uint64(0x110000) + codes[k : k + n]
+        return h
+    h, width = codes.astype(np.uint64), 1
+    while width < size:  # halves of a run make the run
+        h = (h[:-width] * _ODD) ^ (h[width:] + (h[:-width] >> np.uint64(31)))
+        width *= 2
+    h = h[:n] * _ODD
+    return (h >> np.uint64(4)) | np.uint64((1 << 61) if size == 4 else (1 << 62))
 
 
 def _slices(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -86,13 +91,15 @@ def _bit_map(asked: DataFrame) -> np.ndarray:
 
 
 def index_texts(texts: DataFrame, columns: list[str], asked: DataFrame, reach: int | None = None) -> DataFrame:
-    """The runs of texts (columns, content) that are in asked (gram), and a few more.
+    """The runs of texts (columns, content) that are in asked (phrase, gram), and a few more.
 
     Without reach (columns, gram, n): how often each stands in a text.  With it (columns, gram, around): once for each
     place, with reach characters before and behind.
     """
     marks = texts.sparkSession.sparkContext.broadcast(_bit_map(asked))
-    sizes = [SIZES[r[0]] for r in asked.select(F.shiftright("gram", 60).cast("int").alias("s")).distinct().collect()]  # at most all SIZES
+    length = F.length("phrase")
+    size_of = F.coalesce(*[F.when(length >= s, F.lit(s)) for s in reversed(SIZES)])
+    sizes = [r[0] for r in asked.select(size_of.alias("s")).distinct().collect()]  # at most all SIZES
     rows = texts.select(*columns, F.lower("content").alias("content"))
     more = [T.StructField("n", T.LongType())] if reach is None else [T.StructField("around", T.StringType())]
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("gram", T.LongType()), *more])
@@ -103,10 +110,12 @@ def index_texts(texts: DataFrame, columns: list[str], asked: DataFrame, reach: i
             whole = batch.column("content").to_pylist()
             for i, _, codes, at in _slices(whole):
                 for size in sizes:
-                    gram, text, place = _places(codes, at, size)
-                    signed = gram.view(np.int64)
-                    there = bits[(signed ^ (signed >> 31)) & ((1 << BITS) - 1)]
-                    gram, text, place = signed[there], text[there] + i, place[there]
+                    signed = numbers(codes, size).view(np.int64)
+                    there = np.flatnonzero(bits[(signed ^ (signed >> 31)) & ((1 << BITS) - 1)])
+                    text = np.searchsorted(at, there, side="right") - 1
+                    inside = there + size <= at[text + 1]
+                    there, text = there[inside], text[inside]
+                    gram, place, text = signed[there], there - at[text], text + i
                     if reach is None:
                         order = np.lexsort((gram, text))
                         gram, text = gram[order], text[order]
@@ -151,8 +160,8 @@ def phrase_hits(phrases: DataFrame, texts: DataFrame, ids: list[str], keys: list
 
 
 def phrases_found(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """(phrase) the distinct lower-case phrases that a text of texts (content) holds; one that is a run of one or two
-    characters is found by its number, which is its code."""
+    """(phrase) the distinct lower-case phrases that a text of texts (content) holds; one of up to three characters
+    is found by its number, which is its code."""
     chosen = rarest(phrases, texts, [])
-    short = F.length("phrase") <= 2
+    short = F.length("phrase") <= EXACT
     return chosen.where(short).select("phrase").unionByName(_confirmed(chosen.where(~short), texts, [], []))

@@ -50,5 +50,8 @@ def test_ground_truth_by_page(spark, monkeypatch, few):
 
 
 def test_numbers_of_short_runs_are_their_codes():
-    codes = np.array([0, 1, 0x10FFFF, 97], np.uint32)
-    assert len({*P.numbers(codes, 1).tolist(), *P.numbers(codes, 2).tolist(), *P.numbers(codes, 4).tolist()}) == 8
+    codes = np.array([0, 1, 0x10FFFF, 97, 0, 0, 0x10FFFF, 0x10FFFF, 0x10FFFF], np.uint32)
+    of = {n: [tuple(codes[i : i + n].tolist()) for i in range(len(codes) - n + 1)] for n in P.SIZES}
+    known = {(run, int(x)) for n in P.SIZES for run, x in zip(of[n], P.numbers(codes, n).tolist(), strict=True)}
+    assert len(known) == len({x for _, x in known}) == len({run for run, _ in known})
+    assert max(P.numbers(codes, 3).tolist()) < 1 << 61 and max(P.numbers(codes, 8).tolist()) < 1 << 63
