@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.corpus import Corpus, with_views
+from scriptorium.functions.stems import STOP_WORDS, stems_sql
 from scriptorium.operators import search as S
+from scriptorium.operators.websearch import web_matches
 from scriptorium.plans.registry import query
 
 SEARCHABLE = """searchable AS (SELECT c.*, v.document_id, v.version_label, v.status, d.title, d.issuing_org, d.sector FROM chunks c JOIN versions v USING (version_id) JOIN docs d USING (document_id)
@@ -74,6 +76,48 @@ def e3_lexical_match(c: Corpus) -> DataFrame:
     return S.match_all(found, q).select("query_id", "chunk_id").distinct()
 
 
+_WEB = f"""web AS (SELECT query_id, CASE query_id % 5 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '"' || v[1] || ' ' || v[2] || '"' WHEN 2 THEN w[1] || ' or ' || w[2] || ' ' || w[3] WHEN 3 THEN w[1] || ' -' || w[2] ELSE '((' || w[1] || ' & :*<->|! "the ' || w[2] END AS text
+  FROM (SELECT conv_id * 1000 + turn AS query_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS w, regexp_extract_all(lower(text), '[a-z]+') AS v FROM conversations WHERE role = 'user')),
+texts AS (SELECT text, min(query_id) AS rep FROM web WHERE text IS NOT NULL GROUP BY text),
+cut AS (SELECT rep, regexp_extract_all(text, '-?"[^"]*"|[^\\s"]+') AS t FROM texts),
+pieces AS (SELECT rep, unnest(t) AS piece, generate_subscripts(t, 1) AS unit FROM cut),
+grouped AS (SELECT *, sum((piece = 'or')::INT) OVER (PARTITION BY rep ORDER BY unit) AS grp FROM pieces),
+units AS (SELECT rep, grp, unit, starts_with(piece, '-') AS negative, regexp_extract_all(piece, '[a-z0-9]+') AS w FROM grouped WHERE piece <> 'or'),
+spread AS (SELECT rep, grp, unit, negative, unnest(w) AS term, generate_subscripts(w, 1) AS off FROM units),
+terms AS (SELECT * FROM spread WHERE term NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})),
+places AS (SELECT chunk_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM (SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM searchable)),
+both_words AS (SELECT term FROM terms UNION SELECT term FROM places)"""
+_WEB_HITS = """asked AS (SELECT t.*, s.stem FROM terms t JOIN stems s USING (term)), posted AS (SELECT chunk_id, pos, stem FROM places JOIN stems USING (term) WHERE stem IN (SELECT stem FROM asked)),
+sizes AS (SELECT rep, grp, unit, negative, count(*) AS size FROM asked GROUP BY ALL),
+singles AS (SELECT DISTINCT a.rep, a.grp, a.unit, a.negative, p.chunk_id FROM asked a JOIN sizes USING (rep, grp, unit, negative) JOIN posted p USING (stem) WHERE size = 1),
+phrases AS (SELECT DISTINCT a.rep, a.grp, a.unit, a.negative, p.chunk_id FROM asked a JOIN sizes USING (rep, grp, unit, negative) JOIN posted p USING (stem) WHERE size > 1 GROUP BY a.rep, a.grp, a.unit, a.negative, size, p.chunk_id, p.pos - a.off HAVING count(DISTINCT a.off) = size),
+standing AS (SELECT * FROM singles UNION ALL SELECT * FROM phrases), need AS (SELECT rep, grp, count(*) AS units FROM sizes WHERE NOT negative GROUP BY ALL),
+full_hits AS (SELECT DISTINCT rep, chunk_id FROM (SELECT s.rep, s.grp, s.chunk_id FROM standing s JOIN need USING (rep, grp) GROUP BY s.rep, s.grp, s.chunk_id, units HAVING count(DISTINCT unit) FILTER (NOT negative) = units AND NOT bool_or(negative)))"""
+
+
+@query(
+    "e3_websearch",
+    f"{with_views('docs', 'versions', 'chunks')}, {SEARCHABLE}, {_WEB}, {stems_sql('both_words')}, {_WEB_HITS} SELECT w.query_id, count(h.chunk_id) AS hits, min(h.chunk_id) AS first_chunk, max(h.chunk_id) AS last_chunk, coalesce(CAST(sum(h.chunk_id) AS BIGINT), 0) AS sum_ids FROM web w LEFT JOIN texts USING (text) LEFT JOIN full_hits h USING (rep) GROUP BY w.query_id",
+)
+def e3_websearch(c: Corpus) -> DataFrame:
+    """Every user's turn as a web query: two words, a phrase, `or`, an exclusion, or hostile punctuation with an open quote."""
+    i = F.col("query_id") % 5
+    w = lambda k: F.get("w", F.lit(k - 1))
+    v = lambda k: F.get("v", F.lit(k - 1))
+    said = c.table("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), *[F.regexp_extract_all(F.lower("text"), F.lit(p), F.lit(0)).alias(n) for n, p in (("w", "[a-z]{4,}"), ("v", "[a-z]+"))])
+    text = (
+        F.when(i == 0, F.concat(w(1), F.lit(" "), w(2)))
+        .when(i == 1, F.concat(F.lit('"'), v(1), F.lit(" "), v(2), F.lit('"')))
+        .when(i == 2, F.concat(w(1), F.lit(" or "), w(2), F.lit(" "), w(3)))
+        .when(i == 3, F.concat(w(1), F.lit(" -"), w(2)))
+        .otherwise(F.concat(F.lit("(("), w(1), F.lit(' & :*<->|! "the '), w(2)))
+    )
+    web = said.select("query_id", text.alias("text"))
+    hits = web_matches(_searchable(c).select("chunk_id", "content"), web)
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"), F.sum("chunk_id").alias("sum_ids"))
+    return web.select("query_id").join(n, "query_id", "left").withColumns({"hits": F.coalesce("hits", F.lit(0)), "sum_ids": F.coalesce("sum_ids", F.lit(0))})
+
+
 def _covers(c: Corpus) -> DataFrame:
     q = c.questions()
     found = S.postings(S.searchable(c.chunks(), c.versions(), c.documents(), None), q.select(F.explode("terms").alias("term")))
