@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from scriptorium.functions.text import normalise_quote
+
 GENESIS = "0" * 64
 LEGAL_BASES = ["consent_withdrawn", "objection", "unlawful_processing", "legal_obligation", "no_longer_needed"]
 ENTRY = ["actor_id", "chunk_ids", "clinic_id", "created_at", "error", "response"]
@@ -145,13 +147,30 @@ def in_range(log: DataFrame, clinic: str, actor: str | None = None, since=None,
     return out
 
 
-def export(log: DataFrame, chunks: DataFrame, quotes: DataFrame, verified: DataFrame) -> DataFrame:
+def export(log: DataFrame, chunks: DataFrame, quotes: DataFrame, verified: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     """Entries with their sources as they are today: the ids that no longer resolve, and whether every quote still stands.
 
-    quotes: (seq, chunk_id, quote).  evidential: the chain is intact, every quote matches and every source resolves.
+    quotes: (seq, chunk_id, quote); gone counts those whose passage no longer exists, changed those that their passage no
+    longer holds, spaces aside.  evidential: the chain is intact, every quote matches and every source resolves.
+
+    With queries (query_id, text, text_salt, redacted_at) and a log that has query_id and query_hash, entries carry their
+    question, null once it is erased, when it was erased, whether its hash can be verified, which takes the salt, and if so
+    whether it is the question's.  An entry whose query is unknown can't be verified.
     """
-    cited = log.select("seq", F.posexplode("chunk_ids").alias("i", "chunk_id")).join(chunks.select("chunk_id", F.lit(True).alias("there"), "content"), "chunk_id", "left")
-    sources = cited.groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.struct("i", "chunk_id")))), lambda x: x["chunk_id"]).alias("missing"))
-    told = quotes.join(chunks.select("chunk_id", "content"), "chunk_id", "left").groupBy("seq").agg(F.count(F.lit(1)).alias("quotes"), F.bool_and(F.coalesce(F.contains("content", "quote"), F.lit(False))).alias("match"))
-    out = log.select("seq", "clinic_id", "actor_id", "created_at").join(sources, "seq", "left").join(told, "seq", "left").join(verified.select("clinic_id", "intact"), "clinic_id", "left")
-    return out.withColumns({"missing": F.coalesce("missing", F.expr("cast(array() as array<bigint>)")), "quotes": F.coalesce("quotes", F.lit(0)), "match": F.coalesce("match", F.lit(True))}).withColumn("evidential", F.col("intact") & F.col("match") & (F.size("missing") == 0))
+    ids = log.select("seq", F.posexplode("chunk_ids").alias("i", "chunk_id"))
+    there = chunks.select("chunk_id", "content", F.lit(True).alias("there"))
+    sources = ids.join(there.drop("content"), "chunk_id", "left").groupBy("seq").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.struct("i", "chunk_id")))), lambda x: x["chunk_id"]).alias("missing"))
+    told = quotes.join(there, "chunk_id", "left")
+    stands = F.coalesce(F.contains(normalise_quote(F.col("content")), normalise_quote(F.col("quote"))), F.lit(False))
+    told = told.groupBy("seq").agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("there").isNull()).alias("gone"), F.count_if(F.col("there").isNotNull() & ~stands).alias("changed"))
+    asked = queries is not None
+    out = log.select("seq", "clinic_id", "actor_id", "created_at", *(["query_id", "query_hash"] if asked else []))
+    out = out.join(sources, "seq", "left").join(told, "seq", "left").join(verified.select("clinic_id", "intact"), "clinic_id", "left")
+    none = F.expr("cast(array() as array<bigint>)")
+    out = out.withColumns({"missing": F.coalesce("missing", none), **{c: F.coalesce(c, F.lit(0)) for c in ("quotes", "gone", "changed")}})
+    out = out.withColumn("match", F.col("gone") + F.col("changed") == 0).withColumn("evidential", F.col("intact") & F.col("match") & (F.size("missing") == 0))
+    if not asked:
+        return out
+    q = queries.select("query_id", F.col("text").alias("question"), "text_salt", "redacted_at")
+    out = out.join(q, "query_id", "left").withColumn("hash_verifiable", F.col("text_salt").isNotNull())
+    return out.withColumn("hash_matches", F.when(F.col("hash_verifiable"), salted_hash(F.col("text_salt"), F.col("question")) == F.col("query_hash"))).drop("text_salt")

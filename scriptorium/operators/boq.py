@@ -156,6 +156,29 @@ def cost_groups(rows: DataFrame, levels: int = 4) -> DataFrame:
     return out.drop(*[f"__{k}" for k in range(1, levels + 1)])
 
 
+def group_totals(entries: DataFrame) -> DataFrame:
+    """entries (file_id, kind, kg, amount, printed) summed along the path of headings and held against what they print.
+
+    (file_id, path, level, positions, total, printed, state) for every heading that a path names, and for the whole file
+    (level 0).  Positions are summed by path first, so a path of any depth is spread once a path and not once a position.
+    Unpriced positions count 0; a skipped level is no heading; headings with the same path are one, their printed amounts
+    summed.  state: not_printed, agrees, or differs (by more than the tolerance).
+    """
+    zero = F.lit(0).cast("decimal(18,2)")
+    position = F.col("kind") == "position"
+    at = entries.groupBy("file_id", "kg").agg(
+        F.count_if(position).alias("positions"),
+        F.sum(F.when(position, F.coalesce("amount", zero))).alias("total"),
+        F.sum(F.when(F.col("kind") == "kg", F.col("printed"))).alias("printed"),
+    )
+    up = F.transform(F.sequence(F.lit(0), F.size("kg")), lambda n: F.slice("kg", F.lit(1), n))
+    spread = at.withColumn("path", F.explode(up)).where((F.size("path") == 0) | (F.get("path", F.size("path") - 1) != ""))
+    own = F.col("path") == F.col("kg")
+    out = spread.groupBy("file_id", "path").agg(F.sum("positions").alias("positions"), F.coalesce(F.sum("total"), zero).cast("decimal(38,2)").alias("total"), F.sum(F.when(own, F.col("printed"))).cast("decimal(38,2)").alias("printed"))
+    state = F.when(F.col("printed").isNull(), "not_printed").when(F.abs(F.col("printed") - F.col("total")) <= TOLERANCE, "agrees").otherwise("differs")
+    return out.select("file_id", "path", F.size("path").cast("long").alias("level"), "positions", "total", "printed", state.alias("state"))
+
+
 def fold_continuations(rows: DataFrame) -> DataFrame:
     """rows (file_id, row_no, is_position, text): positions with the text of the rows that follow, joined by line feeds."""
     w = Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -50,6 +50,22 @@ def assemble(selections: DataFrame, hits: DataFrame, limit: int = 12) -> tuple[D
     return j.where(F.col("chunk_id").isNotNull()), dropped
 
 
+def answer_reasons(selections: DataFrame, hits: DataFrame, queries: DataFrame, limit: int = 12) -> DataFrame:
+    """One row a query: its citations, editions among them, selections out of range, and why there is no answer.
+
+    hits (query_id, chunk_id, version_id, rank).  Without a hit there are no_relevant_sources; with hits, but no selection
+    of one that is shown, the sources_do_not_answer.
+    """
+    cited, dropped = assemble(selections, hits, limit)
+    n = cited.groupBy("query_id").agg(F.count(F.lit(1)).alias("citations"), F.count_distinct("version_id").alias("editions"))
+    any_hit = hits.select("query_id", F.lit(True).alias("__hit")).distinct()
+    out = queries.select("query_id").distinct().join(any_hit, "query_id", "left").join(n, "query_id", "left").join(dropped, "query_id", "left")
+    why = F.when(F.col("__hit").isNull(), "no_relevant_sources").when(F.col("citations").isNull(), "sources_do_not_answer")
+    # a query without hits showed nothing that a selection could miss
+    missed = F.when(F.col("__hit").isNotNull(), F.coalesce("out_of_range", F.lit(0))).otherwise(0).cast("long")
+    return out.select("query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("citations", "editions")], missed.alias("out_of_range"), why.alias("no_answer_reason"))
+
+
 def grams(text: Column, n: int = GRAM) -> Column:
     """Distinct runs of n lower-case ASCII words; none for a shorter text."""
     w = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
@@ -57,7 +73,10 @@ def grams(text: Column, n: int = GRAM) -> Column:
 
 
 def diagnose(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
-    """quotes (quote_id, quote, cited, others array<string>) with verdict, n_grams, in_cited and elsewhere.
+    """quotes (quote_id, quote, cited, others array<string>) with verdict, n_grams, in_cited, elsewhere, passage and overlap.
+
+    passage is the 1-based place in others of the first that holds a mis-cited quote, overlap the share of the quote's
+    distinct words that the cited text has (0 without words).
 
     corpus (content) is the searchable text.  Its grams meet the quotes' by equality, and only those: the distinct grams
     of the quotes decide what is kept of the corpus.
@@ -70,19 +89,22 @@ def diagnose(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     elsewhere = wanted.join(found, "gram", "left_semi").groupBy("quote_id").agg(F.count(F.lit(1)).alias("elsewhere"))
     rows = rows.join(elsewhere, "quote_id", "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(0)))
     shared = F.size(F.array_intersect("__g", "__c"))
-    other = F.exists(F.coalesce("others", F.expr("cast(array() as array<string>)")), lambda p: F.contains(normalise_quote(p, True), normalise_quote(q, True)))
+    holds = F.transform(F.coalesce("others", F.expr("cast(array() as array<string>)")), lambda p: F.coalesce(F.contains(normalise_quote(p, True), normalise_quote(q, True)), F.lit(False)))
+    place = F.nullif(F.array_position(holds, F.lit(True)), F.lit(0).cast("long"))
+    distinct = F.array_distinct(words)
+    overlap = F.round(F.size(F.array_intersect(distinct, F.regexp_extract_all(F.lower(c), F.lit(WORDS), F.lit(0)))) / F.greatest(F.size(distinct), F.lit(1)), 6)
     edge = strip_edges(q)
     verdict = (
         F.when(F.contains(c, q), "clean")
         .when(F.contains(normalise_quote(c), normalise_quote(q)), "typography")
         .when((edge != "") & F.contains(c, edge), "boundary")
-        .when(other, "mis_cited")
+        .when(place.isNotNull(), "mis_cited")
         .when(F.size(words) < GRAM, "paraphrase")
         .when(F.col("elsewhere") > 0, "synthesis")
         .when(shared == 0, "parametric_leak")
         .otherwise("paraphrase")
     )
-    return rows.select("quote_id", verdict.alias("verdict"), F.size("__g").cast("long").alias("n_grams"), shared.cast("long").alias("in_cited"), "elsewhere")
+    return rows.select("quote_id", verdict.alias("verdict"), F.size("__g").cast("long").alias("n_grams"), shared.cast("long").alias("in_cited"), "elsewhere", F.when(verdict == "mis_cited", place).alias("passage"), overlap.alias("overlap"))
 
 
 def exists_in(phrases: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -135,6 +157,43 @@ def report(judged: DataFrame) -> DataFrame:
     return by.join(rate, "expect")
 
 
+def rates(judged: DataFrame, tag: str) -> DataFrame:
+    """(expect, measure, good, total, rate) of verdicts with groups, tags, rejected and diagnoses, never folded into one number.
+
+    judged: verdict's columns, tags array<string>, rejected (quotes), diagnoses array<struct<verdict, is_invention>>.
+    Answered questions are split by tag; off-source answers count among questions that name pages.  Errors are in no
+    rate, but their rejected quotes count.  good and rate are null where there is only a count, in total.
+    """
+    right = F.col("verdict") != "error"
+    answered = F.col("groups") > 0
+    tagged = F.array_contains(F.coalesce("tags", F.expr("cast(array() as array<string>)")), tag)
+    paged = F.size(F.coalesce("expect_pages", F.expr("cast(array() as array<bigint>)"))) > 0
+    of = lambda kind: right & (F.col("expect") == kind)
+    measures = [
+        ("answerable", "answered", of("answerable"), answered),
+        ("answerable", "answered_off_source", of("answerable") & paged, F.col("verdict") == "answered_off_source"),
+        ("answerable", f"answered_with_{tag}", of("answerable") & tagged, answered),
+        ("answerable", f"answered_without_{tag}", of("answerable") & ~tagged, answered),
+        ("not_covered", "correctly_declined", of("not_covered"), ~answered),
+        ("withdrawn_source", "correctly_declined", of("withdrawn_source"), ~answered),
+        ("withdrawn_source", "leaked", of("withdrawn_source"), answered),
+    ]
+    found = F.coalesce("diagnoses", F.expr("cast(array() as array<struct<verdict: string, is_invention: boolean>>)"))
+    sums = judged.agg(
+        *[F.count_if(pool & good).alias(f"g{i}") for i, (_, _, pool, good) in enumerate(measures)],
+        *[F.count_if(pool).alias(f"t{i}") for i, (_, _, pool, _) in enumerate(measures)],
+        F.coalesce(F.sum("rejected"), F.lit(0)).cast("long").alias("rejected"),
+        F.coalesce(F.sum(F.size(F.filter(found, lambda d: d["is_invention"]))), F.lit(0)).cast("long").alias("inventions"),
+    )
+    none = F.lit(None).cast("long")
+    line = lambda e, m, g, t: F.struct(F.lit(e).alias("expect"), F.lit(m).alias("measure"), g.alias("good"), t.alias("total"))
+    lines = [line(e, m, F.col(f"g{i}"), F.col(f"t{i}")) for i, (e, m, _, _) in enumerate(measures)]
+    lines += [line("rejected", m, none, F.col(m)) for m in ("rejected", "inventions")]
+    by = judged.select(F.explode(found["verdict"]).alias("measure")).groupBy("measure").agg(F.count(F.lit(1)).alias("total"))
+    out = sums.select(F.inline(F.array(*lines))).unionByName(by.select(F.lit("rejected").alias("expect"), "measure", none.alias("good"), "total"))
+    return out.withColumn("rate", F.when(F.col("good").isNotNull(), F.concat_ws("/", "good", "total")))
+
+
 def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     """Questions whose verdict differs between two runs (id, verdict)."""
     o = old.select("id", F.col("verdict").alias("before"))

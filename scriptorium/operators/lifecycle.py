@@ -29,6 +29,24 @@ def register(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).select(*incoming.columns, "outcome")
 
 
+def with_documents(incoming: DataFrame, documents: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(incoming with document_id, documents to create): each work is looked up by clinic, organisation and title, null-safely.
+
+    An id is text: an existing document keeps its own, a new one has the md5 of its key, so the same work in two batches,
+    or in one run twice, is one document.  Sector and region come from the organisation (vocabulary: org, sector, region)
+    and never from incoming; without a sector it is medical.  An unknown organisation creates nothing: document_id is null.
+    """
+    key = ("clinic_id", "issuing_org", "title")
+    own = documents.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("document_id").cast("string").alias("__id")).groupBy(*[f"__{k}" for k in key]).agg(F.min("__id").alias("__id"))
+    v = vocabulary.select(F.col("org").alias("__org"), F.coalesce("sector", F.lit("medical")).alias("__sector"), F.col("region").alias("__region"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key])
+    rows = incoming.join(own, same, "left").join(v, F.col("issuing_org") == F.col("__org"), "left")
+    made = F.md5(F.to_json(F.struct(*key), {"ignoreNullFields": "false"}))
+    rows = rows.withColumn("__made", F.when(F.col("__id").isNull() & F.col("__org").isNotNull(), made))
+    new = rows.where("__made is not null").groupBy(F.col("__made").alias("document_id"), *key).agg(F.first("__sector").alias("sector"), F.first("__region").alias("region"))
+    return rows.select(*incoming.columns, F.when(F.col("__org").isNotNull(), F.coalesce("__id", "__made")).alias("document_id")), new
+
+
 def quarantine(versions: DataFrame) -> DataFrame:
     """A licence that nobody affirmed withdraws an edition once it is indexed."""
     return versions.withColumn("status", F.when(F.coalesce(F.col("license_status").isin("public_domain", "licensed"), F.lit(False)), F.col("status")).otherwise("withdrawn"))

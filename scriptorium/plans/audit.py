@@ -53,6 +53,20 @@ def i2_chain_verify(c: Corpus) -> DataFrame:
     return A.verify_chain(tampered(c), A.ENTRY)
 
 
+@query(
+    "j8_bounds_of_a_break",
+    f"""{with_views('audit')}, {_PAYLOAD}, {_CHAIN}, {_TAMPERED}, old AS (SELECT clinic_id, max(seq) AS through FROM paid WHERE created_at < TIMESTAMP '2024-01-16 00:00:00' GROUP BY clinic_id), r AS (SELECT clinic_id, count(*) AS entries, count(reason) = 0 AS intact, min(seq) FILTER (reason IS NOT NULL) AS first_broken, arg_min(reason, seq) FILTER (reason IS NOT NULL) AS reason FROM checked GROUP BY clinic_id)
+SELECT r.*, CASE WHEN NOT intact THEN through END AS intact_through, CASE WHEN NOT intact AND through IS NOT NULL THEN '2024-01-16' END AS intact_at FROM r LEFT JOIN old USING (clinic_id)""",
+)
+def j8_bounds_of_a_break(c: Corpus) -> DataFrame:
+    """The chains as they were in the middle of the month gave checkpoints; what broke later is bounded by them."""
+    then = kept(chained(c), "chained")
+    old, _ = A.checkpoint(A.verify_chain(then.where("created_at < timestamp '2024-01-16 00:00:00'"), A.ENTRY), then.select("clinic_id", F.lit(0).alias("id"), F.lit(0).cast("long").alias("verified_through_seq"), F.lit("").alias("verified_at")).where(F.lit(False)), F.lit("2024-01-16"), "scheduler")
+    previous = old.select("clinic_id", F.lit(1).alias("id"), "verified_through_seq", "verified_at")
+    _, report = A.checkpoint(A.verify_chain(tampered(c), A.ENTRY), previous, F.lit("2024-02-01"), "scheduler")
+    return report
+
+
 @query(
     "j8_verify_and_checkpoint",
     f"{with_views('audit')}, {_PAYLOAD}, {_CHAIN}, {_TAMPERED} SELECT clinic_id, max(seq) AS verified_through_seq, arg_max(row_hash, seq) AS tail_row_hash, count(*) AS entries_verified FROM checked GROUP BY clinic_id HAVING count(reason) = 0",
@@ -134,6 +148,35 @@ def j7_audit_export(c: Corpus) -> DataFrame:
     return out.select("seq", "clinic_id", F.array_join(F.col("missing").cast("array<string>"), ",").alias("missing"), "match", "evidential")
 
 
+@query(
+    "j7_export_with_questions",
+    f"""{with_views('chunks', 'audit')}, {_PAYLOAD}, {_CHAIN}, {_TAMPERED}, intact AS (SELECT clinic_id, count(reason) = 0 AS intact FROM checked GROUP BY clinic_id),
+q AS (SELECT conv_id * 1000 + turn AS query_id, any_value(CASE WHEN conv_id % 3 <> 0 THEN text END) AS question, any_value(CASE WHEN conv_id % 3 <> 0 THEN 'salt' || conv_id END) AS salt, any_value(conv_id % 3 = 0) AS erased FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT a.seq, a.clinic_id, CAST(substr(a.clinic_id, 7) AS BIGINT) * 1000 + a.seq % 3 AS query_id, a.chunk_ids, c.content FROM audit a LEFT JOIN chunks c ON c.chunk_id = a.chunk_ids[1]),
+s AS (SELECT seq, count(*) FILTER (c.content IS NULL) AS missing FROM (SELECT seq, unnest(chunk_ids) AS chunk_id FROM audit) LEFT JOIN chunks c USING (chunk_id) GROUP BY seq)
+SELECT e.seq, e.query_id, sha256(q.question) AS question_sha256, q.erased AS erased, q.salt IS NOT NULL AS hash_verifiable, CASE WHEN q.salt IS NOT NULL THEN e.seq % 7 <> 0 END AS hash_matches, CASE WHEN content IS NULL THEN 1 ELSE 0 END AS gone, CASE WHEN content IS NOT NULL AND e.seq % 6 = 0 THEN 1 ELSE 0 END AS changed,
+  i.intact AND content IS NOT NULL AND e.seq % 6 <> 0 AND s.missing = 0 AS evidential FROM e JOIN s USING (seq) JOIN intact i USING (clinic_id) LEFT JOIN q USING (query_id)""",
+)
+def j7_export_with_questions(c: Corpus) -> DataFrame:
+    """Entries with the turn that asked: a third of the turns are erased, some are unknown, and every seventh entry has
+    another text's hash; quotes are told with other spaces than their passage has."""
+    said = c.table("conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    live = F.col("conv_id") % 3 != 0
+    salt = F.concat(F.lit("salt"), F.col("conv_id"))
+    asked = said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", salt.alias("salt"), live.alias("live"))
+    queries = asked.select("query_id", F.when(F.col("live"), F.col("text")).alias("text"), F.when(F.col("live"), F.col("salt")).alias("text_salt"), F.when(~F.col("live"), F.lit("2024-03-01").cast("timestamp")).alias("redacted_at"))
+    query_id = F.substring("clinic_id", 7, 20).cast("long") * 1000 + F.col("seq") % 3
+    log, chunks = c.audit_log().withColumn("query_id", query_id), c.chunks()
+    taken = F.when(F.col("seq") % 7 == 0, "other").otherwise(A.salted_hash(F.col("salt"), F.col("text")))
+    log = log.join(asked, "query_id", "left").withColumn("query_hash", taken).drop("text", "salt", "live")
+    first = log.select("seq", F.col("chunk_ids")[0].alias("chunk_id")).join(chunks.select("chunk_id", "content"), "chunk_id", "left")
+    quote = F.concat(F.lit(" "), F.replace(F.substring("content", 1, 30), F.lit(" "), F.lit("  ")), F.lit("\n"))
+    quotes = first.select("seq", "chunk_id", F.when(F.col("seq") % 6 == 0, "fabricated words").otherwise(quote).alias("quote"))
+    out = A.export(log, chunks, quotes, A.verify_chain(tampered(c), A.ENTRY), queries)
+    erased = F.when(F.col("redacted_at").isNotNull(), True).when(F.col("hash_verifiable"), False)
+    return out.select("seq", "query_id", F.sha2("question", 256).alias("question_sha256"), erased.alias("erased"), "hash_verifiable", "hash_matches", "gone", "changed", "evidential")
+
+
 _CITATIONS = """cites AS (SELECT h.query_id, h.chunk_id, h.rank, CASE h.rank % 5 WHEN 0 THEN left(c.content, 30) WHEN 1 THEN '  ' || replace(left(c.content, 40), ' ', '  ') || chr(10) WHEN 2 THEN 'fabricated ' || left(c.content, 10) WHEN 3 THEN '  ' ELSE left(c.content, 30) END AS quote FROM hits h JOIN chunks c USING (chunk_id)
   UNION ALL SELECT query_id, -1, 99, 'x' FROM questions WHERE query_id % 3 = 0)"""
 _REASONS = """reasons AS (SELECT t.query_id, t.chunk_id, CASE WHEN c.content IS NULL THEN 'not_retrieved' WHEN trim(regexp_replace(quote, '\\s+', ' ', 'g')) = '' THEN 'empty' WHEN NOT contains(trim(regexp_replace(c.content, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'not_contained' END AS reason FROM cites t LEFT JOIN chunks c USING (chunk_id))"""
@@ -177,6 +220,21 @@ def j3_answer_assembly(c: Corpus) -> DataFrame:
     return out.select("query_id", "chunk_id", F.col("source").cast("long").alias("source"), (F.col("out_of_range") > 0).alias("dropped"))
 
 
+@query(
+    "j3_answer_reasons",
+    f"""{with_views('docs', 'versions', 'chunks', 'questions')}, {PS.SEARCHABLE}, {PS._POSTINGS}, {PS._LEXICAL}, sel AS (SELECT query_id, unnest([query_id % 14, query_id % 14 + 2]) AS source FROM questions WHERE query_id % 5 <> 0),
+h AS (SELECT query_id, count(*) AS hits FROM lexical_hits GROUP BY ALL), j AS (SELECT s.query_id, l.chunk_id, c.version_id FROM sel s LEFT JOIN lexical_hits l ON l.query_id = s.query_id AND l.rank = s.source AND l.rank <= 12 LEFT JOIN chunks c USING (chunk_id)),
+n AS (SELECT query_id, count(chunk_id) AS citations, count(DISTINCT version_id) AS editions, count(*) - count(chunk_id) AS missed FROM j GROUP BY ALL)
+SELECT q.query_id, coalesce(citations, 0) AS citations, coalesce(editions, 0) AS editions, CASE WHEN hits IS NULL THEN 0 ELSE coalesce(missed, 0) END AS out_of_range, CASE WHEN hits IS NULL THEN 'no_relevant_sources' WHEN coalesce(citations, 0) = 0 THEN 'sources_do_not_answer' END AS no_answer_reason FROM (SELECT DISTINCT query_id FROM questions) q LEFT JOIN h USING (query_id) LEFT JOIN n USING (query_id)""",
+)
+def j3_answer_reasons(c: Corpus) -> DataFrame:
+    """Two selections a question from its lexical hits, some of them of no hit; every fifth question selects nothing."""
+    q = c.questions()
+    sel = q.where("query_id % 5 <> 0").select("query_id", F.explode(F.array(F.col("query_id") % 14, F.col("query_id") % 14 + 2)).alias("source"))
+    hits = kept(S.lexical_top_k(PS._covers(c)).join(c.chunks().select("chunk_id", "version_id"), "chunk_id").select("query_id", "chunk_id", "version_id", "rank"), "hits")
+    return C.answer_reasons(sel, hits, q)
+
+
 _GRAMS = "list_distinct(list_transform(range(1, len({w}) - 2), lambda i: array_to_string({w}[i:i + 3], ' ')))"
 _QUOTES = f"""quotes AS (SELECT b.item_id AS quote_id, b.text AS quote, d.text AS cited, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS qw, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS cw FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3),
 gq AS (SELECT *, CASE WHEN len(qw) >= 4 THEN {_GRAMS.format(w="qw")} ELSE [] END AS g, CASE WHEN len(cw) >= 4 THEN {_GRAMS.format(w="cw")} ELSE [] END AS cg FROM quotes),
@@ -193,7 +251,25 @@ CASE WHEN contains(cited, quote) THEN 'clean' WHEN contains(trim(regexp_replace(
 def i5_quote_diagnosis(c: Corpus) -> DataFrame:
     b = c.table("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), (F.col("item_id") * 3).alias("doc_id"))
     quotes = b.join(c.table("documents").select("doc_id", F.col("text").alias("cited")), "doc_id").withColumn("others", F.expr("cast(array() as array<string>)"))
-    return C.diagnose(quotes, S.searchable(c.chunks(), c.versions(), c.documents(), None))
+    return C.diagnose(quotes, S.searchable(c.chunks(), c.versions(), c.documents(), None)).drop("passage", "overlap")
+
+
+@query(
+    "i5_other_passages",
+    """WITH q AS (SELECT b.item_id AS quote_id, b.text AS quote, d.text AS cited, o.text AS other, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS w, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS cw FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3 JOIN documents o ON o.doc_id = b.item_id * 3 + 1),
+n AS (SELECT *, trim(regexp_replace(nfc_normalize(quote), '\\s+', ' ', 'g')) AS nq, trim(regexp_replace(nfc_normalize(cited), '\\s+', ' ', 'g')) AS nc, trim(regexp_replace(nfc_normalize(other), '\\s+', ' ', 'g')) AS no FROM q),
+v AS (SELECT *, contains(cited, quote) OR contains(nc, nq) OR contains(cited, trim(quote, ' .,;:"''()[]“”‘’')) AS stands, CASE WHEN contains(no, nq) THEN 1 WHEN quote_id % 3 = 0 THEN 2 END AS place FROM n)
+SELECT quote_id, NOT stands AND place IS NOT NULL AS mis_cited, CASE WHEN NOT stands THEN CAST(place AS BIGINT) END AS passage, round(len(list_intersect(list_distinct(w), list_distinct(cw))) / greatest(len(list_distinct(w)), 1), 6) AS overlap FROM v""",
+)
+def i5_other_passages(c: Corpus) -> DataFrame:
+    """Quotes beside two other passages: the next document and, for every third, one that holds the quote with other spaces."""
+    b = c.table("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), (F.col("item_id") * 3).alias("doc_id"))
+    d = c.table("documents")
+    told = F.when(F.col("quote_id") % 3 == 0, F.concat(F.lit("It says: "), F.replace("quote", F.lit(" "), F.lit("  ")), F.lit("\n as before"))).otherwise("nothing")
+    quotes = b.join(d.select("doc_id", F.col("text").alias("cited")), "doc_id").join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    quotes = quotes.withColumn("others", F.array("other", told)).drop("other")
+    out = C.diagnose(quotes, S.searchable(c.chunks(), c.versions(), c.documents(), None))
+    return out.select("quote_id", (F.col("verdict") == "mis_cited").alias("mis_cited"), "passage", "overlap")
 
 
 @query(
@@ -240,6 +316,27 @@ def h9_evaluation_report(c: Corpus) -> DataFrame:
     return C.report(C.verdict(outcomes(c))).select("expect", "verdict", "n", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "rate")
 
 
+_TAGGED = """t AS (SELECT j.*, id % 4 = 1 AS tagged, id % 3 AS rejected, CASE id % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['typography'] ELSE ['parametric_leak', 'boundary'] END AS diagnoses FROM judged j)"""
+
+
+@query(
+    "h9_rates",
+    f"""WITH {_OUTCOMES}, {_TAGGED}, ok AS (SELECT * FROM t WHERE verdict <> 'error'),
+m AS (SELECT 'answerable' AS expect, 'answered' AS measure, count(*) FILTER (groups > 0) AS good, count(*) AS total FROM ok WHERE expect = 'answerable' UNION ALL SELECT 'answerable', 'answered_off_source', count(*) FILTER (verdict = 'answered_off_source'), count(*) FROM ok WHERE expect = 'answerable' AND len(expect_pages) > 0
+UNION ALL SELECT 'answerable', 'answered_with_glyphs', count(*) FILTER (groups > 0), count(*) FROM ok WHERE expect = 'answerable' AND tagged UNION ALL SELECT 'answerable', 'answered_without_glyphs', count(*) FILTER (groups > 0), count(*) FROM ok WHERE expect = 'answerable' AND NOT tagged
+UNION ALL SELECT 'not_covered', 'correctly_declined', count(*) FILTER (groups = 0), count(*) FROM ok WHERE expect = 'not_covered' UNION ALL SELECT 'withdrawn_source', 'correctly_declined', count(*) FILTER (groups = 0), count(*) FROM ok WHERE expect = 'withdrawn_source' UNION ALL SELECT 'withdrawn_source', 'leaked', count(*) FILTER (groups > 0), count(*) FROM ok WHERE expect = 'withdrawn_source'
+UNION ALL SELECT 'rejected', 'rejected', NULL, CAST(sum(rejected) AS BIGINT) FROM t UNION ALL SELECT 'rejected', 'inventions', NULL, count(*) FILTER (list_contains(diagnoses, 'parametric_leak')) FROM t UNION ALL SELECT 'rejected', d, NULL, count(*) FROM (SELECT unnest(diagnoses) AS d FROM t) GROUP BY d)
+SELECT *, good || '/' || total AS rate FROM m""",
+)
+def h9_rates(c: Corpus) -> DataFrame:
+    i = F.col("id")
+    leak = lambda v, bad: F.struct(F.lit(v).alias("verdict"), F.lit(bad).alias("is_invention"))
+    none = F.expr("cast(array() as array<struct<verdict: string, is_invention: boolean>>)")
+    found = F.when(i % 3 == 0, none).when(i % 3 == 1, F.array(leak("typography", False))).otherwise(F.array(leak("parametric_leak", True), leak("boundary", False)))
+    tagged = C.verdict(outcomes(c)).withColumns({"tags": F.when(i % 4 == 1, F.array(F.lit("glyphs"), F.lit("table"))).when(i % 4 == 2, F.array(F.lit("table"))), "rejected": i % 3, "diagnoses": found})
+    return C.rates(tagged, "glyphs")
+
+
 @query("a8_run_comparison", f"WITH {_OUTCOMES}, n AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'error' ELSE verdict END AS after FROM judged WHERE id % 31 <> 0) SELECT coalesce(j.id, n.id) AS id, verdict AS before, after FROM judged j FULL OUTER JOIN n USING (id) WHERE verdict IS DISTINCT FROM after")
 def a8_run_comparison(c: Corpus) -> DataFrame:
     old = C.verdict(outcomes(c))

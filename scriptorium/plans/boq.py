@@ -67,6 +67,33 @@ def h14_cost_group_rollup(c: Corpus) -> DataFrame:
     return p.rollup("g1", "g2").agg(F.sum("line_total").alias("total"), (F.grouping("g1").cast("long") + F.grouping("g2").cast("long")).alias("level")).select("g1", "g2", "total", "level")
 
 
+_PART = "sum(CAST(l_extendedprice AS DECIMAL(18,2))) FILTER (l_returnflag {0})"
+
+
+@query(
+    "h14_printed_totals",
+    f"""WITH o AS (SELECT l_orderkey AS file_id, {_PART.format(">= 'A'")} AS t, {_PART.format("IN ('A', 'R')")} AS ar, {_PART.format("= 'R'")} AS r, count(*) AS n, count(*) FILTER (l_returnflag IN ('A', 'R')) AS n_ar, count(*) FILTER (l_returnflag = 'R') AS n_r, bool_or(l_returnflag = 'A') AS a FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT file_id, '' AS path, 0 AS level, n AS positions, t AS total, NULL AS printed FROM o UNION ALL SELECT file_id, 'Order', 1, n, t, t + CASE WHEN file_id % 4 = 0 THEN 1 ELSE 0 END FROM o
+UNION ALL SELECT file_id, 'Order/A', 2, n_ar, ar, ar - 0.01 FROM o WHERE a UNION ALL SELECT file_id, CASE WHEN a THEN 'Order/A/R' ELSE 'Order//R' END, 3, n_r, r, CASE WHEN file_id % 2 = 0 THEN r END FROM o WHERE n_r > 0)
+SELECT file_id, path, level, positions, CAST(total AS DOUBLE) AS total, CAST(printed AS DOUBLE) AS printed, CASE WHEN printed IS NULL THEN 'not_printed' WHEN abs(printed - total) <= 0.02 THEN 'agrees' ELSE 'differs' END AS state FROM p""",
+)
+def h14_printed_totals(c: Corpus) -> DataFrame:
+    """Every order as a tender of three levels of headings, of which one or two may be missing: kept items stand right under the order,
+    accepted ones under A, returned ones under R, which is part of A where there is one.  Every fourth order's amount is wrong."""
+    i = c.table("lineitem").select(F.col("l_orderkey").alias("file_id"), F.col("l_returnflag").alias("f"), F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"))
+    part = lambda *f: F.sum(F.when(F.col("f").isin(*f), F.col("amount")))
+    o = i.groupBy("file_id").agg(F.sum("amount").alias("t"), part("A", "R").alias("ar"), part("R").alias("r"), F.bool_or(F.col("f") == "A").alias("a"))
+    k = F.col("file_id")
+    head = lambda rank, level, name, printed, there: F.when(there, F.struct(F.lit(rank).alias("rank"), F.lit(level).alias("level"), F.lit(name).alias("heading"), printed.cast("decimal(20,2)").alias("printed")))
+    heads = F.array_compact(F.array(head(0, 1, "Order", F.col("t") + F.when(k % 4 == 0, 1).otherwise(0), F.lit(True)), head(2, 2, "A", F.col("ar") - F.lit("0.01").cast("decimal(3,2)"), F.col("a")), head(4, 3, "R", F.when(k % 2 == 0, F.col("r")), F.col("r").isNotNull())))
+    heads = o.select("file_id", F.inline(heads)).withColumns({"kind": F.lit("kg"), "amount": F.lit(None).cast("decimal(18,2)")})
+    place = F.when(F.col("f") == "A", 3).when(F.col("f") == "R", 5).otherwise(1)
+    rows = i.select("file_id", place.alias("rank"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("decimal(20,2)").alias("printed"), F.lit("position").alias("kind"), "amount").unionByName(heads)
+    rows = rows.withColumn("row_no", F.row_number().over(Window.partitionBy("file_id").orderBy("rank", "amount")))
+    out = B.group_totals(B.cost_groups(rows, 3))
+    return out.withColumns({"path": F.array_join("path", "/"), "total": F.col("total").cast("double"), "printed": F.col("printed").cast("double")})
+
+
 # One order is a sheet: a header, then a row a line item, written German, English or undecided by the order's key.
 _NUM = "CASE file_id % 3 WHEN 0 THEN replace(replace(replace(printf('%,.2f', {v}), ',', '#'), '.', ','), '#', '.') WHEN 1 THEN printf('%,.2f', {v}) ELSE CAST(CAST(floor({v}) AS BIGINT) AS VARCHAR) END"
 

@@ -11,6 +11,7 @@ from scriptorium.functions import text as X
 from scriptorium.operators import layout as Y
 from scriptorium.operators.indexing import activate, index_run, indexed_chunks, outcomes
 from scriptorium.operators import lifecycle as L
+from scriptorium.operators import repair as R
 from scriptorium.plans.registry import query
 
 # Lines made into the shapes that the rules look for, by arithmetic on their place.
@@ -363,15 +364,55 @@ def g9_reference_flags(c: Corpus) -> DataFrame:
     return s.groupBy("issuing_org").agg(F.count(F.lit(1)).alias("total"), F.count_if("flag").alias("refs"), F.round(100.0 * F.count_if("flag") / F.count(F.lit(1)), 2).alias("percent"), F.count_if(F.col("flag") != F.col("was")).alias("changed"))
 
 
+_VOCAB = "vocab AS (SELECT 'src' || k AS org, CASE WHEN k = 4 THEN 'legal' WHEN k % 3 = 0 THEN NULL ELSE 'medical' END AS sector, CASE WHEN k % 2 = 0 THEN 'EU' ELSE 'US' END AS region FROM range(0, 15) r(k))"
+
+
+def vocabulary(c: Corpus) -> DataFrame:
+    """Fifteen of the twenty organisations, some without a sector."""
+    k = F.col("id")
+    return c.spark.range(15).select(F.concat(F.lit("src"), k).alias("org"), F.when(k == 4, "legal").when(k % 3 == 0, None).otherwise("medical").alias("sector"), F.when(k % 2 == 0, "EU").otherwise("US").alias("region"))
+
+
+@query(
+    "g1_get_or_create",
+    f"""{with_views('docs')}, {_VOCAB}, i AS (SELECT doc_id AS seq, 'src' || (doc_id // 3 % 20) AS issuing_org, CASE WHEN doc_id % 3 = 0 THEN 'Guideline ' || (doc_id // 3) ELSE 'New work ' || (doc_id // 30) END AS title, CASE WHEN doc_id // 3 % 5 = 0 THEN 'c' || (doc_id // 3 % 7) END AS clinic_id FROM documents),
+j AS (SELECT i.seq, d.document_id AS own, v.org, coalesce(v.sector, 'medical') AS s, v.region AS r, md5('{{"clinic_id":' || coalesce('"' || i.clinic_id || '"', 'null') || ',"issuing_org":"' || i.issuing_org || '","title":"' || i.title || '"}}') AS made
+  FROM i LEFT JOIN docs d ON d.title = i.title AND d.issuing_org = i.issuing_org AND d.clinic_id IS NOT DISTINCT FROM i.clinic_id LEFT JOIN vocab v ON v.org = i.issuing_org)
+SELECT seq, CASE WHEN org IS NOT NULL THEN coalesce(CAST(own AS VARCHAR), made) END AS document_id, CASE WHEN own IS NULL AND org IS NOT NULL THEN s END AS sector, CASE WHEN own IS NULL AND org IS NOT NULL THEN r END AS region FROM j""",
+)
+def g1_get_or_create(c: Corpus) -> DataFrame:
+    """A third of the incoming editions belong to known works, the others to works that thirty of them share."""
+    i = F.col("doc_id")
+    d = F.floor(i / 3)
+    incoming = c.table("documents").select(
+        i.alias("seq"),
+        F.concat(F.lit("src"), d % 20).alias("issuing_org"),
+        F.when(i % 3 == 0, F.concat(F.lit("Guideline "), d)).otherwise(F.concat(F.lit("New work "), F.floor(i / 30))).alias("title"),
+        F.when(d % 5 == 0, F.concat(F.lit("c"), d % 7)).alias("clinic_id"),
+    )
+    found, new = L.with_documents(incoming, c.documents(), vocabulary(c))
+    return found.select("seq", "document_id").join(new.select("document_id", "sector", "region"), "document_id", "left")
+
+
+@query(
+    "g10_sector_repair",
+    f"""{with_views('docs')}, {_VOCAB} SELECT document_id, CASE WHEN v.org IS NULL THEN d.sector ELSE coalesce(v.sector, 'medical') END AS sector, CASE WHEN v.org IS NULL THEN 'unknown_org' ELSE 'ok' END AS state FROM docs d LEFT JOIN vocab v ON v.org = d.issuing_org""",
+)
+def g10_sector_repair(c: Corpus) -> DataFrame:
+    """The documents stored by organisation, repaired, and reported on again."""
+    path, docs, known = c.scratch("sectors"), c.documents(), vocabulary(c)
+    docs.write.partitionBy("issuing_org").parquet(path)
+    R.repair_sectors(c.spark, path, docs.schema, known)
+    return L.drift(c.spark.read.schema(docs.schema).parquet(path), known).select("document_id", "sector", "state")
+
+
 @query(
     "g10_sector_drift",
-    f"""{with_views('docs')}, vocab AS (SELECT 'src' || k AS org, CASE WHEN k = 4 THEN 'legal' WHEN k % 3 = 0 THEN NULL ELSE 'medical' END AS sector, CASE WHEN k % 2 = 0 THEN 'EU' ELSE 'US' END AS region FROM range(0, 15) r(k))
+    f"""{with_views('docs')}, {_VOCAB}
 SELECT document_id, coalesce(v.sector, CASE WHEN v.org IS NOT NULL THEN 'medical' END) AS derived, v.region, CASE WHEN v.org IS NULL THEN 'unknown_org' WHEN coalesce(v.sector, 'medical') <> d.sector THEN 'drift' ELSE 'ok' END AS state FROM docs d LEFT JOIN vocab v ON v.org = d.issuing_org""",
 )
 def g10_sector_drift(c: Corpus) -> DataFrame:
-    k = F.col("id")
-    vocab = c.spark.range(15).select(F.concat(F.lit("src"), k).alias("org"), F.when(k == 4, "legal").when(k % 3 == 0, None).otherwise("medical").alias("sector"), F.when(k % 2 == 0, "EU").otherwise("US").alias("region"))
-    return L.drift(c.documents(), vocab).select("document_id", "derived", "region", "state")
+    return L.drift(c.documents(), vocabulary(c)).select("document_id", "derived", "region", "state")
 
 
 @query(
@@ -379,9 +420,28 @@ def g10_sector_drift(c: Corpus) -> DataFrame:
     f"WITH {_HASH} SELECT h.version_id, CASE WHEN doc_id IS NULL THEN 'file_missing' WHEN regexp_full_match(file_hash, '[0-9a-f]{{12}}4[0-9a-f]{{3}}[89ab][0-9a-f]{{15}}0{{32}}') THEN 'placeholder' WHEN sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) = file_hash THEN 'ok' ELSE 'CONTENT_CHANGED' END AS state FROM h LEFT JOIN (SELECT * FROM documents WHERE doc_id % 8 <> 0) d ON d.doc_id = h.version_id",
 )
 def g11_hash_integrity(c: Corpus) -> DataFrame:
+    return L.hash_state(hashes(c), hashed_files(c), X.is_placeholder_hash(F.col("file_hash"))).select("version_id", "state")
+
+
+def hashed_files(c: Corpus) -> DataFrame:
+    """What the files hash to: an eighth are missing, a thirteenth have changed."""
     text = F.when(F.col("doc_id") % 13 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    files = c.table("documents").where("doc_id % 8 <> 0").select(F.col("doc_id").alias("version_id"), F.sha2(text, 256).alias("file_hash"))
-    return L.hash_state(hashes(c), files, X.is_placeholder_hash(F.col("file_hash"))).select("version_id", "state")
+    return c.table("documents").where("doc_id % 8 <> 0").select(F.col("doc_id").alias("version_id"), F.sha2(text, 256).alias("file_hash"))
+
+
+@query(
+    "g11_hash_repair",
+    f"""WITH {_HASH}, f AS (SELECT doc_id, sha256(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS actual FROM documents WHERE doc_id % 8 <> 0),
+s AS (SELECT h.version_id, CASE WHEN actual IS NOT NULL AND regexp_full_match(file_hash, '[0-9a-f]{{12}}4[0-9a-f]{{3}}[89ab][0-9a-f]{{15}}0{{32}}') THEN actual ELSE file_hash END AS file_hash, actual FROM h LEFT JOIN f ON doc_id = version_id)
+SELECT version_id, file_hash, CASE WHEN actual IS NULL THEN 'file_missing' WHEN actual = file_hash THEN 'ok' ELSE 'CONTENT_CHANGED' END AS state FROM s""",
+)
+def g11_hash_repair(c: Corpus) -> DataFrame:
+    """The hashes stored in buckets of a thousand editions, the placeholders among them repaired, and reported on again."""
+    path, files, made = c.scratch("hashes"), hashed_files(c), X.is_placeholder_hash(F.col("file_hash"))
+    stored = hashes(c).select("version_id", "file_hash", F.floor(F.col("version_id") / 1000).alias("bucket"))
+    stored.write.partitionBy("bucket").parquet(path)
+    R.repair_hashes(c.spark, path, stored.schema, files, made, "bucket")
+    return L.hash_state(c.spark.read.schema(stored.schema).parquet(path), files, made).select("version_id", "file_hash", "state")
 
 
 @query("g12_takedown_delete", f"{with_views('chunks', 'audit')}, cited AS (SELECT DISTINCT unnest(chunk_ids) AS chunk_id FROM audit) SELECT version_id, count(*) FILTER (chunk_id NOT IN (SELECT chunk_id FROM cited)) AS deleted, count(*) FILTER (chunk_id IN (SELECT chunk_id FROM cited)) AS refused FROM chunks GROUP BY ALL")
