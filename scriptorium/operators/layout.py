@@ -64,6 +64,12 @@ def page_flags(chars: DataFrame) -> DataFrame:
     return p.select("version_id", "page", ((F.col("n") >= 50) & (2 * F.col("sideways") > F.col("n"))).alias("rotated"), (F.col("n") == 0).alias("empty"))
 
 
+def rejected(chars: DataFrame) -> DataFrame:
+    """(version_id, pages, reason): no_text where no page of the version has a character, else null."""
+    p = chars.groupBy("version_id").agg(F.count_distinct("page").alias("pages"), F.sum("n").alias("n"))
+    return p.select("version_id", "pages", F.when(F.coalesce("n", F.lit(0)) == 0, "no_text").alias("reason"))
+
+
 def damaged_pages(lines: DataFrame, rotated: DataFrame, bad) -> DataFrame:
     """Pages with an unreadable line or set sideways, per version, sorted."""
     a = lines.where(bad(F.col("text"))).groupBy("version_id").agg(F.collect_set("page").alias("a"))

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from scriptorium.corpus import Corpus, with_views
 from scriptorium.functions import text as X
+from scriptorium.operators import citations as C
 from scriptorium.operators import layout as Y
 from scriptorium.operators.indexing import activate, index_run, indexed_chunks, outcomes
 from scriptorium.operators import lifecycle as L
 from scriptorium.operators import repair as R
-from scriptorium.plans.registry import query
+from scriptorium.plans.registry import ORACLE_SQL, query
 
 # Lines made into the shapes that the rules look for, by arithmetic on their place.
 SHAPED = """shaped AS (SELECT version_id, line_no, page, CASE (version_id + line_no) % 7
@@ -62,6 +63,34 @@ def b4_table_guard(c: Corpus) -> DataFrame:
     return shaped(c).select("version_id", "line_no", X.looks_like_headerless_row(F.col("text")).alias("headerless"))
 
 
+@query(
+    "j2_table_rows",
+    f"""WITH g AS ({ORACLE_SQL['b4_table_guard']}), q AS (SELECT version_id * 100000 + line_no // 4 AS query_id, CASE WHEN version_id % 2 = 0 AND (version_id + line_no) % 7 NOT IN (1, 3) THEN 'not_contained' WHEN headerless THEN 'table_row' END AS reason FROM g)
+SELECT query_id, count(*) FILTER (reason IS NULL) AS kept, count(reason) AS rejected, CASE WHEN count(*) FILTER (reason IS NULL) > 0 THEN NULL WHEN count(*) FILTER (reason = 'table_row') > 0 THEN 'table_not_citable' ELSE 'verification_failed' END AS no_answer_reason FROM q GROUP BY query_id""",
+)
+def j2_table_rows(c: Corpus) -> DataFrame:
+    """Every page as an answer that quotes its lines; of every second edition only lines of numbers are verbatim, and they are rows
+    without a heading."""
+    n, v = F.col("line_no"), F.col("version_id")
+    reason = F.when((v % 2 == 0) & ~((v + n) % 7).isin(1, 3), "not_contained")
+    cites = shaped(c).select((v * 100000 + F.floor(n / 4)).alias("query_id"), (v * 100000 + n).alias("chunk_id"), F.col("text").alias("quote"), reason.alias("reason"))
+    out = C.answers(C.guard_rows(cites), cites.select("query_id").distinct())
+    return out.select("query_id", F.size("kept").cast("long").alias("kept"), "rejected", "no_answer_reason")
+
+
+@query(
+    "f5_pages_without_text",
+    f"""{with_views('lines')}, c AS (SELECT version_id, page, sum(CASE WHEN version_id % 23 = 0 OR page % 5 = 0 THEN 0 ELSE length(text) END) AS n, sum(CASE WHEN version_id % 23 = 0 OR page % 5 = 0 OR (version_id + line_no) % 3 = 0 THEN 0 ELSE length(text) END) AS s FROM lines GROUP BY ALL),
+r AS (SELECT version_id, sum(n) = 0 AS none FROM c GROUP BY ALL) SELECT version_id, page, n >= 50 AND 2 * s > n AS rotated, n = 0 AS empty, CASE WHEN none THEN 'no_text' END AS reason FROM c JOIN r USING (version_id)""",
+)
+def f5_pages_without_text(c: Corpus) -> DataFrame:
+    """Pages whose characters are mostly set sideways, every fifth without a character, and editions without any."""
+    v = F.col("version_id")
+    n = F.when((v % 23 == 0) | (F.col("page") % 5 == 0), 0).otherwise(F.length("text"))
+    chars = c.lines().select("version_id", "page", n.alias("n"), F.when((v + F.col("line_no")) % 3 == 0, 0).otherwise(n).alias("n_sideways"))
+    return Y.page_flags(chars).join(Y.rejected(chars).select("version_id", "reason"), "version_id")
+
+
 @query(
     "b5_unresolved_glyphs",
     f"""{with_views('lines')}, d AS (SELECT version_id, page, CASE WHEN (version_id + line_no) % 11 = 0 THEN '(cid:' || line_no || ')' || text ELSE text END AS text FROM lines)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -53,9 +56,32 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file_id", "row_no", F.col("col_no").cast("long").alias("col_no"), F.trim(unquoted).alias("text"))
 
 
+QUESTION = "id string, text string, expect string, language string, source string, note string, tags array<string>, expect_pages array<bigint>"
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A question set as JSON lines."""
-    return spark.read.schema("id string, text string, expect string, language string, source string, note string, tags array<string>, expect_pages array<bigint>").json(path)
+    """A question set: JSON lines, or YAML with a list under `questions` where the path ends in .yaml or .yml.
+
+    A field that a question lacks is null; other fields are left out.  A YAML file is one record of its set and is parsed
+    where it is read, with PyYAML; files are as many as there are sets.  A file without `questions` is an error that names it.
+    """
+    if not path.endswith((".yaml", ".yml")):
+        return spark.read.schema(QUESTION).json(path)
+    import yaml  # noqa: F401  asked for here, so that its absence is told before a job starts
+
+    names = [f.split()[0] for f in QUESTION.split(", ")]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                found = yaml.safe_load(content.decode("utf-8-sig"))
+                if not isinstance(found, dict) or not isinstance(found.get("questions"), list):
+                    raise ValueError(f"no list of questions: {path}")
+                yield pd.DataFrame([[q.get(n) for n in names] for q in found["questions"]], columns=names, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, QUESTION)
 
 
 def write_report(summary: DataFrame, outcomes: DataFrame, path: str) -> None:
