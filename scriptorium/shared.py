@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -23,3 +24,8 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gathered(df: DataFrame, n: int = 500_000) -> DataFrame:
+    """df, to be broadcast if it has at most n rows."""
+    return F.broadcast(df) if df.limit(n + 1).count() <= n else df
