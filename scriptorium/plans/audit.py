@@ -231,7 +231,7 @@ def j3_answer_reasons(c: Corpus) -> DataFrame:
     """Two selections a question from its lexical hits, some of them of no hit; every fifth question selects nothing."""
     q = c.questions()
     sel = q.where("query_id % 5 <> 0").select("query_id", F.explode(F.array(F.col("query_id") % 14, F.col("query_id") % 14 + 2)).alias("source"))
-    hits = kept(S.lexical_top_k(PS._covers(c)).join(c.chunks().select("chunk_id", "version_id"), "chunk_id").select("query_id", "chunk_id", "version_id", "rank"), "hits")
+    hits = kept(PS.lexical(c).join(c.chunks().select("chunk_id", "version_id"), "chunk_id").select("query_id", "chunk_id", "version_id", "rank"), "hits")
     return C.answer_reasons(sel, hits, q)
 
 
