@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import WORDS, looks_like_headerless_row, normalise_quote, strip_edges
-from scriptorium.operators.phrases import phrase_hits, phrases_found
+from scriptorium.operators.phrases import held_phrases, phrases_found
+from scriptorium.shared import gathered, kept
 
 GRAM = 4
 
@@ -126,9 +127,13 @@ def ground_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     Terms meet chunks by the page and the term's rarest run of characters there, so a page that every document has is no
     common key.
     """
-    t = questions.select("id", F.explode(F.array_distinct("pages")).alias("page"), "terms").select("id", "page", F.explode(F.array_distinct(F.transform("terms", lambda x: F.lower(x)))).alias("phrase"))
-    met = phrase_hits(t.select("page", "phrase"), chunks.select("chunk_id", "page", "live", "content"), ["chunk_id", "live"], ["page"])
-    hit = t.join(met, ["page", "phrase"]).select("id", "chunk_id", "live").distinct()
+    terms = F.filter(F.array_distinct(F.transform("terms", lambda x: F.lower(x))), lambda x: x.isNotNull())
+    asks = F.flatten(F.transform(F.array_distinct("pages"), lambda p: F.transform(terms, lambda x: F.struct(p.alias("page"), x.alias("phrase")))))
+    t = kept(questions.select("id", asks.alias("asks")).distinct().select("id", "asks", F.posexplode("asks").alias("at", "ask")).select("id", "ask.page", "ask.phrase", F.slice("asks", F.lit(1), F.col("at")).alias("before")), "asks")
+    # a chunk counts for a question at the first of its terms that the chunk holds, so pairs are counted where they arise
+    held = held_phrases(t.select("page", "phrase"), chunks.select("chunk_id", "page", "live", "content"), ["chunk_id", "live"], ["page"])
+    met = held.select("live", "held", F.explode("held").alias("ask")).select("live", "held", "ask.page", "ask.phrase")
+    hit = met.join(gathered(t, 1_000_000), ["page", "phrase"]).where((F.size("before") == 0) | ~F.arrays_overlap("before", "held"))
     n = hit.groupBy("id").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("retired"))
     out = questions.select("id").join(n, "id", "left")
     return out.select("id", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("retired", F.lit(0)).alias("retired"), (F.coalesce("live", F.lit(0)) > 0).alias("answerable"))

@@ -146,17 +146,17 @@ def _confirmed(chosen: DataFrame, texts: DataFrame, columns: list[str], keys: li
     """(columns, phrase) where the text around a place of the phrase's rarest run holds the phrase."""
     reach = chosen.agg(F.max(F.length("phrase"))).first()[0] or 0
     met = index_texts(texts, columns, chosen, reach).join(_small(chosen.select(*keys, "phrase", "gram")), [*keys, "gram"])
-    return met.where(F.contains("around", "phrase")).select(*columns, "phrase").distinct()
+    return met.where(F.contains("around", "phrase")).select(*columns, "phrase")
 
 
-def phrase_hits(phrases: DataFrame, texts: DataFrame, ids: list[str], keys: list[str] | None = None) -> DataFrame:
-    """(ids, keys, phrase) once for each lower-case phrase and text that holds it.
+def held_phrases(phrases: DataFrame, texts: DataFrame, ids: list[str], keys: list[str]) -> DataFrame:
+    """(ids, held): the lower-case phrases that a text holds, in one row, as distinct structs (keys, phrase).
 
     phrases: (keys, phrase), texts: (ids, keys, content); a phrase meets the texts with its keys.  Rows with the same ids
-    and keys count as one text.  Null and empty phrases hit nothing, null texts hold nothing.
+    count as one text.  Null and empty phrases are held by none, null texts hold nothing.
     """
-    keys = keys or []
-    return _confirmed(rarest(phrases, texts, keys), texts, [*ids, *keys], keys)
+    met = _confirmed(rarest(phrases, texts, keys), texts, [*ids, *keys], keys)
+    return met.groupBy(*ids).agg(F.collect_set(F.struct(*keys, "phrase")).alias("held"))
 
 
 def phrases_found(phrases: DataFrame, texts: DataFrame) -> DataFrame:
@@ -164,4 +164,4 @@ def phrases_found(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     is found by its number, which is its code."""
     chosen = rarest(phrases, texts, [])
     short = F.length("phrase") <= EXACT
-    return chosen.where(short).select("phrase").unionByName(_confirmed(chosen.where(~short), texts, [], []))
+    return chosen.where(short).select("phrase").unionByName(_confirmed(chosen.where(~short), texts, [], []).distinct())
