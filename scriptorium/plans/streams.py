@@ -118,8 +118,7 @@ def a6_priced_offers(c: Corpus) -> DataFrame:
     from scriptorium.plans.boq import items
 
     p = items(c).select("file_id", "row_no", F.lpad((F.col("row_no") * 10).cast("string"), 4, "0").alias("oz"), F.col("p_name").alias("short_text"), "quantity", F.lit("St").alias("unit"), "unit_price", "section")
-    done, refused = gaeb.offers(p)
-    return done.unionByName(refused.select("file_id", F.lit(None).cast("string").alias("xml")))
+    return gaeb.written(p).select("file_id", "xml")
 
 
 @query("e2_approximate_top_k")

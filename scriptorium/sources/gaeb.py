@@ -8,7 +8,6 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from scriptorium.functions.numbers import parse_decimal
 
@@ -117,9 +116,16 @@ def offers(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
     A flat list if the only section is empty, else a category a section in first-seen order.  Columns long_text and
     source_total are used where there are any: a total that the source printed is carried over, not computed.
     """
-    state = positions.groupBy("file_id").agg(F.count_if(F.col("unit_price").isNull()).alias("unpriced"))
-    rejects = state.where("unpriced > 0")
-    p = positions.join(state.where("unpriced = 0"), "file_id", "left_semi")
+    both = written(positions)
+    return both.where("unpriced = 0").select("file_id", "xml"), both.where("unpriced > 0").select("file_id", "unpriced")
+
+
+def written(positions: DataFrame) -> DataFrame:
+    """(file_id, unpriced, xml) of every file at once, as in offers: xml is null where a position has no price.
+
+    Positions are dealt by file before anything is written of them, so no XML is shuffled.
+    """
+    p = positions.repartition("file_id")
     money = lambda c: c.cast("decimal(18,2)").cast("string")
     product = F.round(F.col("quantity").cast("decimal(18,3)") * F.col("unit_price").cast("decimal(18,4)"), 2).cast("decimal(18,2)")
     total = F.coalesce(F.col("source_total").cast("decimal(18,2)"), product) if "source_total" in p.columns else product
@@ -129,15 +135,14 @@ def offers(positions: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.lit('<Item ID="'), _uuid(F.concat_ws("/", F.col("file_id").cast("string"), F.col("row_no").cast("string"))), F.lit('" RNoPart="'), _escape(F.col("oz")), F.lit('"><Qty>'), F.col("quantity").cast("decimal(18,3)").cast("string"), F.lit("</Qty><QU>"), _escape(F.col("unit")),
         F.lit("</QU><Description><CompleteText><OutlineText><OutlTxt>"), _block("TextOutlTxt", F.col("short_text")), F.lit("</OutlTxt></OutlineText>"), detail, F.lit("</CompleteText></Description><UP>"), money(F.round(F.col("unit_price").cast("decimal(18,4)"), 2)), F.lit("</UP><IT>"), money(total), F.lit("</IT></Item>"),
     )
-    section = p.withColumn("section", F.coalesce("section", F.lit(""))).withColumn("item", item).withColumn("total", total).groupBy("file_id", "section").agg(F.min("row_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "item"))), lambda x: x["item"]), "").alias("items"), F.sum("total").alias("total"))
-    body = F.concat(F.lit("<Itemlist>"), "items", F.lit("</Itemlist>"))
-    category = F.concat(F.lit('<BoQCtgy RNoPart="'), F.lpad(F.row_number().over(Window.partitionBy("file_id").orderBy("first", "section")).cast("string"), 2, "0"), F.lit('">'), _block("LblTx", F.col("section")), F.lit("<BoQBody>"), body, F.lit("</BoQBody></BoQCtgy>"))
-    section = section.withColumn("body", body).withColumn("category", category)
-    whole = section.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("first", "section", "body", "category"))).alias("s"), F.sum("total").alias("total"))
+    section = p.withColumn("section", F.coalesce("section", F.lit(""))).withColumn("item", item).withColumn("total", total).groupBy("file_id", "section").agg(F.min("row_no").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "item"))), lambda x: x["item"]), "").alias("items"), F.sum("total").alias("total"), F.count_if(F.col("unit_price").isNull()).alias("unpriced"))
+    whole = section.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("first", "section", "items"))).alias("s"), F.sum("total").alias("total"), F.sum("unpriced").alias("unpriced"))
+    body = lambda x: F.concat(F.lit("<Itemlist>"), x["items"], F.lit("</Itemlist>"))
+    category = lambda x, i: F.concat(F.lit('<BoQCtgy RNoPart="'), F.lpad((i + 1).cast("string"), 2, "0"), F.lit('">'), _block("LblTx", x["section"]), F.lit("<BoQBody>"), body(x), F.lit("</BoQBody></BoQCtgy>"))
     flat = (F.size("s") == 1) & (F.col("s")[0]["section"] == "")
-    inner = F.when(flat, F.col("s")[0]["body"]).otherwise(F.array_join(F.transform("s", lambda x: x["category"]), ""))
+    inner = F.when(flat, body(F.col("s")[0])).otherwise(F.array_join(F.transform("s", category), ""))
     xml = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?><GAEB xmlns="http://www.gaeb.de/GAEB_DA_XML/DA84/3.2"><PrjInfo><NamePrj>'), _escape(F.col("file_id").cast("string")), F.lit("</NamePrj><Cur>EUR</Cur></PrjInfo><Award><DP>84</DP><Cur>EUR</Cur><BoQ><BoQBody>"), inner, F.lit("</BoQBody><Totals><Total>"), money(F.col("total")), F.lit("</Total></Totals></BoQ></Award></GAEB>"))
-    return whole.select("file_id", xml.alias("xml")), rejects
+    return whole.select("file_id", "unpriced", F.when(F.col("unpriced") == 0, xml).alias("xml"))
 
 
 def write(documents: DataFrame, path: str) -> None:

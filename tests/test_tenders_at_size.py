@@ -42,3 +42,12 @@ def test_words_are_no_quantities_whatever_follows(spark):
     alone = [r[0] for r in df.select(parse_decimal(F.col("t"))).collect()]
     assert [None if g is None else float(g) for g in got] == [None, 12.5, 3, None, 12, None, -3, 12, None, 3, None]
     assert all(a is None or a == g for a, g in zip(alone, got))
+
+
+def test_offers_deal_positions_before_they_are_written(spark):
+    """The rows are shuffled once, as they are; XML is made behind that exchange and no file is joined to itself."""
+    import scriptorium.plans as plans
+
+    plan = plans.QUERIES["a6_priced_offers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("REPARTITION_BY_COL") == 1 and "LeftSemi" not in plan
+    assert plan.count("Exchange hashpartitioning(file_id") == 1
