@@ -9,7 +9,6 @@ from scriptorium.corpus import Corpus, with_views
 from scriptorium.functions import text as X
 from scriptorium.operators import audit as A
 from scriptorium.operators import citations as C
-from scriptorium.operators import search as S
 from scriptorium.plans import search as PS
 from scriptorium.plans.registry import query
 from scriptorium.shared import kept
@@ -183,7 +182,8 @@ _REASONS = """reasons AS (SELECT t.query_id, t.chunk_id, CASE WHEN c.content IS
 
 
 def cited(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    hits = kept(PS.hybrid(c).join(c.chunks().select("chunk_id", "content"), "chunk_id"), "hits")
+    s = PS.stored(c)
+    hits = kept(PS.hybrid(c, s=s).join(s.select("chunk_id", "content"), "chunk_id"), "hits")
     k = F.col("rank") % 5
     head = lambda n: F.substring("content", 1, n)
     quote = F.when(k == 0, head(30)).when(k == 1, F.concat(F.lit("  "), F.replace(head(40), F.lit(" "), F.lit("  ")), F.lit("\n"))).when(k == 2, F.concat(F.lit("fabricated "), head(10))).when(k == 3, F.lit("  ")).otherwise(head(30))
@@ -251,7 +251,7 @@ CASE WHEN contains(cited, quote) THEN 'clean' WHEN contains(trim(regexp_replace(
 def i5_quote_diagnosis(c: Corpus) -> DataFrame:
     b = c.table("benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"), (F.col("item_id") * 3).alias("doc_id"))
     quotes = b.join(c.table("documents").select("doc_id", F.col("text").alias("cited")), "doc_id").withColumn("others", F.expr("cast(array() as array<string>)"))
-    return C.diagnose(quotes, S.searchable(c.chunks(), c.versions(), c.documents(), None)).drop("passage", "overlap")
+    return C.diagnose(quotes, PS._searchable(c)).drop("passage", "overlap")
 
 
 @query(
@@ -268,7 +268,7 @@ def i5_other_passages(c: Corpus) -> DataFrame:
     told = F.when(F.col("quote_id") % 3 == 0, F.concat(F.lit("It says: "), F.replace("quote", F.lit(" "), F.lit("  ")), F.lit("\n as before"))).otherwise("nothing")
     quotes = b.join(d.select("doc_id", F.col("text").alias("cited")), "doc_id").join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
     quotes = quotes.withColumn("others", F.array("other", told)).drop("other")
-    out = C.diagnose(quotes, S.searchable(c.chunks(), c.versions(), c.documents(), None))
+    out = C.diagnose(quotes, PS._searchable(c))
     return out.select("quote_id", (F.col("verdict") == "mis_cited").alias("mis_cited"), "passage", "overlap")
 
 
@@ -372,7 +372,7 @@ def h5_exists_in_searchable(c: Corpus) -> DataFrame:
     """The first word of four letters or more of every user's turn, looked up in all that search can return."""
     word = F.regexp_extract(F.lower("text"), "[a-z]{4,}", 0)
     q = c.table("conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.nullif(word, F.lit("")).alias("phrase"))
-    return C.exists_in(q, S.searchable(c.chunks(), c.versions(), c.documents(), None)).select("query_id", "found")
+    return C.exists_in(q, PS._searchable(c)).select("query_id", "found")
 
 
 _ASKED = """phrases AS (SELECT conv_id * 1000 + turn AS query_id, CASE (conv_id + turn) % 6 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN w[2] || ' ' || w[3] || ' ' || w[4] WHEN 2 THEN left(w[1], 3) WHEN 3 THEN nullif(regexp_extract(text, '[^ -~\n]+[a-z]*'), '') WHEN 4 THEN right(w[2], 2) || ' ' || left(w[3], 1) ELSE upper(regexp_extract(w[3], '[a-z]+')) END AS phrase

@@ -47,3 +47,30 @@ def test_covers_of_few_terms_need_no_map(spark):
     at = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("term"))), lambda x: (x["term"] == F.col("term")) | F.array_contains("others", x["term"]))
     got = df.select(S._cover(at, F.size("others") + 1).alias("x"), S._cover_of_few("w", "term", "others").alias("y")).collect()
     assert [g.x for g in got] == [g.y for g in got] and len({g.x for g in got}) > 20
+
+
+def test_covers_are_found_in_blocks(spark, monkeypatch):
+    """Any number of terms, blocks, and slices of pairs: the best chunks are those of all occurrences; a pair carries no text."""
+    import random
+
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["aa", "Bb", "cc", "dd", "e\u00e9", "\u212a"]) + r.choice([" ", ", ", "\t"]) for _ in range(r.randint(0, 25))) for _ in range(300)]
+    chunks = spark.createDataFrame(list(enumerate([*texts, None, "  "])), "chunk_id long, content string")
+    asked = [[t for t in "aa bb cc dd e k".split() if r.random() < 0.5] for _ in range(60)]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, terms array<string>")
+    want = {tuple(x) for x in S.lexical_top_k(S.cover_density(S.match_all(S.postings(chunks), q)), 9).collect()}
+    for chars, sets, pairs in ((16_000_000, 400_000, 2_000_000), (300, 7, 50)):
+        for n, v in zip(("CHARS", "SETS", "PAIRS"), (chars, sets, pairs), strict=True):
+            monkeypatch.setattr(S, n, v)
+        found = S.lexical_search(chunks, q, k=9)
+        assert {tuple(x) for x in found.collect()} == want and len(want) > 100
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan
+
+
+def test_only_active_editions_are_cut_into_lines(spark):
+    from scriptorium.corpus import Corpus
+    from scriptorium.plans.search import _searchable
+
+    plan = _searchable(Corpus(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Generate") :]
