@@ -13,11 +13,19 @@ from scriptorium.shared import gathered, kept
 GRAM = 4
 
 
-def validate(citations: DataFrame, retrieved: DataFrame) -> DataFrame:
+def validate(citations: DataFrame, retrieved: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """citations (query_id, chunk_id, quote) with `reason`: null if the quote stands in the retrieved chunk.
 
-    retrieved: (query_id, chunk_id, content).
+    retrieved: (query_id, chunk_id, content).  With chunks (chunk_id, content) retrieved needs no content: a chunk is
+    normalised once, however many questions it was retrieved for.
     """
+    if chunks is not None:
+        there = retrieved.select("query_id", "chunk_id")
+        texts = chunks.join(there.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", normalise_quote(F.col("content")).alias("__c"))
+        met = citations.join(there, ["query_id", "chunk_id"]).withColumn("__q", normalise_quote(F.col("quote"))).join(texts, "chunk_id", "left")
+        reason = F.when(F.coalesce("__q", F.lit("")) == "", "empty").when(~F.contains("__c", "__q"), "not_contained")
+        lost = citations.join(there, ["query_id", "chunk_id"], "left_anti")
+        return met.select(*citations.columns, reason.alias("reason")).unionByName(lost.select(*citations.columns, F.lit("not_retrieved").alias("reason")))
     r = retrieved.select("query_id", "chunk_id", F.col("content").alias("__c"), F.lit(True).alias("__there"))
     out = citations.join(r, ["query_id", "chunk_id"], "left")
     quote = normalise_quote(F.col("quote"))

@@ -181,21 +181,21 @@ _CITATIONS = """cites AS (SELECT h.query_id, h.chunk_id, h.rank, CASE h.rank % 5
 _REASONS = """reasons AS (SELECT t.query_id, t.chunk_id, CASE WHEN c.content IS NULL THEN 'not_retrieved' WHEN trim(regexp_replace(quote, '\\s+', ' ', 'g')) = '' THEN 'empty' WHEN NOT contains(trim(regexp_replace(c.content, '\\s+', ' ', 'g')), trim(regexp_replace(quote, '\\s+', ' ', 'g'))) THEN 'not_contained' END AS reason FROM cites t LEFT JOIN chunks c USING (chunk_id))"""
 
 
-def cited(c: Corpus) -> tuple[DataFrame, DataFrame]:
+def cited(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Citations of the hits and some stray ones, the hits, and the chunks that search may return."""
     s = PS.stored(c)
-    hits = kept(PS.hybrid(c, s=s).join(s.select("chunk_id", "content"), "chunk_id"), "hits")
+    hits = kept(PS.hybrid(c, s=s).join(s.select("chunk_id", F.substring("content", 1, 40).alias("content")), "chunk_id"), "hits")
     k = F.col("rank") % 5
     head = lambda n: F.substring("content", 1, n)
     quote = F.when(k == 0, head(30)).when(k == 1, F.concat(F.lit("  "), F.replace(head(40), F.lit(" "), F.lit("  ")), F.lit("\n"))).when(k == 2, F.concat(F.lit("fabricated "), head(10))).when(k == 3, F.lit("  ")).otherwise(head(30))
     cites = hits.select("query_id", "chunk_id", quote.alias("quote"))
     stray = c.questions().where("query_id % 3 = 0").select("query_id", F.lit(-1).cast("long").alias("chunk_id"), F.lit("x").alias("quote"))
-    return cites.unionByName(stray), hits.select("query_id", "chunk_id", "content")
+    return cites.unionByName(stray), hits.select("query_id", "chunk_id"), s.select("chunk_id", "content")
 
 
 @query("j1_verbatim_validation", f"{PS.HYBRID}, {_CITATIONS}, {_REASONS} SELECT query_id, chunk_id, reason FROM reasons")
 def j1_verbatim_validation(c: Corpus) -> DataFrame:
-    cites, hits = cited(c)
-    return C.validate(cites, hits).select("query_id", "chunk_id", "reason")
+    return C.validate(*cited(c)).select("query_id", "chunk_id", "reason")
 
 
 @query(
@@ -204,8 +204,7 @@ def j1_verbatim_validation(c: Corpus) -> DataFrame:
 FROM questions q LEFT JOIN reasons r USING (query_id) GROUP BY q.query_id""",
 )
 def j2_guarded_answers(c: Corpus) -> DataFrame:
-    cites, hits = cited(c)
-    out = C.answers(C.guard_rows(C.validate(cites, hits)), c.questions())
+    out = C.answers(C.guard_rows(C.validate(*cited(c))), c.questions())
     return out.select("query_id", F.size("kept").cast("long").alias("kept"), "rejected", "no_answer_reason")
 
 

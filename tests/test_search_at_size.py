@@ -74,3 +74,13 @@ def test_only_active_editions_are_cut_into_lines(spark):
 
     plan = _searchable(Corpus(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan[plan.index("Generate") :]
+
+
+def test_retrieved_chunks_are_normalised_once(spark):
+    from scriptorium.operators import citations as C
+
+    chunks = spark.createDataFrame([(1, "a  b\u00a0c"), (2, None), (3, "x")], "chunk_id long, content string")
+    seen = spark.createDataFrame([(q, i) for q in (1, 2) for i in (1, 2)], "query_id long, chunk_id long")
+    cites = spark.createDataFrame([(q, i, t) for q in (1, 2, 3) for i in (1, 2, 3, -1) for t in ("a b c", " b ", "x", " ", None)], "query_id long, chunk_id long, quote string")
+    want = C.validate(cites, seen.join(chunks, "chunk_id"))
+    assert sorted(map(repr, C.validate(cites, seen, chunks).collect())) == sorted(map(repr, want.select(*cites.columns, "reason").collect()))
