@@ -75,10 +75,12 @@ def answer_reasons(selections: DataFrame, hits: DataFrame, queries: DataFrame, l
     return out.select("query_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("citations", "editions")], missed.alias("out_of_range"), why.alias("no_answer_reason"))
 
 
-def grams(text: Column, n: int = GRAM) -> Column:
-    """Distinct runs of n lower-case ASCII words; none for a shorter text."""
+def grams(text: Column, n: int = GRAM, each: bool = False) -> Column:
+    """Distinct runs (each: all, in order) of n lower-case ASCII words; none for a shorter text."""
     w = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
-    return F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))).otherwise(F.expr("cast(array() as array<string>)"))
+    # words once: an expression inside a lambda is worked out for each of its elements
+    runs = F.transform(F.array(w), lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", *[F.get(x, i + (k - 1)) for k in range(n)])))[0]
+    return F.when(F.size(w) >= n, runs if each else F.array_distinct(runs)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
 def diagnose(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -88,13 +90,14 @@ def diagnose(quotes: DataFrame, corpus: DataFrame) -> DataFrame:
     distinct words that the cited text has (0 without words).
 
     corpus (content) is the searchable text.  Its grams meet the quotes' by equality, and only those: the distinct grams
-    of the quotes decide what is kept of the corpus.
+    of the quotes decide what is kept of the corpus, where it is read, unless they are too many to be broadcast.
     """
     q, c = F.col("quote"), F.col("cited")
     words = F.regexp_extract_all(F.lower(q), F.lit(WORDS), F.lit(0))
     rows = quotes.withColumn("__g", grams(q)).withColumn("__c", grams(c))
     wanted = rows.select("quote_id", F.explode(F.array_except("__g", "__c")).alias("gram"))
-    found = corpus.select(F.explode(grams(F.col("content"))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi").distinct()
+    asked = gathered(kept(wanted.select("gram").distinct(), "grams"))
+    found = corpus.select(F.explode(grams(F.col("content"), each=True)).alias("gram")).join(asked, "gram", "left_semi").distinct()
     elsewhere = wanted.join(found, "gram", "left_semi").groupBy("quote_id").agg(F.count(F.lit(1)).alias("elsewhere"))
     rows = rows.join(elsewhere, "quote_id", "left").withColumn("elsewhere", F.coalesce("elsewhere", F.lit(0)))
     shared = F.size(F.array_intersect("__g", "__c"))

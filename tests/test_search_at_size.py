@@ -84,3 +84,23 @@ def test_retrieved_chunks_are_normalised_once(spark):
     cites = spark.createDataFrame([(q, i, t) for q in (1, 2, 3) for i in (1, 2, 3, -1) for t in ("a b c", " b ", "x", " ", None)], "query_id long, chunk_id long, quote string")
     want = C.validate(cites, seen.join(chunks, "chunk_id"))
     assert sorted(map(repr, C.validate(cites, seen, chunks).collect())) == sorted(map(repr, want.select(*cites.columns, "reason").collect()))
+
+
+def test_quotes_grams_go_to_the_corpus_and_words_are_cut_once(spark):
+    """The corpus' grams are not shuffled, and a long line takes time by its length, not its square."""
+    import time
+
+    from scriptorium.operators import citations as C
+    from pyspark.sql import functions as F
+
+    quotes = spark.createDataFrame([(1, "one two three four five", "none"), (2, "one two", "one two"), (3, "x", None)], "quote_id long, quote string, cited string")
+    quotes = quotes.withColumn("others", F.expr("cast(array() as array<string>)"))
+    corpus = spark.createDataFrame([("One two,three FOUR",), ("w " * 100_000,), (None,)], "content string").repartition(2)
+    begin = time.time()
+    out = C.diagnose(quotes, corpus)
+    assert {r["quote_id"]: (r["n_grams"], r["elsewhere"]) for r in out.collect()} == {1: (2, 1), 2: (0, 0), 3: (0, 0)}
+    assert time.time() - begin < 60
+    texts = spark.createDataFrame([("a b c d e a b c d",), ("a b c",), (None,)], "t string")
+    assert [r[0] for r in texts.select(C.grams(F.col("t"))).collect()] == [["a b c d", "b c d e", "c d e a", "d e a b", "e a b c"], [], []]
+    assert texts.select(F.sum(F.size(C.grams(F.col("t"), each=True)))).first()[0] == 6
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
