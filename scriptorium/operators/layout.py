@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import CATEGORY_CELL, ENUMERATOR
+from scriptorium.shared import gathered, kept
 
 # Characters a chunk aims at, may reach, and repeats from the one before.
 TARGET, CAP, OVERLAP = 1200, 1800, 200
@@ -274,7 +275,8 @@ def index_versions(lines: DataFrame, versions: DataFrame, bad, reference, encode
     its chunks are written.
     """
     todo = versions.where("status = 'pending'").select("version_id")
-    packed = pack_chunks(offsets(lines.join(todo, "version_id", "left_semi"))).where(F.col("content").rlike(r"\S"))
+    # chunks and outcome both read what is packed: lines are dealt and sorted once
+    packed = kept(pack_chunks(offsets(lines.join(gathered(todo), "version_id", "left_semi"))).where(F.col("content").rlike(r"\S")), "packed")
     counted = packed.groupBy("version_id").agg(F.count_if(~bad(F.col("content"))).alias("n_chunks"), F.count_if(bad(F.col("content"))).alias("n_rejected"))
     outcome = versions.select("version_id", "status").join(counted, "version_id", "left")
     error = F.when(F.col("status") != "pending", "not_pending").when(F.coalesce("n_chunks", F.lit(0)) + F.coalesce("n_rejected", F.lit(0)) == 0, "no_text").when(F.col("n_chunks") == 0, "all_damaged")

@@ -90,3 +90,18 @@ def test_a_run_that_breaks_off(spark, tmp_path, monkeypatch, dies_at):
         assert sorted(r["version_id"] for r in chunks) == [0, 1, 2, 5] and all(len(r["embedding"]) == 64 for r in chunks)
         assert {(r["version_id"], r["status"]) for r in I.activate(versions, f"{tmp_path}/i").collect()} == {(0, "active"), (1, "active"), (2, "active"), (3, "pending"), (4, "withdrawn"), (5, "active")}
     assert I.broken_runs(spark, f"{tmp_path}/i") == []
+
+
+def test_lines_are_packed_once_for_chunks_and_outcome(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.operators.layout import index_versions
+
+    lines = spark.createDataFrame([(1, 1, 0, "a", None), (1, 2, 1, "b", None), (2, 1, 0, " ", None), (3, 1, 0, "c", None)], "version_id long, page long, line_no long, text string, heading string")
+    versions = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "active")], "version_id long, status string")
+    never = lambda c: F.lit(False)
+    chunks, outcome = index_versions(lines, versions, never, never)
+    assert {(r["version_id"], r["n_chunks"], r["error"]) for r in outcome.collect()} == {(1, 1, None), (2, 0, "no_text"), (3, 0, "not_pending")}
+    assert [r["version_id"] for r in chunks.collect()] == [1]
+    for df in (chunks, outcome):
+        assert "MapInArrow" not in df._jdf.queryExecution().executedPlan().toString()
