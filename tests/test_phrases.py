@@ -55,3 +55,16 @@ def test_numbers_of_short_runs_are_their_codes():
     known = {(run, int(x)) for n in P.SIZES for run, x in zip(of[n], P.numbers(codes, n).tolist(), strict=True)}
     assert len(known) == len({x for _, x in known}) == len({run for run, _ in known})
     assert max(P.numbers(codes, 3).tolist()) < 1 << 61 and max(P.numbers(codes, 8).tolist()) < 1 << 63
+
+
+@pytest.mark.parametrize("slice_", [700, 1 << 20])
+def test_whether_a_phrase_stands_anywhere_needs_no_index_of_places(spark, monkeypatch, slice_):
+    """However often a run of characters stands in the texts, only phrases leave a task."""
+    monkeypatch.setattr(P, "SLICE", slice_)
+    monkeypatch.setattr(P, "index_texts", None)
+    r = random.Random(5)
+    texts = ["".join(r.choice("abä ") for _ in range(n)) for n in (0, 1, 7, 8, 9, 64, 600, 5000)] + ["the " * 4000, None]
+    phrases = [t[i : i + n] for t in texts if t for n in (1, 2, 7, 8, 9, 63, 64, 65, 511, 512, 530) for i in (0, len(t) // 3, max(0, len(t) - n))]
+    phrases += [p[:-1] + "x" for p in phrases] + ["the the", "the  the", "he t" * 3, "", None]
+    got = {x["phrase"] for x in P.phrases_found(spark.createDataFrame([(p,) for p in phrases], "phrase string"), spark.createDataFrame([(t,) for t in texts], "content string").repartition(3)).collect()}
+    assert got == {p for p in phrases if p and any(p in t for t in texts if t)}
