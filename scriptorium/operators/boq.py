@@ -29,6 +29,8 @@ HEADERS = {
 TOTAL_WORDS = "gesamt|summe|brutto|total|betrag|endpreis"
 POSITION_NUMBER = r"^\d+(?:[.\-/]\d+)+$"
 AGREEMENT, TOLERANCE = 0.8, 0.02
+#: Rows of files that a task is dealt, about.
+DEALT = 250_000
 
 
 def separators(cells: DataFrame) -> DataFrame:

@@ -51,3 +51,15 @@ def test_offers_deal_positions_before_they_are_written(spark):
     plan = plans.QUERIES["a6_priced_offers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and plan.count("REPARTITION_BY_COL") == 1 and "LeftSemi" not in plan
     assert plan.count("Exchange hashpartitioning(file_id") == 1
+
+
+def test_printed_totals_deal_files_once_to_as_many_tasks_as_rows_need(spark, monkeypatch):
+    import re
+
+    import scriptorium.plans as plans
+
+    monkeypatch.setattr(B, "DEALT", 500)
+    plan = plans.QUERIES["h14_printed_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    dealt = re.findall(r"Exchange hashpartitioning\(file_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert dealt and {int(n) for n in dealt} == {-(-rows // 500)} and plan.count("Exchange ") == len(dealt)
