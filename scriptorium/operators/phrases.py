@@ -168,7 +168,7 @@ def held_phrases(phrases: DataFrame, texts: DataFrame, ids: list[str], keys: lis
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         steps = np.full(max(n, SLICE + 1), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)

@@ -68,3 +68,10 @@ def test_whether_a_phrase_stands_anywhere_needs_no_index_of_places(spark, monkey
     phrases += [p[:-1] + "x" for p in phrases] + ["the the", "the  the", "he t" * 3, "", None]
     got = {x["phrase"] for x in P.phrases_found(spark.createDataFrame([(p,) for p in phrases], "phrase string"), spark.createDataFrame([(t,) for t in texts], "content string").repartition(3)).collect()}
     assert got == {p for p in phrases if p and any(p in t for t in texts if t)}
+
+
+def test_no_bytes_have_no_powers(monkeypatch):
+    """The first texts that a worker is given may all be empty."""
+    monkeypatch.setattr(P, "_powers", {})
+    sums, back = P._sums(np.zeros(0, np.uint8))
+    assert sums.tolist() == [0] and back.tolist() == [1]
