@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from scriptorium.functions.text import WORDS, looks_like_headerless_row, normalise_quote, strip_edges
+from scriptorium.operators.counts import term_counts
 from scriptorium.operators.phrases import held_phrases, phrases_found
 from scriptorium.shared import gathered, kept
 
@@ -135,21 +136,37 @@ def ground_truth(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """questions (id, terms, pages) with how many live and retired chunks (chunk_id, page, content, live) on those pages
     hold one of the terms, in any case, inside longer words too.
 
-    Terms meet chunks by the page and the term's rarest run of characters there, so a page that every document has is no
-    common key.
+    Questions with the same terms on a page are counted once, and chunks where they are read (term_counts).  Rows with the
+    same chunk_id and live are one chunk, whatever pages they have; these are met by their phrases.
     """
-    terms = F.filter(F.array_distinct(F.transform("terms", lambda x: F.lower(x))), lambda x: x.isNotNull())
-    asks = F.flatten(F.transform(F.array_distinct("pages"), lambda p: F.transform(terms, lambda x: F.struct(p.alias("page"), x.alias("phrase")))))
-    t = kept(questions.select("id", asks.alias("asks")).distinct().select("id", "asks", F.posexplode("asks").alias("at", "ask")).select("id", "ask.page", "ask.phrase", F.slice("asks", F.lit(1), F.col("at")).alias("before")), "asks")
-    # a chunk counts for a question at the first of its terms that the chunk holds, so pairs are counted where they arise
-    held = held_phrases(t.select("page", "phrase"), chunks.select("chunk_id", "page", "live", "content"), ["chunk_id", "live"], ["page"])
-    met = held.select("live", "held", F.explode("held").alias("ask")).select("live", "held", "ask.page", "ask.phrase")
-    hit = met.join(gathered(t, 1_000_000), ["page", "phrase"]).where((F.size("before") == 0) | ~F.arrays_overlap("before", "held"))
-    n = hit.groupBy("id").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("retired"))
+    terms = F.array_sort(F.filter(F.array_distinct(F.transform("terms", lambda x: F.lower(x))), lambda x: x.isNotNull() & (x != "")))
+    asks = questions.select("id", F.explode(F.array_distinct("pages")).alias("page"), terms.alias("terms")).withColumn("page", F.col("page").cast(chunks.schema["page"].dataType))
+    asks = kept(asks.where("page is not null and size(terms) > 0").distinct(), "asks")
+    sets = kept(asks.select("page", "terms").distinct().withColumn("set", F.monotonically_increasing_id()), "sets")
+    there = chunks.where("content is not null and live is not null").join(gathered(sets.select("page").distinct()), "page", "left_semi")
+    there = kept(there.select("chunk_id", "page", "live", "content"), "texts")
+    again = there.groupBy("chunk_id", "live").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("chunk_id", "live")
+    several = again.limit(1).count()
+    again = gathered(again) if several else F.broadcast(again)
+    counts = term_counts(sets, there.join(again, ["chunk_id", "live"], "left_anti"))
+    hit = asks.join(sets, ["page", "terms"]).join(counts, "set").select("id", "live", "retired")
+    if several:
+        hit = hit.unionByName(_repeated(asks, there.join(again, ["chunk_id", "live"], "left_semi")))
+    n = hit.groupBy("id").agg(F.sum("live").alias("live"), F.sum("retired").alias("retired"))
     out = questions.select("id").join(n, "id", "left")
     return out.select("id", F.coalesce("live", F.lit(0)).alias("live"), F.coalesce("retired", F.lit(0)).alias("retired"), (F.coalesce("live", F.lit(0)) > 0).alias("answerable"))
 
 
+def _repeated(asks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(id, live, retired) of chunks that stand in several rows, each counted once: a pair counts at the first term held."""
+    each = asks.select("id", F.explode("terms").alias("phrase"), "page").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("page", "phrase"))).alias("asks"))
+    t = each.select("id", "asks", F.posexplode("asks").alias("at", "ask")).select("id", "ask.page", "ask.phrase", F.slice("asks", F.lit(1), F.col("at")).alias("before"))
+    held = held_phrases(t.select("page", "phrase"), chunks, ["chunk_id", "live"], ["page"])
+    met = held.select("live", "held", F.explode("held").alias("ask")).select("live", "held", "ask.page", "ask.phrase")
+    hit = met.join(gathered(t, 1_000_000), ["page", "phrase"]).where((F.size("before") == 0) | ~F.arrays_overlap("before", "held"))
+    return hit.groupBy("id").agg(F.count_if("live").alias("live"), F.count_if(~F.col("live")).alias("retired"))
+
+
 def verdict(outcomes: DataFrame) -> DataFrame:
     """outcomes (expect, groups, pages array<string>, expect_pages array<bigint>, error) with `verdict`."""
     answered = F.col("groups") > 0
