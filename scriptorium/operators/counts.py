@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.phrases import _print, _sums
-from scriptorium.operators.search import spread
+from scriptorium.operators.search import spread, together
 
 #: Bytes of texts that a task looks at together, sets of terms it knows at once, and bits (of a term and a text) it holds.
 BYTES, SETS, CELLS = 8_000_000, 1_000_000, 32_000_000
@@ -148,25 +148,6 @@ class Asked:
             line[present] = -1
 
 
-def _together(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Rows of about BYTES of a column's text."""
-    some, size = [], 0
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-        first = 0
-        while first < len(batch):
-            before = int(ends[first - 1]) if first else 0
-            to = max(first + 1, int(np.searchsorted(ends, before + BYTES - size, side="right")))
-            some.append(batch.slice(first, to - first))
-            size += int(ends[to - 1]) - before
-            if to < len(batch) or size >= BYTES:
-                yield pa.Table.from_batches(some)
-                some, size = [], 0
-            first = to
-    if some:
-        yield pa.Table.from_batches(some)
-
-
 def term_counts(sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(set, live, retired): how many texts (page, live, content) of a set's page hold one of its terms, where any does.
 
@@ -183,7 +164,7 @@ def term_counts(sets: DataFrame, texts: DataFrame) -> DataFrame:
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = known.value
             counts = np.zeros((2, len(asked.sets)), np.int64)
-            for some in _together(batches, "said"):
+            for some in together(batches, "said", BYTES):
                 asked.count(some, counts)
             found = np.flatnonzero(counts.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(asked.sets[found]), pa.array(counts[1, found]), pa.array(counts[0, found])], names=["set", "live", "retired"])

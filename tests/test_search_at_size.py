@@ -104,3 +104,38 @@ def test_quotes_grams_go_to_the_corpus_and_words_are_cut_once(spark):
     assert [r[0] for r in texts.select(C.grams(F.col("t"))).collect()] == [["a b c d", "b c d e", "c d e a", "d e a b", "e a b c"], [], []]
     assert texts.select(F.sum(F.size(C.grams(F.col("t"), each=True)))).first()[0] == 6
     assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_and_sets_of_a_search_stay_where_they_are(spark, monkeypatch):
+    """No text is dealt and no set meets a block of texts in a shuffle: sets go to the texts, each block of sets with one pass."""
+    chunks, q = _corpus(spark)
+    want = {tuple(r) for r in S.lexical_search(chunks, q, k=3).collect()}
+    monkeypatch.setattr(S, "SETS", 2)
+    monkeypatch.setattr(S, "HELD", 5)
+    monkeypatch.setattr(S, "CHARS", 40)
+    found = S.lexical_search(chunks.repartition(3), q, k=3)
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" not in plan and plan.count("MapInArrow") >= 3
+    assert not any("Exchange" in line and "said" in line for line in plan.splitlines())
+
+
+def test_lists_fuse_as_rows_do(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(2)
+    rows = [(i, *[r.sample(range(30), r.randint(0, 12)) if r.random() < 0.8 else None for _ in range(2)]) for i in range(60)]
+    lists = spark.createDataFrame(rows, "query_id long, vector array<long>, lexical array<long>")
+    half = lambda c: lists.select("query_id", F.posexplode(c).alias("at", "chunk_id")).select("query_id", "chunk_id", (F.col("at") + 1).alias("rank"))
+    want = sorted(tuple(x) for x in S.fuse(half("vector"), half("lexical"), 7).collect())
+    assert sorted(tuple(x) for x in S.fuse_lists(lists, 7).collect()) == want and len(want) > 200
+
+
+def test_vectors_that_k_chunks_precede_do_not_leave_a_block():
+    import numpy as np
+
+    of, d = np.array([0, 0, 0, 0, 1, 1, 2]), np.array([0.1, 0.2, 0.2000001, 0.3, 0.1, np.inf, np.inf])
+    n = np.array([1, 4, 1, 9, 2, 3, 1])
+    assert S._reached(of, d, n, 5).tolist() == [0, 1, 2, 4, 5, 6] and S._reached(of, d, n, 1).tolist() == [0, 4, 6]
